@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, mixture, packing, quality_rules, secret_scan
+from . import jaccard_join, media, mixture, packing, quality_rules, secret_scan, substring_dedup
 from .common import documents
 
 
@@ -22,6 +22,14 @@ def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mixed(documents(spark, sf_dir))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(documents(spark, sf_dir))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
@@ -31,6 +39,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_media_columns, op3_mixture, op9_packing, op10_secret_scan)
+    f.__name__: f for f in (op1_quality_rules, op2_media_columns, op3_mixture, op6_jaccard_join, op7_substring_dedup, op9_packing, op10_secret_scan)
 }
 ORACLE: dict[str, str] = {"op3_mixture": mixture.oracle()}
