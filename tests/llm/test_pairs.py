@@ -47,7 +47,7 @@ def made(spark):
 
 def brute_components(rows):
     def shingles(t):
-        w = [x.translate(jaccard_join.LOWER) for x in WORD.findall(t or "")]
+        w = ["".join(c.lower() if c.isascii() else c for c in x) for x in WORD.findall(t or "")]
         return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
     s = [shingles(r.text) for r in rows]

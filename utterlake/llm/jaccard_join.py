@@ -7,8 +7,8 @@ without losing a link:
 1. A document can only have a partner if enough of its first n-grams (by hash) occur in another document too. One
    pass over packed arrays of hashes finds these documents; all others are on their own.
 2. Equal sets become one node.
-3. Nodes that link share one of their rarest n-grams (prefix filter under the global order). In each such bucket all
-   nodes are compared with one hub, then, component by component, with the centre of the larger component. As
+3. Nodes that link share one of their rarest n-grams (prefix filter under the global order). Each node is compared
+   with the best hub of its buckets, then, where a bucket still has several components, with the centre of the larger component. As
    Jaccard distance is a metric, a node that is farther from a centre than the component's radius plus the
    threshold distance links with none of its nodes; only the rest is compared node by node.
 
@@ -43,15 +43,12 @@ BROADCAST_IDS = 100_000
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     """The sorted distinct hashes of a document's n-grams; of fewer words the whole sequence; none without words."""
-    w = fp.hashes(fp.split((text or "").translate(LOWER)))
+    w = fp.hashes((text or "").encode("utf-8", "surrogatepass").lower().split())  # bytes: A-Z only
     if not len(w):
         return w
     return np.unique(fp.grams(w, min(size, len(w)), 0 if len(w) >= size else 8 * len(w)))
 
 
-LOWER = {c: c + 32 for c in range(65, 91)}
-
-
 def least_overlap(n: int) -> int:
     return -(-LEAST * n // 100)
 
@@ -78,17 +75,6 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("text"))
 
 
-def sizes(texts: DataFrame) -> DataFrame:
-    """(doc_id, n, k): the size and the key of each document's set."""
-
-    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            every = [(len(h), node_key(h)) for h in map(shingles, batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([e[i] for e in every], pa.int64()) for i in (0, 1))], names=["doc_id", "n", "k"])
-
-    return texts.mapInArrow(measured, "doc_id long, n long, k long")
-
-
 def sets(texts: DataFrame) -> DataFrame:
     """(doc_id, n, k, h): with the set itself."""
 
@@ -104,11 +90,15 @@ def sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(full, "doc_id long, n long, k long, h array<long>")
 
 
-PACKED = "bucket int, hashes binary, keys binary, counts binary"
+PACKED = "bucket int, hashes binary, keys binary, counts binary, doc_id long, n long, k long"
+#: The bucket of the rows (doc_id, n, k) of the documents themselves.
+SIZES = -1
+NAMES = ["bucket", "hashes", "keys", "counts", "doc_id", "n", "k"]
 
 
-def with_partners(texts: DataFrame, n_docs: int) -> DataFrame:
-    """(k): the keys of sets enough of whose first n-grams occur twice or more.
+def with_partners(texts: DataFrame, n_docs: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, k), the size and the key of each document's set; and (k), the keys of sets enough of whose first
+    n-grams occur twice or more.
 
     Each batch of rows sends its distinct prefix hashes, packed by hash range, with the key of the set that has
     them. An n-gram that the batch itself has twice is settled there and sent without a key, so a frequent one takes
@@ -119,8 +109,13 @@ def with_partners(texts: DataFrame, n_docs: int) -> DataFrame:
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every = [h for h in map(shingles, batch.column(1).to_pylist()) if len(h)]
-            keys = np.array([node_key(h) for h in every], dtype=np.int64)
+            of_all = [shingles(t) for t in batch.column(1).to_pylist()]
+            every_key = [node_key(h) for h in of_all]
+            total = pa.array([len(h) for h in of_all], pa.int64())
+            empty = pa.nulls(len(of_all), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([SIZES] * len(of_all), pa.int32()), empty, empty, empty, batch.column(0), total, pa.array(every_key, pa.int64())], names=NAMES)
+            keys = np.array([k for k, h in zip(every_key, of_all, strict=True) if len(h)], dtype=np.int64)
+            every = [h for h in of_all if len(h)]
             need = np.array([needed(len(h)) for h in every], dtype=np.int64)
             prefixes = [h[: prefix_length(len(h))] for h in every]
             flat = np.concatenate(prefixes) if every else np.empty(0, np.uint64)
@@ -141,7 +136,8 @@ def with_partners(texts: DataFrame, n_docs: int) -> DataFrame:
                         rows.append((b, h[part].tobytes(), keys[o[part]].tobytes() if kind == b"1" else b"", b""))
             cols = zip(*rows, strict=True)
             types = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["bucket", "hashes", "keys", "counts"])
+            none = pa.nulls(len(rows), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types, strict=True)), none, none, none], names=NAMES)
 
     def counted(table: pa.Table) -> pa.Table:
         hashes, keys, told, sums = [], [], [], []
@@ -169,8 +165,13 @@ def with_partners(texts: DataFrame, n_docs: int) -> DataFrame:
             sums.append(c.astype(np.int64))
         return pa.table({"k": np.concatenate(told) if told else np.empty(0, np.int64), "c": np.concatenate(sums) if sums else np.empty(0, np.int64)})
 
-    counts = texts.mapInArrow(packed, PACKED).groupBy("bucket").applyInArrow(counted, "k long, c long")
-    return counts.groupBy("k").agg(F.sum("c").alias("c")).where("c >= 0").select("k")
+    both = written(texts.mapInArrow(packed, PACKED), "jaccard-packed")
+    sent = both.where(F.col("bucket") != SIZES).select("bucket", "hashes", "keys", "counts")
+    counts = sent.groupBy("bucket").applyInArrow(counted, "k long, c long")
+    size = written(both.where(F.col("bucket") == SIZES).select("doc_id", "n", "k"), "jaccard-sizes")
+    keys = written(counts.groupBy("k").agg(F.sum("c").alias("c")).where("c >= 0").select("k"), "jaccard-keys")
+    drop_written(both)
+    return size, keys
 
 
 #: Columns of a node: its size and how many of its n-grams no other node has; the others in global order, rare first.
@@ -180,16 +181,14 @@ NODE = "k long, n long, alone long, mine array<struct<g:int,h:long>>"
 def nodes(members: DataFrame) -> DataFrame:
     """Of each distinct set: the n-grams that another node has too, in global order, with their fragment.
 
-    The order is by the power of two of the document frequency, then by hash. A fragment is a range of it: one
-    quarter of the hashes of one power.
+    The order is by the power of two of the document frequency, then by hash. A fragment is a range of it, one power.
     """
     distinct = members.groupBy("k").agg(F.first("n").alias("n"), F.first("h").alias("h"))
     one = written(distinct, "jaccard-sets")
     flat = one.select("k", F.explode("h").alias("h"))
     shared = flat.groupBy("h").agg(F.count("*").alias("df")).where("df >= 2")
-    octave = F.floor(F.log2("df")).cast("int")
-    g = (octave * 4 + F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(NO_ID)), 62).cast("int")).alias("g")
-    placed = flat.join(shared.select("h", g), "h").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("g", "h"))).alias("mine"))
+    octave = F.floor(F.log2("df")).cast("int").alias("g")
+    placed = flat.join(shared.select("h", octave), "h").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("g", "h"))).alias("mine"))
     out = written(one.select("k", "n").join(placed, "k").select("k", "n", (F.col("n") - F.size("mine")).alias("alone"), "mine"), "jaccard-nodes")
     drop_written(one)
     return out
@@ -230,10 +229,11 @@ def links(node: DataFrame) -> DataFrame:
     bucketed = written(near.select("k", "n", "alone", F.explode(F.slice("mine", F.lit(1), F.col("p"))).alias("x")).select(F.col("x.h").alias("h"), "k", "n", "alone"), "jaccard-prefix")
     segments = written(node.select("k", F.explode("mine").alias("x")).groupBy("k", "x.g").agg(F.collect_list("x.h").alias("hs")), "jaccard-segments")
 
-    # Each bucket's hub is the node with the smallest share of n-grams of its own.
+    # A bucket's hub is the node with the smallest share of n-grams of its own; a node is compared with the best of its hubs.
     rank = F.struct((F.col("alone") / F.col("n")).alias("s"), F.col("k").alias("k"), F.col("n").alias("n"))
     hubs = bucketed.groupBy("h").agg(F.min(rank).alias("hub"), F.count("*").alias("m")).where("m >= 2")
-    stars = bucketed.join(hubs, "h").where((F.col("k") != F.col("hub.k")) & fits(F.col("n"), F.col("hub.n"))).select(F.col("hub.k").alias("a"), F.col("k").alias("b")).distinct()
+    best = bucketed.join(hubs, "h").where((F.col("k") != F.col("hub.k")) & fits(F.col("n"), F.col("hub.n"))).groupBy("k").agg(F.min("hub").alias("hub"))
+    stars = best.select(F.col("hub.k").alias("a"), F.col("k").alias("b"))
     tested = written(overlaps(stars, node, segments), "jaccard-tested")
     found = tested.where(linked(F.col("overlap"), F.col("na"), F.col("nb"))).select("a", "b")
 
@@ -281,8 +281,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ignored; an empty table gives no rows.
     """
     texts = _texts(docs, id_col, text_col)
-    size = written(sizes(texts), "jaccard-sizes")
-    keys = written(with_partners(texts, size.count()), "jaccard-keys")
+    size, keys = with_partners(texts, docs.count())
     some = written(size.join(keys, "k").select("doc_id").distinct(), "jaccard-ids")
     ids = F.broadcast(some) if some.count() <= BROADCAST_IDS else some
     node = nodes(sets(texts.join(ids, "doc_id", "left_semi")).where("n > 0"))

@@ -25,7 +25,6 @@ WINDOW, GRAM = 35, 8
 INSIDE = WINDOW - GRAM + 1
 #: Batches in which a whole table enters the index, and runs beyond which the index is compacted.
 BATCHES, MOST_RUNS = 2, 4
-BROADCAST_KEYS = 100_000
 
 
 def anchors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -185,8 +184,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index
     every = written(measured(texts), "dedup-measured")
     some = every.join(unique.select("key", F.size("single").alias("u")), "key", "left").where(F.col("n_anchors") > F.coalesce("u", F.lit(0)))
     some = written(some.select("key").distinct(), "dedup-open")
-    keys = F.broadcast(some) if some.count() <= BROADCAST_KEYS else some
-    touched = written(texts.join(keys, "key", "left_semi").join(unique, "key", "left"), "dedup-texts")
+    touched = written(texts.join(some.hint("merge"), "key", "left_semi").join(unique, "key", "left"), "dedup-texts")
     once = repeats(touched)
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,5 +200,5 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     done = touched.join(once, "key", "left").select("doc_id", "text", "single", "single_windows").mapInArrow(finished, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
-    whole = every.join(keys, "key", "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
+    whole = every.join(some, "key", "left_anti").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
     return whole.unionByName(done).withColumnRenamed("doc_id", id_col)
