@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, media, mixture, packing, quality_rules, secret_scan, substring_dedup
+from . import additive_model, html_text, jaccard_join, masked_lm, media, mixture, packing, quality_rules, secret_scan, substring_dedup
 from .common import documents
 
 
@@ -22,6 +22,14 @@ def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.mixed(documents(spark, sf_dir))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive_model.classify(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(documents(spark, sf_dir, "pages"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(documents(spark, sf_dir))
 
@@ -30,6 +38,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(documents(spark, sf_dir))
 
 
+def op8_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.score(documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir))
 
@@ -39,6 +51,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_media_columns, op3_mixture, op6_jaccard_join, op7_substring_dedup, op9_packing, op10_secret_scan)
+    f.__name__: f for f in (op1_quality_rules, op2_media_columns, op3_mixture, op4_quality_classifier, op5_html_text, op6_jaccard_join, op7_substring_dedup, op8_masked_lm, op9_packing, op10_secret_scan)
 }
 ORACLE: dict[str, str] = {"op3_mixture": mixture.oracle()}
