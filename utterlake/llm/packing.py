@@ -28,8 +28,8 @@ END_ID = 1
 GROUP = 4096
 NODES_PER_PIECE = 2
 BRANCH = 4
-#: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 200_000
+#: Distinct words in each of the two generations of ids that a worker keeps.
+CACHE_WORDS = 500_000
 
 
 def tokenizer_path() -> str:
@@ -52,6 +52,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         for text in texts:
@@ -61,10 +62,16 @@ class WordIds:
                 continue
             except KeyError:
                 pass
-            if len(self.known) > CACHE_WORDS:
-                self.known = {"": b""}
-            new = list({w for w in words if w not in self.known})
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+            if len(self.known) > CACHE_WORDS:  # frequent words come back from the older generation
+                self.known, self.older = {"": b""}, self.known
+            new = []
+            for w in set(words).difference(self.known):
+                ids = self.older.get(w)
+                if ids is None:
+                    new.append(w)
+                else:
+                    self.known[w] = ids
+            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
                 self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
             yield b"".join(map(self.known.__getitem__, words))
 
