@@ -71,7 +71,7 @@ def fix_station_codes(c: Column) -> Column:
 
 def fix_number_explosion(c: Column, mark: str = "[number?]") -> Column:
     """Digit runs of 15 and more: what begins with 0, 1 or 2 keeps two digits, others become a mark."""
-    return F.regexp_replace(F.regexp_replace(c, r"([012]\d)\d{13,}", "$1"), r"\d{15,}", mark)
+    return F.regexp_replace(F.regexp_replace(c, r"(^|[^0-9])([012]\d)\d{13,}", "$1$2"), r"\d{15,}", mark)
 
 
 def truncate_repetition(c: Column, least: int = 2, most: int = 30, times: int = 5) -> Column:

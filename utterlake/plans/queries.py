@@ -435,7 +435,7 @@ on_text("normalize_eval", text.normalize_eval, r"lower(regexp_replace(regexp_rep
 on_text("full_to_half", lambda c: text.full_to_half(c), "text")
 on_text("strip_meta", text.strip_meta, r"regexp_replace(text, '(?i)[(\[](silence( \d+(\.\d+)?s?)?|laughter|noise|music|applause|inaudible|cough|beep)[)\]]', '', 'g')")
 on_text("apply_synonyms", lambda c: text.apply_synonyms(c, [("the", ["thea", "th"]), ("on", ["one", "onent"])]), "replace(replace(replace(replace(text, 'thea', 'the'), 'th', 'the'), 'onent', 'on'), 'one', 'on')")
-on_text("fix_number_explosion", text.fix_number_explosion, r"regexp_replace(regexp_replace(text, '([012]\d)\d{13,}', '\1', 'g'), '\d{15,}', '[number?]', 'g')")
+on_text("fix_number_explosion", text.fix_number_explosion, r"regexp_replace(regexp_replace(text, '(^|[^0-9])([012]\d)\d{13,}', '\1\2', 'g'), '\d{15,}', '[number?]', 'g')")
 on_text("content_hash", lambda c: F.substring(F.sha2(c, 256), 1, 12), "substr(sha256(text), 1, 12)")
 on_text("parse_inline_tags", lambda c: text.parse_inline_tags(F.concat(F.lit("<|HAPPY|><|Speech|>"), F.replace(c, F.lit("|"), F.lit("<|TAB|>"))))["text"], "trim(replace(replace(text, '|', '<|TAB|>'), '<|TAB|>', ''), ' ')")
 on_text("clean_training", lambda c: F.regexp_replace(c, r"[ \t\n\r]+", " "), r"regexp_replace(text, '[ \t\n\r]+', ' ', 'g')")
