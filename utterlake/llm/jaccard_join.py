@@ -211,9 +211,9 @@ def overlaps(pairs: DataFrame, node: DataFrame, segments: DataFrame) -> DataFram
     return total.join(n.select(F.col("k").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("k").alias("b"), F.col("n").alias("nb")), "b")
 
 
-def fits(a: Column, b: Column) -> Column:
-    """Sizes that allow a link at all."""
-    return 100 * F.least(a, b) >= LEAST * F.greatest(a, b)
+def possible(upper: Column, a: Column, b: Column) -> Column:
+    """Whether sets of a and b n-grams, of which at most ``upper`` are common, can link; a is at least ``upper``."""
+    return linked(upper, F.greatest(a, upper), b)
 
 
 def labelled(bucketed: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -223,16 +223,24 @@ def labelled(bucketed: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def links(node: DataFrame) -> DataFrame:
-    """(a, b): links enough that their components are those of all links."""
+    """(a, b): links enough that their components are those of all links.
+
+    Pairs are left out only where a bound on their overlap rules a link out. From the first n-gram that two nodes share,
+    both have ``rest`` n-grams left that others have as well; no more can be common. And where a centre c is known,
+    what x and y share is inside c, at most the smaller of their overlaps with it, or outside, at most the smaller of
+    what each has beyond c and its own.
+    """
     short = F.col("n") - F.ceil(F.col("n") * LEAST / 100) + 1 - F.col("alone")
-    near = node.withColumn("p", short.cast("int")).where("p > 0")
-    bucketed = written(near.select("k", "n", "alone", F.explode(F.slice("mine", F.lit(1), F.col("p"))).alias("x")).select(F.col("x.h").alias("h"), "k", "n", "alone"), "jaccard-prefix")
+    near = node.withColumn("p", short.cast("int")).where("p > 0").select("k", "n", "alone", F.size("mine").alias("all"), F.posexplode(F.slice("mine", F.lit(1), F.col("p"))).alias("at", "x"))
+    bucketed = written(near.select(F.col("x.h").alias("h"), "k", "n", "alone", (F.col("all") - F.col("at")).alias("rest")), "jaccard-prefix")
     segments = written(node.select("k", F.explode("mine").alias("x")).groupBy("k", "x.g").agg(F.collect_list("x.h").alias("hs")), "jaccard-segments")
 
     # A bucket's hub is the node with the smallest share of n-grams of its own; a node is compared with the best of its hubs.
     rank = F.struct((F.col("alone") / F.col("n")).alias("s"), F.col("k").alias("k"), F.col("n").alias("n"))
-    hubs = bucketed.groupBy("h").agg(F.min(rank).alias("hub"), F.count("*").alias("m")).where("m >= 2")
-    best = bucketed.join(hubs, "h").where((F.col("k") != F.col("hub.k")) & fits(F.col("n"), F.col("hub.n"))).groupBy("k").agg(F.min("hub").alias("hub"))
+    hub = F.struct((F.col("alone") / F.col("n")).alias("s"), F.col("k").alias("k"), F.col("n").alias("n"), F.col("rest").alias("rest"))
+    hubs = bucketed.groupBy("h").agg(F.min(hub).alias("hub"), F.count("*").alias("m")).where("m >= 2")
+    able = possible(F.least("rest", "hub.rest"), F.col("hub.n"), F.col("n"))
+    best = bucketed.join(hubs, "h").where((F.col("k") != F.col("hub.k")) & able).groupBy("k").agg(F.min("hub").alias("hub"))
     stars = best.select(F.col("hub.k").alias("a"), F.col("k").alias("b"))
     tested = written(overlaps(stars, node, segments), "jaccard-tested")
     found = tested.where(linked(F.col("overlap"), F.col("na"), F.col("nb"))).select("a", "b")
@@ -242,33 +250,39 @@ def links(node: DataFrame) -> DataFrame:
     by = written(labelled(bucketed, labels), "jaccard-labelled")
     member = by.select("k", "n", "alone", "c").distinct()
     centre = member.groupBy("c").agg(F.min(rank)["k"].alias("centre"), F.count("*").alias("m"))
-    comps = by.select("h", "c").distinct()
+    comps = by.groupBy("h", "c").agg(F.max("rest").alias("most"), F.min("n").alias("least"))
     open_ = comps.groupBy("h").agg(F.count("*").alias("cs")).where("cs >= 2").select("h")
-    sized = comps.join(open_, "h").join(centre, "c")
-    mine = by.join(open_, "h").join(centre.select("c", "m"), "c").select("h", "k", "n", "c", "m")
-    other = sized.select("h", F.col("c").alias("oc"), F.col("centre").alias("a"), F.col("m").alias("om"))
+    mine = by.join(open_, "h").join(centre.select("c", "m"), "c").select("h", "k", "n", "alone", "rest", "c", "m")
+    other = comps.join(open_, "h").join(centre, "c").select("h", F.col("c").alias("oc"), F.col("centre").alias("a"), F.col("m").alias("om"), "most", "least")
     larger = (F.col("om") > F.col("m")) | ((F.col("om") == F.col("m")) & (F.col("oc") < F.col("c")))
-    across = written(mine.join(other, "h").where((F.col("c") != F.col("oc")) & larger).select("a", F.col("k").alias("b"), "oc").distinct(), "jaccard-across")
-    inside = member.join(centre, "c").where((F.col("k") != F.col("centre")) & (F.col("m") >= 2)).select(F.col("centre").alias("a"), F.col("k").alias("b"))
-    exact = written(overlaps(across.select("a", "b").union(inside).distinct(), node, segments), "jaccard-centres")
+    able = possible(F.least("rest", "most"), F.col("least"), F.col("n"))
+    across = written(mine.join(other, "h").where((F.col("c") != F.col("oc")) & larger & able).select("a", F.col("k").alias("b"), "n", "alone", "oc").distinct(), "jaccard-across")
+    met = across.select(F.col("oc").alias("c")).distinct()
+    inside = member.join(met, "c", "left_semi").join(centre, "c").where((F.col("k") != F.col("centre")) & (F.col("m") >= 2)).select(F.col("centre").alias("a"), F.col("k").alias("b"), "n", "alone")
+    exact = written(overlaps(across.select("a", "b").union(inside.select("a", "b")).distinct(), node, segments), "jaccard-centres")
     more = exact.where(linked(F.col("overlap"), F.col("na"), F.col("nb"))).select("a", "b")
 
     # What a centre can't settle: nodes no farther from it than its component's radius and the threshold allow.
     away = 1 - F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))
-    far = exact.select("a", "b", away.alias("d"))
-    radius = inside.join(far, ["a", "b"], "left").groupBy("a").agg(F.max(F.coalesce("d", F.lit(1.0))).alias("r"))
+    far = exact.select("a", "b", away.alias("d"), F.col("overlap").alias("o"))
+
+    def placed(pairs: DataFrame) -> DataFrame:
+        """With the distance d from the centre, the overlap o with it, and what is beyond it and others have, s."""
+        o = F.coalesce("o", F.lit(0))
+        return pairs.join(far, ["a", "b"], "left").withColumns({"d": F.coalesce("d", F.lit(1.0)), "s": F.col("n") - F.col("alone") - o, "o": o})
+
+    around = written(placed(inside), "jaccard-around")
+    radius = around.groupBy("a").agg(F.max("d").alias("r"), F.max("s").alias("ms"), F.min("n").alias("least"))
     limit = 1 - LEAST / 100 + 1e-9
-    unsettled = (
-        across.join(far, ["a", "b"], "left").join(radius, "a").withColumn("d", F.coalesce("d", F.lit(1.0)))
-        .where((F.col("d") > limit) & (F.col("d") <= limit + F.col("r"))).select(F.col("b").alias("k"), F.col("oc"), F.col("a").alias("centre"), "d")
-    )
-    y = unsettled.join(by.select("h", "k", "n"), "k").select("h", F.col("k").alias("b"), F.col("n").alias("nb"), "oc", "centre", "d")
-    x = by.select("h", F.col("k").alias("a"), F.col("n").alias("na"), F.col("c").alias("oc"))
-    close = far.select(F.col("a").alias("centre"), F.col("b").alias("a"), F.col("d").alias("dx"))
-    rest = (
-        y.join(x, ["h", "oc"]).where((F.col("a") != F.col("centre")) & fits(F.col("na"), F.col("nb"))).select("a", "b", "centre", "d").distinct()
-        .join(close, ["centre", "a"], "left").where(F.col("d") - F.coalesce("dx", F.lit(1.0)) <= limit).select("a", "b").distinct()
-    )
+    able = possible(F.col("o") + F.least("s", "ms"), F.col("least"), F.col("n"))
+    unsettled = written(placed(across).join(radius, "a").where((F.col("d") > limit) & (F.col("d") <= limit + F.col("r")) & able).select("a", "b", "n", "d", "o", "s"), "jaccard-unsettled")
+    where = by.select("h", F.col("k").alias("b"), "rest")
+    y = unsettled.join(where, "b").select("h", F.col("a").alias("centre"), "b", F.col("n").alias("nb"), F.col("d").alias("dy"), F.col("o").alias("oy"), F.col("s").alias("sy"), F.col("rest").alias("ry"))
+    x = around.join(unsettled.select("a").distinct(), "a", "left_semi").join(where, "b")
+    x = x.select("h", F.col("a").alias("centre"), F.col("b").alias("a"), F.col("n").alias("na"), F.col("d").alias("dx"), F.col("o").alias("ox"), F.col("s").alias("sx"), F.col("rest").alias("rx"))
+    upper = F.least(F.least("ox", "oy") + F.least("sx", "sy"), "rx", "ry")
+    able = possible(upper, F.col("na"), F.col("nb")) & (F.col("dy") - F.col("dx") <= limit)
+    rest = y.join(x, ["h", "centre"]).where(able).select("a", "b").distinct()
     last = written(overlaps(rest, node, segments), "jaccard-rest")
     return found.union(more).union(last.where(linked(F.col("overlap"), F.col("na"), F.col("nb"))).select("a", "b"))
 
