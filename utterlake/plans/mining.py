@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import rules, text
+from ..functions import numbers, rules, text
 from ..operators import alignment
+from ..streaming import live
 from . import queries as q
-from .adapters import HYPOTHESES, TRANSCRIPTIONS, VOCABULARY, hypotheses, segments, table, transcriptions, vocabulary
+from .adapters import HYPOTHESES, TRANSCRIPTIONS, USAGE, VOCABULARY, hypotheses, segments, table, transcriptions, usage, vocabulary
 from .queries import query, r6
 
 
@@ -249,3 +250,38 @@ def split_sentences(spark, sf_dir):
 @query("SELECT conv_id, CAST(turn AS VARCHAR) AS turn, trim(text, ' ' || chr(10)) AS body FROM conversations")
 def parse_bundle_text(spark, sf_dir):
     return q.merge_event_text(spark, sf_dir).select("conv_id", F.explode(text.parse_bundle(F.col("merged"), r"\d+")).alias("b")).select("conv_id", F.col("b.name").alias("turn"), F.col("b.body").alias("body"))
+
+
+@query()
+def normalize_numbers(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", numbers.normalize_numbers(F.col("text")).alias("out"))
+
+
+@query()
+def normalize_car_numbers(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", numbers.normalize_car_numbers(F.col("text")).alias("out"))
+
+
+LIVE = {"click": 0.1, "view": 0.2, "purchase": 0.3}
+
+
+@query(f"""SELECT date_trunc('day', ts) AS day, u.channel, u.engine, count(*) AS calls, round(coalesce(sum(audio_seconds * price), 0), 3) AS cost FROM {USAGE} u
+JOIN (VALUES {", ".join(f"('{k}', {v}::DOUBLE)" for k, v in LIVE.items())}) p(engine, price) ON u.engine = p.engine GROUP BY 1, 2, 3""")
+def live_usage(spark, sf_dir):
+    """The operator on a live feed, over all of the feed so far."""
+    prices = spark.createDataFrame(list(LIVE.items()), "engine string, price double")
+    feed = usage(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).withColumnRenamed("audio_seconds", "quantity")
+    out = live.live_usage(feed, prices)
+    return out.withColumn("day", F.col("day").cast("timestamp_ntz")).withColumn("cost", F.round(F.coalesce("cost", F.lit(0.0)), 3))
+
+
+@query(f"SELECT conv_id, turn, k.term, k.level FROM conversations JOIN {VOCABULARY} k ON contains(lower(text), k.term) WHERE k.level >= 3")
+def live_keyword_alert(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select(F.col("turn").alias("ts"), F.col("conv_id").alias("channel"), "text")
+    return live.live_keyword_alert(c, vocabulary(spark, sf_dir)).select(F.col("channel").alias("conv_id"), F.col("ts").alias("turn"), "term", "level")
+
+
+@query("SELECT conv_id, turn, text FROM conversations WHERE role IN ('assistant', 'user')")
+def committed_only(spark, sf_dir):
+    kind = F.when(F.col("role") == "assistant", "final").when(F.col("role") == "user", "committed").otherwise("partial")
+    return live.committed_only(table(spark, sf_dir, "conversations").withColumn("type", kind)).select("conv_id", "turn", "text")
