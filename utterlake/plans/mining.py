@@ -135,9 +135,11 @@ def style_divergence(spark, sf_dir):
 @query()
 def fuse_sentences(spark, sf_dir):
     h = hypotheses(spark, sf_dir).where("hyp is not null and engine in ('alpha', 'gamma')")
-    # Neighbouring segments form texts of at most 20, so that an alignment's square stays small however long a document is.
+    # Neighbouring segments form texts of at most 10, so that an alignment's square stays small however long a document is.
+    # Few bytes but much work: a stated number of partitions isn't merged, and the grouping below needs no other shuffle.
+    h = h.withColumn("part", F.floor(F.col("pos") / 10)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id", "part")
     said = lambda e: F.transform(F.array_sort(F.collect_list(F.when(F.col("engine") == e, F.struct("pos", "hyp")))), lambda x: x["hyp"]).alias(e)
-    d = h.groupBy("id", F.floor(F.col("pos") / 20).alias("part")).agg(said("alpha"), said("gamma"))
+    d = h.groupBy("id", "part").agg(said("alpha"), said("gamma"))
     return alignment.fuse_sentences(d, ["id", "part"], "alpha", "gamma", r"\b(the and|an of)\b").select("id", "part", "fused", F.array_join("rules", ",").alias("rules"))
 
 
