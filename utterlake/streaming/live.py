@@ -15,20 +15,36 @@ def committed_only(results: DataFrame) -> DataFrame:
     return results.where(F.col("type").isin("committed", "final"))
 
 
-def live_usage(usage: DataFrame, prices: DataFrame, late: str = "1 hour") -> DataFrame:
-    """(day, channel, engine, calls, cost) from (ts, channel, engine, quantity) and unit prices by engine (few, static)."""
-    priced = usage.withWatermark("ts", late).join(F.broadcast(prices), "engine")
+#: Rows of a static table up to which it is broadcast.
+MOST_RULES = 5_000
+
+
+def few(df: DataFrame, most: int) -> bool:
+    return df.limit(most + 1).count() <= most
+
+
+def live_usage(usage: DataFrame, prices: DataFrame, late: str = "1 hour", most: int = MOST_RULES) -> DataFrame:
+    """(day, channel, engine, calls, cost) from (ts, channel, engine, quantity) and unit prices by engine (static)."""
+    priced = usage.withWatermark("ts", late).join(F.broadcast(prices) if few(prices, most) else prices, "engine")
     g = priced.groupBy(F.window("ts", "1 day").alias("w"), "channel", "engine").agg(F.count("*").alias("calls"), F.round(F.sum(F.col("quantity") * F.col("price")), 6).alias("cost"))
     return g.select(F.col("w.start").alias("day"), "channel", "engine", "calls", "cost")
 
 
-def live_keyword_alert(lines: DataFrame, terms: DataFrame, least: int = 3, quiet: str = "6 seconds") -> DataFrame:
+def live_keyword_alert(lines: DataFrame, terms: DataFrame, least: int = 3, quiet: str = "6 seconds", most: int = MOST_RULES) -> DataFrame:
     """(ts, channel, term, level): terms of at least that level in a line; in a stream each once a channel while ``quiet`` lasts.
 
-    The terms are a static rule table; a line's alerts in a batch aren't reduced.
+    The terms are a static table. Up to ``most`` go to all executors; more are joined by their first three characters and
+    verified. A line's alerts in a batch aren't reduced.
     """
     t = terms.where(F.col("level") >= least).select("term", "level")
-    hits = lines.join(F.broadcast(t), F.contains(F.lower("text"), F.col("term")))
+    in_text = F.contains(F.lower("text"), F.col("term"))
+    if few(t, most):
+        hits = lines.join(F.broadcast(t), in_text)
+    else:
+        size = F.length("text")
+        starts = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
+        keys = F.flatten(F.transform(starts, lambda i: F.array(*[F.substring(F.lower("text"), i, F.lit(n)) for n in (1, 2, 3)])))
+        hits = lines.withColumn("k", F.explode(F.array_distinct(keys))).join(t.withColumn("k", F.left("term", F.lit(3))), "k").where(in_text)
     if lines.isStreaming:
         hits = hits.withWatermark("ts", quiet).dropDuplicatesWithinWatermark(["channel", "term"])
     return hits.select("ts", "channel", "term", "level")
