@@ -77,6 +77,29 @@ def test_masked_lm(spark, sf_dir):
     assert 0 < mean < np.log(1024) and 0 < known <= 1 and len(share)
 
 
+def test_masked_lm_every_word(spark):
+    """Words beyond the network's own have their own probabilities, and all words' add up to 1."""
+    r = np.random.default_rng(3)
+    common = " ".join(f"c{i}" for i in range(masked_lm.UNKNOWN) for _ in range(99))
+    rare = [f"r{i}" for i in range(60)]
+    rows = [(0, common), (1, " ".join(rare[:30] * 4 + rare[30:])), (2, "r0 " * 50), (3, "r59 " * 3 + "r58 " * 47), (4, " ".join(r.permutation(rare[:30] * 2)))]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    count = Counter(w for _, t in rows for w in t.split())
+    counts = masked_lm.counted(d, "text")
+    assert {x.w: x.n for x in counts.collect()} == count
+    ids = masked_lm.head(counts)
+    share = {x.w: np.exp(x.share / 1e9) for x in masked_lm.shares(counts, ids).collect()}
+    beyond = {w: n for w, n in count.items() if w.encode() not in ids}
+    assert beyond and share == pytest.approx({w: n / sum(beyond.values()) for w, n in beyond.items()}) and sum(share.values()) == pytest.approx(1)
+    # Two texts whose words the network can't tell apart differ by their words' shares alone.
+    few = sorted(beyond, key=lambda w: (beyond[w], w))
+    pair = spark.createDataFrame([*rows, (7, " ".join([few[0]] * 9)), (8, " ".join([few[-1]] * 9))], "doc_id long, text string")
+    got = {x.doc_id: x for x in masked_lm.score(pair).collect()}
+    n = Counter(w for x in pair.collect() for w in x.text.split())
+    assert got[8].log_prob - got[7].log_prob == pytest.approx(9 * np.log(n[few[-1]] / n[few[0]]), abs=1e-3)
+    assert got[7].perplexity > got[8].perplexity
+
+
 def test_masked_lm_gradient():
     r = np.random.default_rng(1)
     flat = r.normal(0, 0.3, len(masked_lm.start()))

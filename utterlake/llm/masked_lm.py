@@ -4,6 +4,10 @@ The network predicts a token from the two on either side: their vectors, a hidde
 the token within its class. Each round, all partitions train on their own documents from the same weights, on a share
 of the positions drawn by a hash (the masked ones), and the weights are averaged by the number of positions. A
 document's score is the sum of the log-probabilities of all its tokens.
+
+The network's output is the most frequent words and UNKNOWN. A word beyond them has the probability of UNKNOWN times
+its share of all tokens beyond them, so every word has its own, and those of all words add up to 1. The counts of all
+words are a written table, which grows with the corpus; the shares are joined to the documents' words by a shuffle.
 """
 
 from __future__ import annotations
@@ -15,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RE
+from .common import SPACE_RE, written
 
-#: The vocabulary: CLASSES times CLASSES, the last token for all other words; beyond it the edge of a text.
+#: The network's tokens: CLASSES times CLASSES, the last for all other words; beyond it the edge of a text.
 CLASSES = 32
 UNKNOWN = CLASSES * CLASSES - 1
 EDGE = UNKNOWN + 1
@@ -43,29 +47,67 @@ def start() -> np.ndarray:
     return np.concatenate([(np.zeros(np.prod(s)) if k in "bdp" else r.normal(0, 0.2, int(np.prod(s)))) for k, s in SHAPES.items()]).astype(np.float32)
 
 
-def vocabulary(docs: DataFrame, text_col: str) -> dict[bytes, int]:
-    """The most frequent words of all documents, at most UNKNOWN of them; ties by the word."""
-    w = docs.select(F.explode(F.split(F.col(text_col), SPACE_RE)).alias("w")).where("w != ''").groupBy("w").count()
-    top = w.orderBy(F.col("count").desc(), "w").limit(UNKNOWN).collect()
+def counted(docs: DataFrame, text_col: str) -> DataFrame:
+    """(w, n): every word of all documents and how often it occurs."""
+    w = docs.select(F.explode(F.split(F.col(text_col), SPACE_RE)).alias("w")).where("w != ''")
+    return w.groupBy("w").agg(F.count("*").alias("n"))
+
+
+def head(counts: DataFrame) -> dict[bytes, int]:
+    """The most frequent words, at most UNKNOWN of them; ties by the word."""
+    top = counts.orderBy(F.col("n").desc(), "w").limit(UNKNOWN).collect()
     return {r["w"].encode(): i for i, r in enumerate(top)}
 
 
+def vocabulary(docs: DataFrame, text_col: str) -> dict[bytes, int]:
+    """The network's own words: the :func:`head` of all documents."""
+    return head(counted(docs, text_col))
+
+
+def shares(counts: DataFrame, ids: dict[bytes, int]) -> DataFrame:
+    """(w, share): of every word beyond the network's, the log of its share of all their tokens, in units of 1e-9.
+
+    Whole numbers, as their sums are the same in any order.
+    """
+    spark = counts.sparkSession
+    known = spark.createDataFrame([(w.decode(),) for w in ids], "w string")
+    beyond = counts.join(F.broadcast(known), "w", "left_anti")
+    total = beyond.agg(F.sum("n").alias("t")).first()["t"] or 1
+    return beyond.select("w", F.round(F.log(F.col("n") / F.lit(float(total))) * 1e9).cast("long").alias("share"))
+
+
 class Ids(dict):
     def __missing__(self, _: bytes) -> int:
         return UNKNOWN
 
 
-def token_ids(text: str | None, ids: Ids) -> np.ndarray:
-    w = (text or "").encode("utf-8", "surrogatepass").split()
-    return np.fromiter(map(ids.__getitem__, w), dtype=np.int64, count=len(w))
+def tokenized(docs: DataFrame, ids: dict[bytes, int], id_col: str, text_col: str) -> DataFrame:
+    """(row, id, ids, beyond): one row per document; its tokens as 16-bit numbers, and the words that are UNKNOWN there.
 
+    ``row`` is unique, but another one in each run: the table has to be written before it is read twice.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
 
-def runs(texts: list[str | None], ids: Ids) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Ids(ids)
+        for batch in batches:
+            tokens, others = [], []
+            for text in batch.column(2).to_pylist():
+                w = (text or "").encode("utf-8", "surrogatepass").split()
+                tokens.append(np.fromiter(map(known.__getitem__, w), dtype="<u2", count=len(w)).tobytes())
+                others.append(b" ".join([x for x in w if x not in known]).decode("utf-8", "surrogatepass"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(tokens, pa.binary()), pa.array(others, pa.string())], names=["row", "id", "ids", "beyond"])
+
+    t = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return t.mapInArrow(cut, f"row long, id {kind}, ids binary, beyond string")
+
+
+def runs(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first document, tokens with edges between documents, owner of each token or -1), of about AT_ONCE tokens."""
     edge = np.full(2, EDGE)
     parts, owner, n, first = [edge], [np.full(2, -1)], 0, 0
     for i, t in enumerate(texts):
-        x = token_ids(t, ids)
+        x = np.frombuffer(t, dtype="<u2").astype(np.int64)
         parts += [x, edge]
         owner += [np.full(len(x), i - first), np.full(2, -1)]
         n += len(x)
@@ -139,25 +181,26 @@ def masked(tokens: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return at[h < MASKED * 2**24]
 
 
-def train(docs: DataFrame, ids: dict[bytes, int], text_col: str) -> np.ndarray:
+def train(tokens: DataFrame) -> np.ndarray:
+    """The network's weights after all rounds over the table of :func:`tokenized`."""
     weights = start()
     reach = np.array(REACH)
     for _ in range(ROUNDS):
         now = weights
 
         def local(batches: Iterator[pa.RecordBatch], now: np.ndarray = now) -> Iterator[pa.RecordBatch]:
-            known, flat, seen = Ids(ids), now.copy(), 0
+            flat, seen = now.copy(), 0
             p = unpack(flat)
             for batch in batches:
-                for _, tokens, owner in runs(batch.column(0).to_pylist(), known):
-                    at = masked(tokens, owner)
+                for _, x, owner in runs(batch.column(0).to_pylist()):
+                    at = masked(x, owner)
                     seen += len(at)
                     for k in range(0, len(at), STEP):
                         part = at[k : k + STEP]
-                        step(p, tokens[part[:, None] + reach], tokens[part], RATE)
+                        step(p, x[part[:, None] + reach], x[part], RATE)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat.astype(np.float64) * seen), pa.array(np.full(len(flat), float(seen)))], names=["i", "v", "n"])
 
-        summed = docs.select(F.col(text_col).alias("text")).mapInArrow(local, "i int, v double, n double").groupBy("i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+        summed = tokens.select("ids").mapInArrow(local, "i int, v double, n double").groupBy("i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
         for r in summed.where("n > 0").collect():  # as many rows as the network has weights
             weights[r["i"]] = r["v"] / r["n"]
         weights = weights.copy()
@@ -170,27 +213,33 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     Null and empty texts have no tokens: log_prob 0, perplexity null. Equal texts get equal scores. Other columns are
     ignored; an empty table gives no rows.
     """
-    ids = vocabulary(docs, text_col)
-    weights = train(docs, ids, text_col)
+    counts = written(counted(docs, text_col), "lm-words")
+    ids = head(counts)
+    tokens = written(tokenized(docs, ids, id_col, text_col), "lm-tokens")
+    weights = train(tokens)
     reach = np.array(REACH)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, p = Ids(ids), unpack(weights)
+        p = unpack(weights)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             total, n = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
-            for first, tokens, owner in runs(texts, known):
+            for first, x, owner in runs(texts):
                 at = np.flatnonzero(owner >= 0)
                 for k in range(0, len(at), AT_ONCE):
                     part = at[k : k + AT_ONCE]
-                    lp = log_probs(p, tokens[part[:, None] + reach], tokens[part])
+                    lp = log_probs(p, x[part[:, None] + reach], x[part])
                     docs_of = owner[part] + first
                     total += np.bincount(docs_of, lp, len(texts))
                     n += np.bincount(docs_of, minlength=len(texts))
             total = np.round(total, 4)  # equal texts may be summed in other company
-            ppl = [float(np.exp(min(700, -t / m))) if m else None for t, m in zip(total.tolist(), n.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), pa.array(ppl, pa.float64())], names=["id", "n_tokens", "log_prob", "perplexity"])
-
-    t = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return t.mapInArrow(scored, f"id {kind}, n_tokens long, log_prob double, perplexity double").withColumnRenamed("id", id_col)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(total)], names=["row", "id", "n_tokens", "inner"])
+
+    net = tokens.select("row", "id", "ids").mapInArrow(scored, f"row long, id {kind}, n_tokens long, inner double")
+    words = tokens.where("beyond != ''").select("row", F.explode(F.split("beyond", " ")).alias("w"))
+    outer = words.join(shares(counts, ids).hint("merge"), "w").groupBy("row").agg(F.sum("share").alias("outer"))
+    log_prob = F.round(F.col("inner") + F.coalesce("outer", F.lit(0)) / 1e9, 4)
+    both = net.join(outer, "row", "left").select("id", "n_tokens", log_prob.alias("log_prob"))
+    perplexity = F.when(F.col("n_tokens") > 0, F.exp(F.least(F.lit(700.0), -F.col("log_prob") / F.col("n_tokens"))))
+    return both.withColumn("perplexity", perplexity).withColumnRenamed("id", id_col)
