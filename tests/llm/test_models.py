@@ -100,6 +100,13 @@ def test_masked_lm_every_word(spark):
     assert got[7].perplexity > got[8].perplexity
 
 
+def test_masked_lm_trains_on_every_position():
+    texts = [np.random.default_rng(i).integers(0, 1024, 700 * i).astype("<u2").tobytes() for i in range(4)]
+    for _, tokens, owner in masked_lm.runs(texts):
+        turns = np.concatenate([masked_lm.masked(tokens, owner, t) for t in range(masked_lm.ROUNDS)])
+        assert sorted(turns.tolist()) == np.flatnonzero(owner >= 0).tolist()
+
+
 def test_masked_lm_gradient():
     r = np.random.default_rng(1)
     flat = r.normal(0, 0.3, len(masked_lm.start()))

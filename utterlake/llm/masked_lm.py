@@ -1,9 +1,9 @@
 """Masked pseudo-likelihood: a bidirectional window network scores every token of a text.
 
 The network predicts a token from the two on either side: their vectors, a hidden layer, then the token's class and
-the token within its class. Each round, all partitions train on their own documents from the same weights, on a share
-of the positions drawn by a hash (the masked ones), and the weights are averaged by the number of positions. A
-document's score is the sum of the log-probabilities of all its tokens.
+the token within its class. Each round, all partitions train on their own documents from the same weights, on one of
+ROUNDS disjoint shares of the positions dealt by a hash (the masked ones), so that every position is a target in one
+round, and the weights are averaged by the number of positions. A document's score is the sum of the log-probabilities of all its tokens.
 
 The network's output is the most frequent words and UNKNOWN. A word beyond them has the probability of UNKNOWN times
 its share of all tokens beyond them, so every word has its own, and those of all words add up to 1. The counts of all
@@ -26,8 +26,8 @@ CLASSES = 32
 UNKNOWN = CLASSES * CLASSES - 1
 EDGE = UNKNOWN + 1
 VECTOR, HIDDEN, REACH = 8, 16, (-2, -1, 1, 2)
-#: Share of positions that are masked in training, rounds, positions per step, and rate.
-MASKED, ROUNDS, STEP, RATE = 0.15, 2, 2048, 0.2
+#: Rounds of training, each on its share of all positions, positions per step, and rate.
+ROUNDS, STEP, RATE = 2, 2048, 0.2
 #: Tokens scored at a time.
 AT_ONCE = 100_000
 SHAPES = {"e": (EDGE + 1, VECTOR), "w": (VECTOR * len(REACH), HIDDEN), "b": (HIDDEN,), "c": (HIDDEN, CLASSES), "d": (CLASSES,), "o": (CLASSES, HIDDEN, CLASSES), "p": (CLASSES, CLASSES)}
@@ -171,29 +171,30 @@ def step(p: dict, around: np.ndarray, target: np.ndarray, rate: float) -> None:
     p["d"] -= scale * gd
     p["w"] -= scale * gw
     p["b"] -= scale * gb
-    np.add.at(p["e"], around, -8 * scale * dx)
+    for v in range(VECTOR):
+        p["e"][:, v] -= 8 * scale * np.bincount(around.ravel(), dx[:, :, v].ravel(), len(p["e"]))
 
 
-def masked(tokens: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """The positions that training predicts: by a hash of the place and the tokens around, so reruns agree."""
+def masked(tokens: np.ndarray, owner: np.ndarray, turn: int) -> np.ndarray:
+    """The positions that training predicts in round ``turn``: by a hash of the place and the token before, so reruns agree."""
     at = np.flatnonzero(owner >= 0)
     h = (at.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + tokens[at - 1].astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)
-    return at[h < MASKED * 2**24]
+    return at[h * np.uint64(ROUNDS) >> np.uint64(24) == turn]
 
 
 def train(tokens: DataFrame) -> np.ndarray:
     """The network's weights after all rounds over the table of :func:`tokenized`."""
     weights = start()
     reach = np.array(REACH)
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
         now = weights
 
-        def local(batches: Iterator[pa.RecordBatch], now: np.ndarray = now) -> Iterator[pa.RecordBatch]:
+        def local(batches: Iterator[pa.RecordBatch], now: np.ndarray = now, turn: int = turn) -> Iterator[pa.RecordBatch]:
             flat, seen = now.copy(), 0
             p = unpack(flat)
             for batch in batches:
                 for _, x, owner in runs(batch.column(0).to_pylist()):
-                    at = masked(x, owner)
+                    at = masked(x, owner, turn)
                     seen += len(at)
                     for k in range(0, len(at), STEP):
                         part = at[k : k + STEP]
