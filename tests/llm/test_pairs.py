@@ -7,6 +7,7 @@ from collections import Counter
 
 import pytest
 from utterlake.llm import jaccard_join, substring_dedup
+from utterlake.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -137,3 +138,15 @@ def test_fingerprint_index(made):
     again = index.add(first)
     assert again.where("not seen").count() == 0 and len(index.runs) == 1
     assert index.merged().where("n < 2").count() == 0
+
+
+def test_components_of_long_paths(spark):
+    """Paths of more hops than there are rounds: one falling to its end, one of nodes in any order."""
+    r = random.Random(2)
+    falling = [0, *range(150, 0, -1)]
+    mixed = r.sample(range(1000, 1400), 400)
+    rows = [(a, b) for path in (falling, mixed) for a, b in zip(path, path[1:])]
+    got = {x.node: x.label for x in components(spark.createDataFrame(rows, "a long, b long")).collect()}
+    assert got == {n: min(path) for path in (falling, mixed) for n in path}
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame(rows, "a long, b long"), rounds=1)
