@@ -150,3 +150,18 @@ def test_components_of_long_paths(spark):
     assert got == {n: min(path) for path in (falling, mixed) for n in path}
     with pytest.raises(RuntimeError):
         components(spark.createDataFrame(rows, "a long, b long"), rounds=1)
+
+
+def test_substring_dedup_with_older_documents(spark):
+    """A window that the new documents have once and the older ones have too is a repeat; compaction runs in between."""
+    r = random.Random(4)
+    text = lambda n: [f"w{r.randint(0, 5000)}" for _ in range(n)]
+    old = [text(r.randint(40, 90)) for _ in range(12)]
+    new = [text(20) + old[i][3:39] + text(15) for i in range(6)] + [old[7], text(60), old[8][:34] + text(20), new_twice := text(50), new_twice, old[0][:36]]
+    frame = lambda rows, at: spark.createDataFrame([(at + i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    before, now = frame(old, 0), frame(new, 100)
+    index = substring_dedup.FingerprintIndex()
+    index.add(substring_dedup.keyed(before, "doc_id", "text"))
+    got = Counter(map(tuple, substring_dedup.dedup(now, index=index).collect()))
+    assert index.retired and len(index.runs) < 1 + substring_dedup.BATCHES
+    assert got == Counter({k: n for k, n in brute_dedup(before.collect() + now.collect()).items() if k[0] >= 100})

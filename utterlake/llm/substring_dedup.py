@@ -4,8 +4,9 @@ A window is WINDOW consecutive words. Of the GRAM-word hashes inside a window th
 windows have equal anchors, and neighbouring windows mostly share theirs: one fingerprint in about fourteen words
 stands for all windows. The index is a list of immutable runs sorted by fingerprint, each with the count and one
 place of every fingerprint; a batch of documents is merge-joined with the runs and becomes a run itself, and runs are
-compacted into one when there are too many. Windows whose anchor is in one place only can't repeat. The others are
-verified by a hash of the whole window, with the words as they are.
+compacted into one when there are too many. A fingerprint that its batch has twice, or that a later batch finds in an
+older run, is in several places; windows of the other anchors can't repeat. Those of the former are verified by a hash
+of the whole window, with the words as they are, beside the windows of older documents, which are read again for it.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from .common import drop_written, written
 WINDOW, GRAM = 35, 8
 INSIDE = WINDOW - GRAM + 1
 #: Batches in which a whole table enters the index, and runs beyond which the index is compacted.
-BATCHES, MOST_RUNS = 2, 4
+BATCHES, MOST_RUNS = 6, 4
 
 
 def anchors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,11 +72,15 @@ def fingerprint_rows(texts: DataFrame) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Immutable runs (h, n, key, pos), each sorted by h; n places in all, of which (key, pos) is one."""
+    """Immutable runs (h, n, key, pos), each sorted by h; n places in all, of which (key, pos) is one.
+
+    ``texts`` are the tables that were added; their documents are read again where a later window may repeat there.
+    """
 
     def __init__(self, most_runs: int = MOST_RUNS) -> None:
         self.runs: list[DataFrame] = []
         self.retired: list[DataFrame] = []
+        self.texts: list[DataFrame] = []
         self.most_runs = most_runs
 
     @staticmethod
@@ -89,6 +94,7 @@ class FingerprintIndex:
         run = written(rows.sortWithinPartitions("h"), "fingerprint-run")
         old = self.merged()
         self.runs.append(run)
+        self.texts.append(texts.select("key", "text"))
         if len(self.runs) > self.most_runs:
             self.compact()
         if old is None:
@@ -138,8 +144,20 @@ def open_windows(of: np.ndarray, at: np.ndarray, single: list[int] | None) -> np
     return np.flatnonzero(np.isin(of, at[~lone]))
 
 
-def repeats(texts: DataFrame) -> DataFrame:
-    """(key, open, single): of the rows of (key, text, single), the windows (starts) that are found once only, as ``single_windows``."""
+def older_texts(texts: list[DataFrame], hits: DataFrame) -> DataFrame | None:
+    """(key, text, single) of the older documents that have one of the fingerprints ``hits``; all their other anchors are ``single``."""
+    if not texts:
+        return None
+    every = texts[0]
+    for t in texts[1:]:
+        every = every.unionByName(t)
+    found = fingerprint_rows(every).join(hits.select("h", F.lit(True).alias("hit")), "h", "left")
+    by = found.groupBy("key").agg(F.count("hit").alias("hits"), F.collect_list(F.when(F.col("hit").isNull(), F.col("pos"))).alias("single"))
+    return every.join(by.where("hits > 0").select("key", "single"), "key")
+
+
+def repeats(texts: DataFrame, older: DataFrame | None = None) -> DataFrame:
+    """(key, single_windows): of the rows of (key, text, single), the starts of the open windows that are found once only, there and in ``older``."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,7 +171,10 @@ def repeats(texts: DataFrame) -> DataFrame:
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.empty(0), t) for c, t in zip(cols, types, strict=True)], names=["a", "b", "key", "start"])
 
-    rows = texts.select("key", "text", "single").mapInArrow(hashed, "a long, b int, key long, start int")
+    both = texts.select("key", "text", "single")
+    if older is not None:
+        both = both.unionByName(older.select("key", "text", "single"))
+    rows = both.mapInArrow(hashed, "a long, b int, key long, start int")
     once = rows.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.min("start").alias("start")).where("n = 1")
     return once.groupBy("key").agg(F.collect_list("start").alias("single_windows"))
 
@@ -177,15 +198,21 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index
     """
     texts = keyed(docs, id_col, text_col)
     index = index or FingerprintIndex()
+    before = list(index.texts)
+    fresh, hits = None, None
     for b in range(BATCHES):
-        index.add(texts.where(F.pmod("key", F.lit(BATCHES)) == b))
-    unique = index.merged().where("n = 1").groupBy("key").agg(F.collect_list("pos").alias("single"))
+        run = written(index.add(texts.where(F.pmod("key", F.lit(BATCHES)) == b)), "dedup-run")
+        one, old = run.where("n = 1 and not seen").select("h", "key", "pos"), run.where("seen").select("h")
+        fresh, hits = (one, old) if fresh is None else (fresh.unionByName(one), hits.unionByName(old))
+    hits = hits.distinct()
+    # What is new to its batch's elder runs can only be found again by a later batch.
+    unique = fresh.join(hits.hint("merge"), "h", "left_anti").groupBy("key").agg(F.collect_list("pos").alias("single"))
     unique = written(unique, "dedup-unique")
     every = written(measured(texts), "dedup-measured")
     some = every.join(unique.select("key", F.size("single").alias("u")), "key", "left").where(F.col("n_anchors") > F.coalesce("u", F.lit(0)))
     some = written(some.select("key").distinct(), "dedup-open")
     touched = written(texts.join(some.hint("merge"), "key", "left_semi").join(unique, "key", "left"), "dedup-texts")
-    once = repeats(touched)
+    once = repeats(touched, older_texts(before, hits))
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
