@@ -28,14 +28,20 @@ class Rule:
     base: bool = True
 
 
+#: A private key from its header to its END line, or else over the full base64 lines and a shorter last one.
+PEM = (
+    "-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:\\s*+[A-Za-z-]++:[^\\n]*+){0,8}+[A-Za-z0-9+/=\\s\\\\]*+-----END [A-Z ]*PRIVATE KEY-----"
+    "|(?:\\s*+[A-Za-z-]++:[^\\n]*+){0,8}+(?:(?:\\s|\\\\n)*+[A-Za-z0-9+/]{40,}+={0,2}+)++(?:\\r?\\n[A-Za-z0-9+/]++={0,2}+(?=[ \\t\\r]*+(?![^\\n])))?+)?+"
+)
+
 RULES = (
     Rule("assign", "(?i:(password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
     # A run that is long enough has the same bounds with the least length in the pattern, and shorter runs can't hold another match.
     Rule("access", "AKIA[A-Z0-9]{16,}"),
     Rule("hex", "[0-9a-f]{24,}"),
-    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", base=False),
+    Rule("pem", PEM, base=False),
 )
-RULE_VERSION = "2"
+RULE_VERSION = "3"
 
 
 def found(text: Column, rule: Rule, rank: int) -> Column:
