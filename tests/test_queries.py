@@ -63,3 +63,8 @@ def test_rules(spark):
     assert [(r["from"], r["count"]) for r in log] == [("abc", 1), ("ab", 2)]
     rule = [rules.Contextual("三軌", "輔電", "作業", "復電", 2), rules.Contextual("", "x", "", "x")]
     assert value(spark, lambda c: rules.contextual(c, rule), "三軌輔電作業 備用輔電系統") == "三軌復電作業 備用輔電系統"
+
+
+@pytest.mark.parametrize("note", ["(沉默 3 秒)", "(沉默十秒)", "(沉默 5s)", "(silence3)", "(silence 3s)", "(笑聲)", "(咳嗽)", "(雜音)", "(noise)", "(laughter)", "(cough)", "(unclear)", "(inaudible)", "[noise]", "[unclear]", "（沉默一下）"])
+def test_strip_meta_has_the_reference_notes(spark, note):
+    assert spark.createDataFrame([(f"a{note}b (kept)",)], "x string").select(text.strip_meta(F.col("x"))).first()[0] == "ab (kept)"

@@ -31,8 +31,9 @@ def full_to_half(c: Column) -> Column:
 
 
 def strip_meta(c: Column) -> Column:
-    """Notes on sounds, such as (laughter) or [noise], go, as do silences with their length."""
-    return F.regexp_replace(c, r"(?i)[(\[（【](silence( \d+(\.\d+)?s?)?|laughter|noise|music|applause|inaudible|cough|beep)[)\]）】]", "")
+    """Notes on sounds, such as (laughter) or [noise], go, as do silences with their length; English or Chinese."""
+    named = r"silence(\s*\d+(\.\d+)?s?)?|laughter|noise|music|applause|inaudible|unclear|cough|beep|笑聲|咳嗽|雜音|沉默\s*[\d一二三四五六七八九十]+(\s*秒|s)"
+    return F.regexp_replace(c, rf"(?i)[(\[（【]({named})[)\]）】]|（沉默[^）]*）", "")
 
 
 def apply_synonyms(c: Column, groups: list[tuple[str, list[str]]]) -> Column:
