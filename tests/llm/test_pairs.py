@@ -89,6 +89,33 @@ def test_jaccard_join(spark, sf_dir, made, table):
         assert sorted(r.doc_id for r in kept.collect()) == sorted({k[2] for k in expected})
 
 
+def test_first_of_each_with_repeated_ids(spark):
+    """Near copies under one id, repeated rows, wordless rows and a null id: one row of each component stays."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(3, b), (5, a), (5, a + " more"), (5, b + " more"), (7, "lone text of six words here"), (7, "lone text of six words here"), (7, None), (7, None), (8, ""), (8, " "), (None, "n1 n2 n3"), (9, "n1 n2 n3")]
+    d = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n long")
+    got = Counter((r.doc_id, r.text) for r in jaccard_join.first_of_each(d).collect())
+    first = [t for t in (a, a + " more") if (5, t) in got]
+    assert len(first) == 1
+    assert got == Counter([(3, b), (5, first[0]), (7, "lone text of six words here"), (7, None), (7, None), (8, ""), (8, " "), (None, "n1 n2 n3")])
+    assert jaccard_join.first_of_each(d.limit(0)).collect() == []
+
+
+def test_jaccard_join_of_frequent_grams(spark, monkeypatch):
+    """With the least block, the nodes of every shared n-gram are dealt to several keys."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 0)
+    r = random.Random(11)
+    tail = [f"t{i}" for i in range(40)]
+    rows = []
+    for i in range(90):
+        w = list(tail)
+        for j in r.sample(range(40), r.randint(0, 3)):
+            w[j] = f"n{r.randint(0, 12)}"
+        rows.append((i, " ".join([f"h{r.randint(0, 2)}"] * r.randint(0, 1) + w)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, jaccard_join.classes(d).collect())) == brute_components(d.collect())
+
+
 def test_jaccard_join_empty(made):
     assert jaccard_join.classes(made.limit(0)).collect() == []
 
