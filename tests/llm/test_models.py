@@ -5,8 +5,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from utterlake.llm import additive_model, html_text, masked_lm
+from utterlake.llm import additive_model, fingerprints, html_text, masked_lm
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -61,47 +62,72 @@ def test_html_pages(spark, sf_dir):
     assert html_text.extract(p.limit(0)).collect() == []
 
 
-def test_masked_lm(spark, sf_dir):
-    d = spark.createDataFrame([(i, " ".join(["the cat sat on the mat and"] * 40), 1) for i in range(30)] + [(90, None, 1), (91, "", 1), (92, "zzz qqq " * 50, 1)], "doc_id long, text string, n_tokens int")
-    got = {r.doc_id: r for r in masked_lm.score(d).collect()}
-    assert got[90].n_tokens == 0 and got[90].perplexity is None and got[91].log_prob == 0
-    assert got[0].n_tokens == 280 and got[0].log_prob == got[29].log_prob and got[0].perplexity < got[92].perplexity
+def test_masked_lm_edges(spark):
+    said = " ".join(["the cat sat on the mat and"] * 40)
+    rows = [(i, said, 1) for i in range(30)] + [(90, None, 1), (91, "", 1), (93, " \n", 1), (None, said, 1), (0, said, 1), (92, "zzz qqq " * 50, 1), (94, "x" * 400_000 + " y" * 300_000, 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
+    got = masked_lm.score(d).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _, _ in rows)
+    by = {r.doc_id: r for r in got}
+    assert all(by[i].n_tokens == 0 and by[i].perplexity is None and by[i].log_prob == 0 for i in (90, 91, 93))
+    assert {(r.n_tokens, r.log_prob) for r in got if r.doc_id is None or r.doc_id < 90} == {(280, by[0].log_prob)} and by[94].n_tokens == 300_001
+    assert by[0].perplexity < by[92].perplexity
     assert masked_lm.score(d.limit(0)).collect() == []
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    words = Counter(w for r in docs.collect() for w in r.text.split())
-    ids = masked_lm.vocabulary(docs, "text")
-    share = np.array([n for w, n in words.items()], float) / sum(words.values())
-    rows = masked_lm.score(docs).collect()
-    mean = -sum(r.log_prob for r in rows) / sum(r.n_tokens for r in rows)
-    known = sum(n for w, n in words.items() if w.encode() in ids) / sum(words.values())
-    assert 0 < mean < np.log(1024) and 0 < known <= 1 and len(share)
-
-
-def test_masked_lm_every_word(spark):
-    """Words beyond the network's own have their own probabilities, and all words' add up to 1."""
-    r = np.random.default_rng(3)
-    common = " ".join(f"c{i}" for i in range(masked_lm.UNKNOWN) for _ in range(99))
-    rare = [f"r{i}" for i in range(60)]
-    rows = [(0, common), (1, " ".join(rare[:30] * 4 + rare[30:])), (2, "r0 " * 50), (3, "r59 " * 3 + "r58 " * 47), (4, " ".join(r.permutation(rare[:30] * 2)))]
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-    count = Counter(w for _, t in rows for w in t.split())
-    counts = masked_lm.counted(d, "text")
-    assert {x.w: x.n for x in counts.collect()} == count
-    ids = masked_lm.head(counts)
-    share = {x.w: np.exp(x.share / 1e9) for x in masked_lm.shares(counts, ids).collect()}
-    beyond = {w: n for w, n in count.items() if w.encode() not in ids}
-    assert beyond and share == pytest.approx({w: n / sum(beyond.values()) for w, n in beyond.items()}) and sum(share.values()) == pytest.approx(1)
-    # Two texts whose words the network can't tell apart differ by their words' shares alone.
-    few = sorted(beyond, key=lambda w: (beyond[w], w))
-    pair = spark.createDataFrame([*rows, (7, " ".join([few[0]] * 9)), (8, " ".join([few[-1]] * 9))], "doc_id long, text string")
-    got = {x.doc_id: x for x in masked_lm.score(pair).collect()}
-    n = Counter(w for x in pair.collect() for w in x.text.split())
-    assert got[8].log_prob - got[7].log_prob == pytest.approx(9 * np.log(n[few[-1]] / n[few[0]]), abs=1e-3)
-    assert got[7].perplexity > got[8].perplexity
+
+
+def test_masked_lm_against_brute_force(spark, sf_dir, monkeypatch):
+    """Class probabilities from the network, word probabilities from counts; every word's own, adding up to 1."""
+    flat = np.random.default_rng(5).normal(0, 0.4, len(masked_lm.start(np.ones(masked_lm.CLASSES))))
+    monkeypatch.setattr(masked_lm, "train", lambda table, counts: flat)
+    monkeypatch.setattr(masked_lm, "PER_BUCKET", 5000)
+    monkeypatch.setattr(masked_lm, "PART", 30_000)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rows = {r.doc_id: (r.text or "").encode().split() for r in docs.collect()}
+    n = Counter(w for t in rows.values() for w in t)
+    words = fingerprints.words(pa.array([" ".join(w.decode() for w in n)]))
+    kind = dict(zip(n, masked_lm.classes(words).tolist(), strict=True))
+    size = Counter()
+    for w, c in n.items():
+        size[kind[w]] += c
+    assert sum(n[w] / size[kind[w]] for w in n) == pytest.approx(len(size))
+    p = masked_lm.unpack(flat.astype(np.float32).astype(np.float64))
+    got = {r.doc_id: r for r in masked_lm.score(docs.repartition(3)).collect()}
+    assert got.keys() == rows.keys()
+    for i, t in list(rows.items())[:40]:
+        c = [masked_lm.EDGE] * 2 + [kind[w] for w in t] + [masked_lm.EDGE] * 2
+        total = 0.0
+        for k, w in enumerate(t, 2):
+            h = np.tanh(np.concatenate([p["e"][c[k + r]] for r in masked_lm.REACH]) @ p["w"] + p["b"]) @ p["c"] + p["d"]
+            total += h[c[k]] - np.log(np.exp(h).sum()) + np.log(n[w] / size[kind[w]])
+        assert got[i].n_tokens == len(t) and got[i].log_prob == pytest.approx(total, abs=1e-5 * len(t) + 1e-3)
+
+
+def test_masked_lm_learns_and_partitions_do_not_matter(spark, monkeypatch):
+    """Held-out class loss well below that of class frequencies, and so word loss below that of word frequencies, by the same shards however the rows are dealt."""
+    monkeypatch.setattr(masked_lm, "SHARD", 60_000)
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    half = d.where("doc_id % 2 = 0")
+    rest = [r.text for r in d.where("doc_id % 2 = 1").collect()]
+    w = fingerprints.words(pa.array(rest))
+    c = masked_lm.classes(w)
+    texts = [c[a:b].tobytes() for a, b in zip(w.first, w.first[1:])]
+    found = []
+    for parts in (1, 8, 32):
+        table = masked_lm.packed(half.repartition(parts), 1_000_000, "doc_id", "text")
+        counts = masked_lm.class_counts(table)
+        assert counts.sum() > 2 * masked_lm.SHARD
+        found.append(masked_lm.train(table, counts))
+        share = np.log(counts + 0.5) - np.log((counts + 0.5).sum())
+        plain = -share[c].mean()
+        loss = -masked_lm.scores(masked_lm.unpack(found[-1].astype(np.float32)), texts, np.zeros(masked_lm.CLASSES)).sum() / len(c)
+        assert loss < plain - 0.4
+    assert np.allclose(found[0], found[1], atol=1e-4) and np.allclose(found[0], found[2], atol=1e-4)
+    one, many = ({r.doc_id: r.log_prob for r in masked_lm.score(half.repartition(k)).collect()} for k in (1, 8))
+    assert one.keys() == many.keys() and all(abs(one[i] - many[i]) < 0.01 for i in one)
 
 
 def test_masked_lm_trains_on_every_position():
-    texts = [np.random.default_rng(i).integers(0, 1024, 700 * i).astype("<u2").tobytes() for i in range(4)]
+    texts = [np.random.default_rng(i).integers(0, 256, 700 * i).astype(np.uint8).tobytes() for i in range(4)]
     for _, tokens, owner in masked_lm.runs(texts):
         turns = np.concatenate([masked_lm.masked(tokens, owner, t) for t in range(masked_lm.ROUNDS)])
         assert sorted(turns.tolist()) == np.flatnonzero(owner >= 0).tolist()
@@ -109,15 +135,17 @@ def test_masked_lm_trains_on_every_position():
 
 def test_masked_lm_gradient():
     r = np.random.default_rng(1)
-    flat = r.normal(0, 0.3, len(masked_lm.start()))
-    around, target = r.integers(0, 1025, (50, 4)), r.integers(0, 1024, 50)
-    before = masked_lm.log_probs(masked_lm.unpack(flat), around, target).mean()
-    p = masked_lm.unpack(flat)
-    for _ in range(20):
-        masked_lm.step(p, around, target, 0.1)
-    assert masked_lm.log_probs(p, around, target).mean() > before + 0.1
-    every = np.exp([masked_lm.log_probs(p, around[:1].repeat(1024, 0), np.arange(1024))]).sum()
-    assert every == pytest.approx(1, abs=1e-6)
+    flat = r.normal(0, 0.3, len(masked_lm.start(np.ones(256))))
+    around, target = r.integers(0, 257, (20, 4)), r.integers(0, 256, 20)
+    loss = lambda x: -masked_lm.log_probs(masked_lm.unpack(x), around, target).mean()
+    g = masked_lm.gradient(masked_lm.unpack(flat), around, target)
+    for i in [*r.choice(len(flat), 60, replace=False).tolist(), int(around[0, 0]) * masked_lm.VECTOR]:
+        x, y = flat.copy(), flat.copy()
+        x[i] += 1e-5
+        y[i] -= 1e-5
+        assert (loss(x) - loss(y)) / 2e-5 == pytest.approx(g[i], abs=1e-7)
+    every = np.exp(masked_lm.log_probs(masked_lm.unpack(flat), around[:1].repeat(256, 0), np.arange(256))).sum()
+    assert every == pytest.approx(1, abs=1e-9)
 
 
 def test_pipeline(spark, sf_dir):
