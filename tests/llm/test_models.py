@@ -1,8 +1,11 @@
 """Quality classifier, HTML text, masked language model and the pipeline."""
 
+import random
 import re
+import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -50,16 +53,92 @@ def test_additive_model_learns_an_interaction():
     ("<td>x</td><a href=\"a>b\">l</a> <<< 1 < 2", "x l <<< 1 < 2"), ("<dl><dt>t<dd>d</dl>", "t\nd"),
     ("<table><tr><td colspan=2>w<td>x<tr><td>1<td>2<td><table><tr><td>i<td>j</table></table>", "w     x\n1  2  i  j"),
     ("<div>" * 5000 + "deep", "deep"), ("<style>p{", ""), ("<!-- open", ""),
+    ("<p title=\"x>hello<p>there", "hello\n\nthere"), ("<p title='x>a</p><b class=\"y\">c</b>", "a\n\nc"), ("a <b", "a"), ("<p a=1 b = '2>3' c/>x", "x"),
+    ("<div style='visibility:hidden'>no<p style='visibility: visible'>yes</p>no</div>z", "yes\n\nz"), ("<p aria-hidden=true>seen", "seen"),
+    ("a<select><option>one<option selected>two</select>b", "a\n\none\ntwo\n\nb"), ("<svg><title>t</title><text>in a picture</text></svg>", "in a picture"), ("<math><mi>x</mi></math>", "x"),
+    ("<input type=hidden value=h><input value='typed'>", "typed"), ("<textarea>a &lt;b></textarea>", "a <b>"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"), ("<table><tr><td rowspan=0>a<td>b<tr><td>c</table>", "a  b\n   c"),
+    ("<table><tr><td colspan=1000>a<td>b</table>", "a  b"), ("<table><tr><td>" + "w " * 40 + "<td>x<tr><td>y<td>z</table>", "w " * 39 + "w  x\ny  z"),
 ])
 def test_html(html, text):
     assert html_text.text_of(html) == text
 
 
+class Plain(HTMLParser):
+    """All text that isn't inside what is never shown; for well-formed pages."""
+
+    NEVER = ("head", "script", "style", "template", "noscript")
+
+    def __init__(self):
+        super().__init__()
+        self.hidden, self.said = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in self.NEVER
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in self.NEVER
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.said.append(data)
+
+
+def letters(text):
+    return re.findall(r"[^\W\d_]+", text)
+
+
+def plain(html):
+    p = Plain()
+    p.feed(html)
+    p.close()
+    return " ".join(p.said)
+
+
+def test_html_against_another_parser(spark, sf_dir):
+    """The same words in the same order as the standard library's parser finds, on the pages and on made trees."""
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").where("html is not null").collect():
+        assert letters(html_text.text_of(r.html)) == letters(plain(r.html))
+    rng = random.Random(3)
+    names = iter(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(17576))
+
+    def tree(depth):
+        kind = rng.choice(["p", "div", "span", "b", "ul", "table", "pre", "script", "text", "text", "h1", "blockquote"])
+        if not depth or kind == "text":
+            return f" {next(names)} "
+        if kind == "ul":
+            return "<ul>" + "".join(f"<li>{tree(depth - 1)}</li>" for _ in range(rng.randint(1, 3))) + "</ul>"
+        if kind == "table":
+            return "<table>" + "".join("<tr>" + "".join(f"<td rowspan={rng.choice((1, 1, 2))} colspan={rng.choice((1, 1, 3))}> {next(names)} </td>" for _ in range(rng.randint(1, 3))) + "</tr>" for _ in range(rng.randint(1, 3))) + "</table>"
+        if kind == "script":
+            return f"<script>{next(names)}</script>"
+        inside = " ".join(tree(0 if kind in ("p", "h1", "pre") else depth - 1) for _ in range(rng.randint(1, 3)))
+        return f"<{kind} title='{next(names)}'>{inside}</{kind}>"
+
+    for _ in range(60):
+        html = "<html><head><title>no</title></head><body>" + "".join(tree(4) for _ in range(3)) + "</body></html>"
+        assert letters(html_text.text_of(html)) == letters(plain(html))
+
+
+@pytest.mark.parametrize("html", [
+    "<a " * 200_000, "<p title=\"" * 100_000, "<p title='x" * 50_001, "<div>" * 100_000 + "</p>" * 50_000, "<p>" + "<div>" * 50_000 + "<li>" * 20_000, "<" * 500_000, "<ul><li>" * 30_000,
+    "<table><tr><td>a<td colspan=1000>b<td>" * 3000, "<table>" + "<tr><td>a<td colspan=1000>b<td>c" * 3000 + "<tr><td>" + "w" * 90_000 + "</table>", "<table><tr>" + "<td rowspan=65534>x" * 3000 + "<tr><td>y" * 300 + "</table>",
+    "<script>" * 50_000, "<!--" * 100_000, "<textarea>" * 50_000, "<b>" * 100_000 + "</i>" * 100_000, "&amp" * 100_000, "<select><option>" * 30_000,
+])
+def test_html_bad_pages_take_no_square(html):
+    began = time.process_time()
+    text = html_text.text_of(html)
+    assert time.process_time() - began < 8 and len(text) < 20 * len(html) + 5000
+
+
 def test_html_pages(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
     rows = html_text.extract(p).collect()
     assert len(rows) == p.count() and all("track(" not in r.text and "<div" not in r.text for r in rows)
     assert html_text.extract(p.limit(0)).collect() == []
+    odd = spark.createDataFrame([(1, "<p>a", "t", 3), (1, "<p>a", "t", 3), (None, None, "t", 3), (2, "", "t", 3), (3, "<p>" + "b " * 300_000, "t", 3)], "page_id long, html string, text string, n_chars long")
+    got = Counter((r.page_id, r.text[:3], r.n_chars) for r in html_text.extract(odd).collect())
+    assert got == Counter([(1, "a", 1), (1, "a", 1), (None, "", 0), (2, "", 0), (3, "b b", 599_999)])
 
 
 def test_masked_lm_edges(spark):
