@@ -1,8 +1,8 @@
 """Best-fit packing of tokenised documents into sequences, by bin completion.
 
 Documents are cut into pieces of at most one sequence. Pieces are dealt by a hash into groups of bounded mean size,
-whose number follows the number of rows; each group is packed on its own, so the only loss against one global
-packing is less than one sequence per group (under 0.1 %). In a group, best-fit decreasing gives the incumbent; if
+whose number follows the number of pieces; each group is packed on its own. Where its packing meets the lower bound,
+that loses less than one sequence per group against a packing of all. In a group, best-fit decreasing gives the incumbent; if
 it misses the lower bound, a branch-and-bound over bin completions looks for fewer sequences: it enumerates the
 undominated fillings around the largest piece that is left and gives up a branch once its waste excludes a better
 packing.
@@ -22,14 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 SEQUENCE = 4096
 END_ID = 1
 #: Mean pieces per group; search nodes per piece beyond which the incumbent stands; fillings tried at a node.
-GROUP = 4096
+GROUP = 16_384
 NODES_PER_PIECE = 2
 BRANCH = 4
-#: Distinct words in each of the two generations of ids that a worker keeps.
-CACHE_WORDS = 500_000
+#: Bytes of words and their ids, roughly, in each of the two generations that a worker keeps.
+CACHE_BYTES = 80_000_000
 
 
 def tokenizer_path() -> str:
@@ -53,6 +55,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
+        self.bytes = 0
 
     def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         for text in texts:
@@ -62,8 +65,8 @@ class WordIds:
                 continue
             except KeyError:
                 pass
-            if len(self.known) > CACHE_WORDS:  # frequent words come back from the older generation
-                self.known, self.older = {"": b""}, self.known
+            if self.bytes > CACHE_BYTES:  # frequent words come back from the older generation
+                self.known, self.older, self.bytes = {"": b""}, self.known, 0
             new = []
             for w in set(words).difference(self.known):
                 ids = self.older.get(w)
@@ -71,8 +74,10 @@ class WordIds:
                     new.append(w)
                 else:
                     self.known[w] = ids
+                    self.bytes += 150 + len(w) + len(ids)
             for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+                ids = self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+                self.bytes += 150 + len(w) + len(ids)
             yield b"".join(map(self.known.__getitem__, words))
 
 
@@ -242,7 +247,8 @@ def pack(cut: DataFrame, groups: int) -> DataFrame:
         table["offset"] = [placed[i][1] for i in table.index]
         return table.drop(columns="__group")
 
-    keyed = cut.withColumn("__group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    # The row's number deals repeated rows to all groups.
+    keyed = cut.withColumn("__group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     return keyed.groupBy("__group").applyInPandas(packed, f"{PIECES}, sequence_id long, offset long")
 
 
@@ -252,5 +258,5 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     Null and empty texts are the end id alone. Rows that repeat are packed each. Other columns are ignored; an empty
     table gives no rows.
     """
-    groups = max(1, math.ceil(docs.count() / GROUP))
-    return pack(pieces(docs, id_col, text_col, path), groups)
+    cut = written(pieces(docs, id_col, text_col, path), "packing-pieces")
+    return pack(cut, max(1, math.ceil(cut.count() / GROUP)))
