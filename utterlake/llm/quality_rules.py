@@ -4,7 +4,8 @@ Each rule votes for a document (1), against it (-1) or abstains (0). A latent-cl
 fitted by expectation-maximisation: documents are good, or bad in one of as many ways as there are rules, and of
 each class the fit estimates its share and how each rule votes on it (its accuracies). A document's posterior
 probability of being good replaces "all rules must pass". With one bad class alone, junk of a rarer kind that only
-one rule knows would be outvoted by the rules that look for other kinds.
+one rule knows would be outvoted by the rules that look for other kinds. A bad class belongs to its rule by the prior
+alone; how that rule votes on it is estimated like all else.
 
 The votes of all documents enter the fit as counts of vote patterns (at most 3 to the power of the number of
 rules, whatever the input); the rounds of EM run over that small array in one expression.
@@ -143,12 +144,7 @@ def _round(patterns: Column, acc: Column) -> Column:
             prior = F.when(c == j + 1, F.array(*map(F.lit, JUNK))[k]).otherwise(F.array(*map(F.lit, GOOD))[k])
             return F.log((seen + STRENGTH * prior) / (weight(c) + STRENGTH))
 
-        def kept(c: Column, j: Column) -> Column:
-            # A class is defined by its own rule, whose votes on it stay as they were set.
-            own = F.array(*[F.log(F.lit(x)) for x in JUNK])
-            return F.when(c == j + 1, own).otherwise(F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: vote(c, j, k)))
-
-        votes = F.transform(classes, lambda c: F.transform(rules, lambda j: kept(c, j)))
+        votes = F.transform(classes, lambda c: F.transform(rules, lambda j: F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: vote(c, j, k))))
         return F.struct(share.alias("share"), votes.alias("vote"))
 
     return let(F.transform(patterns, shared_out), estimated)
