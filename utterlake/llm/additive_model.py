@@ -7,6 +7,7 @@ the largest gain get tables of their own in the same way. Scoring adds up table
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, written
+from .common import let, small_side, written
 from .quality_rules import features
 
 NAMES = ("words", "word_length", "symbols", "duplicate_lines", "repetition", "upper_case", "stops", "words_a_line")
@@ -127,7 +128,10 @@ def held_out(id_col: Column) -> Column:
 def training_rows(scored: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Inputs and labels of at most SAMPLE rows that aren't held out, by a hash of the id; what the driver sees is bounded by that."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("y"))
-    rows = scored.join(known, scored["doc_id"] == known["id"]).orderBy(F.xxhash64("id"), "id", "y").limit(SAMPLE).select("x", "y").collect()
+    n = known.count()
+    if n > SAMPLE:  # a few more at most, cut below
+        known = known.where(F.pmod(F.xxhash64("id"), F.lit(2**30)) < math.ceil(2**30 * SAMPLE / n))
+    rows = scored.join(small_side(known, min(n, SAMPLE)), scored["doc_id"] == known["id"]).orderBy(F.xxhash64("id"), "id", "y").limit(SAMPLE).select("x", "y").collect()
     return np.array([r["x"] for r in rows], dtype=np.float64).reshape(-1, len(NAMES)), np.array([r["y"] for r in rows])
 
 
