@@ -2,11 +2,13 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from utterlake.llm import media, mixture, packing, quality_rules, secret_scan
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -50,6 +52,41 @@ def test_quality_rules(spark, sf_dir, docs, table):
         assert {r.doc_id for r in quality_rules.keep(d).collect()} == kept
 
 
+def test_quality_fit_against_plain_em(spark):
+    """Shares, accuracies and posteriors as a plain EM over documents finds them; the rules' accuracies on their own junk too."""
+    rng, m = np.random.default_rng(4), quality_rules.M
+    true = rng.choice([-1, 0, 1], size=(400, m), p=[0.05, 0.15, 0.8])
+    true[:60, 0], true[60:90, 2] = -1, rng.choice([-1, 1], 30)
+    text = lambda v: " ".join(map(str, v))
+    d = spark.createDataFrame([(text(v),) for v in true.tolist()], "v string")
+    given = F.transform(F.split("v", " "), lambda x: x.cast("int"))
+
+    def plain(rounds):
+        prior = np.array([[quality_rules._prior(c, j) for j in range(m)] for c in range(m + 1)])
+        first = np.array([quality_rules.PRIOR] + [(1 - quality_rules.PRIOR) / m] * m)
+        share, vote = first, prior
+        for _ in range(rounds):
+            joint = share * np.prod(vote[:, np.arange(m), true + 1].transpose(1, 0, 2), axis=2)
+            w = joint / joint.sum(1, keepdims=True)
+            share = (w.sum(0) + quality_rules.STRENGTH * first) / (len(true) + quality_rules.STRENGTH)
+            hit = np.stack([(true + 1 == k) for k in range(3)], axis=2).astype(float)
+            vote = (np.einsum("dc,djk->cjk", w, hit) + quality_rules.STRENGTH * prior) / (w.sum(0)[:, None, None] + quality_rules.STRENGTH)
+        return share, vote
+
+    keep = quality_rules.votes
+    try:
+        quality_rules.votes = lambda f: {n: f[j] for j, n in enumerate(quality_rules.RULES)}
+        model = quality_rules.fit(d.select(given.alias("f")), F.col("f"), rounds=8)
+    finally:
+        quality_rules.votes = keep
+    share, vote = plain(8)
+    assert np.allclose(np.exp(model.log_share), share) and np.allclose(np.exp(np.array(model.log_vote)), vote)
+    joint = share * np.prod(vote[:, np.arange(m), true + 1].transpose(1, 0, 2), axis=2)
+    got = d.select(model.posterior([given[j] for j in range(m)]).alias("p")).collect()
+    assert np.allclose([r.p for r in got], joint[:, 0] / joint.sum(1))
+    assert abs(vote[1, 0, 0] - quality_rules.JUNK[0]) > 1e-3  # not where it was set
+
+
 def test_quality_rules_empty(docs):
     assert quality_rules.score(docs.limit(0)).collect() == []
 
@@ -259,3 +296,50 @@ def test_private_key_bodies_go(spark):
     got = {r.doc_id: r.text for r in secret_scan.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i] for i in range(len(bodies))] == ["see [SECRET]\nthese words stay"] * len(bodies)
     assert got[9] == "[SECRET]\nonly prose here [SECRET] x"
+
+
+def test_secret_history_and_many_spans(spark, tmp_path):
+    """Two versions: the second scans only what is new; a text of many spans takes no square of them; overlaps become one mark."""
+    key = "AKIA" + "A" * 16
+    one = [(1, f"x {key} y"), (2, "plain"), (3, None)]
+    two = [(1, f"x {key} y"), (4, "token = 0123456789abcdef0123456789 é😀 " + key), (5, ("é😀 " + "ab" * 12 + " ") * 20_000)]
+    frames = [spark.createDataFrame(r, "doc_id long, text string") for r in (one, two)]
+    ledger = secret_scan.Ledger(spark, str(tmp_path / "ledger"))
+    assert ledger.rows() is None
+    began = time.time()
+    got = {(r.doc_id, r.spans) for r in secret_scan.report_history(frames, ledger=ledger).collect()}
+    many = ",".join(f"hex:{28 * i + 3}:{28 * i + 27}" for i in range(20_000))
+    assert got == {(1, "access:2:22"), (2, ""), (3, ""), (4, "assign:0:34,hex:8:34,access:38:58"), (5, many)}
+    assert ledger.rows().count() == 5 and secret_scan.scan_unseen(frames[1], ledger=ledger.rows()).count() == 0
+    red = {r.doc_id: r.text for r in secret_scan.redact(frames[1]).collect()}
+    assert red == {1: "x [SECRET] y", 4: "[SECRET] é😀 [SECRET]", 5: "é😀 [SECRET] " * 20_000}
+    assert time.time() - began < 60
+
+
+def test_media_of_broken_images(spark):
+    good = media.media("some text")
+    rows = [(1, 9, good), (2, 9, good[:40]), (3, 9, b""), (4, 9, b"no image"), (5, None, None), (6, 9, good.replace(b"\xff\xc0", b"\xff\xc2")), (7, 9, good)]
+    got = {r.doc_id: r for r in media.describe(spark.createDataFrame(rows, media.ENCODED)).collect()}
+    assert len(got) == 7 and got[1].payload_sha256 == got[7].payload_sha256 == hashlib.sha256(b"some text".ljust(192)).hexdigest()
+    assert all(got[i].payload_sha256 is None and got[i].feature is None for i in (2, 4, 5, 6)) and got[4].media_bytes == 8
+
+
+def test_mixture_without_ids(spark):
+    """Rows without an id draw on their own, so a source of them isn't taken whole or not at all."""
+    rows = [(None, "a", f"text {i} " * 5) for i in range(300)] + [(i, "b", "text here " * 5) for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = [r for r in mixture.mixed(d).collect() if r.doc_id is None]
+    assert abs(sum(r.taken for r in got) - got[0].target) <= 0.1 * got[0].target
+
+
+def test_packing_of_repeated_rows_and_pieces(spark, monkeypatch):
+    """Groups follow pieces, not rows, and repeated rows are dealt to all of them."""
+    monkeypatch.setattr(packing, "GROUP", 50)
+    d = spark.createDataFrame([(1, "word " * 300)] * 400 + [(2, "w x y z " * 60_000)], "doc_id long, text string")
+    got = packing.packed(d).collect()
+    groups = Counter(r.sequence_id >> 40 for r in got)
+    assert len(groups) >= 5 and max(groups.values()) < 0.5 * len(got)
+    used = Counter()
+    for r in got:
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= 4096

@@ -241,6 +241,17 @@ def decode(values: list[bytes]) -> list[tuple[list[np.ndarray], list[Frame]]]:
     return [([planes[id(f)] for f in frames], frames) for frames in parsed]
 
 
+def decoded(values: list[bytes | None]) -> list[tuple[list[np.ndarray], list[Frame]] | None]:
+    """:func:`decode`, with None for what isn't a whole baseline image."""
+    try:
+        return list(decode(values))
+    except Exception:  # whatever broken bytes lead to; found again one by one
+        if len(values) == 1:
+            return [None]
+        half = len(values) // 2
+        return decoded(values[:half]) + decoded(values[half:])
+
+
 def thumbnail_hash(planes: list[np.ndarray]) -> str:
     """64 bits in hex: which of 8 x 8 equal fields of the thumbnail are lighter than their mean."""
     p = np.vstack(planes)
@@ -284,15 +295,23 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def describe(stored: DataFrame) -> DataFrame:
-    """What the stored images hold: the payload as read back, digests, dimensions and the thumbnail's hash."""
+    """What the stored images hold: the payload as read back, digests, dimensions and the thumbnail's hash.
+
+    A broken, progressive or null image has nulls for what can't be read.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every = batch.column(2).to_pylist()
-            for a, b in _runs([len(m) for m in every]):
+            for a, b in _runs([len(m or b"") for m in every]):
                 part, values = batch.slice(a, b - a), every[a:b]
                 cols: list[list] = [[] for _ in range(6)]
-                for m, (planes, frames) in zip(values, decode(values), strict=True):
+                for m, image in zip(values, decoded(values), strict=True):
+                    if image is None or not image[1]:
+                        for c, x in zip(cols, (None, None, None, None if m is None else len(m), None if m is None else hashlib.sha256(m).hexdigest(), None), strict=True):
+                            c.append(x)
+                        continue
+                    planes, frames = image
                     raw = b"".join(p.tobytes() for p in planes)
                     shape = f"{frames[0].width}x{sum(f.height for f in frames)}"
                     row = (len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-16:]), len(m), hashlib.sha256(m).hexdigest(), f"{shape}:{thumbnail_hash(planes)}")

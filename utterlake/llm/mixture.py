@@ -26,8 +26,9 @@ def size(text: Column) -> Column:
 
 
 def draw(id_col: Column, text: Column) -> Column:
-    """A number in [0, 1) from a hash of the id and the seed; nothing else of the row decides."""
-    hexed = F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(id_col.cast("string"), F.lit("null"))))
+    """A number in [0, 1) from a hash of the id and the seed; of a row without id, its text takes the id's place."""
+    unnamed = F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit(""))))
+    hexed = F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(id_col.cast("string"), unnamed)))
     return F.conv(F.substring(hexed, 1, 12), 16, 10).cast("double") / F.lit(float(2**48))
 
 
@@ -89,7 +90,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """One row per row of ``docs``: id, size, source_size, target, and the words that the mix takes of it.
 
     A null source is a source of its own, last in order. Null and empty texts have size 0. Rows with one id share
-    its draw, so copies of a row are taken alike. Other columns are ignored; an empty table gives no rows.
+    its draw, so copies of a row are taken alike; rows without id draw by their text. Other columns are ignored; an empty table gives no rows.
     """
     rows, per_source, n = plan(docs, id_col, text_col, source_col)
     r = rows.join(small_side(per_source.withColumnRenamed("source", "s"), n), F.col("source").eqNullSafe(F.col("s")))
@@ -108,7 +109,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def oracle() -> str:
     """The same in SQL, for DuckDB."""
-    u = f"('0x' || substr(md5('{SEED}:' || coalesce(cast(doc_id AS varchar), 'null')), 1, 12))::BIGINT::DOUBLE / {float(2**48)}"
+    u = f"('0x' || substr(md5('{SEED}:' || coalesce(cast(doc_id AS varchar), 'null:' || md5(coalesce(text, '')))), 1, 12))::BIGINT::DOUBLE / {float(2**48)}"
 
     def times(shift: str) -> str:
         v = f"(u + {shift} / {float(SHIFTS)})"
