@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +29,33 @@ INSIDE = WINDOW - GRAM + 1
 BATCHES, MOST_RUNS = 6, 4
 
 
-def anchors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprints, the places of the distinct anchors, and the place of each window's anchor."""
-    g = fp.grams(fp.hashes(words), GRAM)
-    if len(words) < WINDOW:
-        return g, np.empty(0, np.int64), np.empty(0, np.int64)
-    of = np.lib.stride_tricks.sliding_window_view(g, INSIDE).argmin(axis=1) + np.arange(len(words) - WINDOW + 1)
-    return g, np.unique(of), of
+#: Low bits of a value that hold its place while the smallest is looked for; the others are the fingerprint's.
+PLACE = 28
+
+
+def smallest(g: np.ndarray) -> np.ndarray:
+    """The place of the smallest of each INSIDE values in a row, the first of equal ones: minima over twice the width, again and again."""
+    low = np.uint64(2**PLACE - 1)
+    v = (g & ~low) | np.arange(len(g), dtype=np.uint64)
+    wide = 1
+    while 2 * wide <= INSIDE:
+        v = np.minimum(v[:-wide], v[wide:])
+        wide *= 2
+    return (np.minimum(v[: len(v) - (INSIDE - wide)], v[INSIDE - wide :]) & low).astype(np.int64)
+
+
+def marks(texts: pa.Array) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each text: its bytes from the first word to the last, its fingerprints, the places of the distinct anchors, and the place of each window's anchor."""
+    w = fp.words(texts)
+    g = fp.grams(w.hashes, GRAM)
+    of = smallest(g) if len(g) >= INSIDE else np.empty(0, np.int64)
+    bounds = w.first.tolist()
+    for a, b in zip(bounds, bounds[1:]):
+        raw = w.data[w.begin[a] : w.end[b - 1]].tobytes() if b > a else b""
+        mine = of[a : b - WINDOW + 1] - a if b - a >= WINDOW else of[:0]
+        new = np.ones(len(mine), dtype=bool)
+        np.not_equal(mine[1:], mine[:-1], out=new[1:])  # places only rise
+        yield raw, g[a : max(a, b - GRAM + 1)], mine[new], mine
 
 
 def window_hashes(g: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,21 +75,29 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), t).alias("key"), t.alias("text"))
 
 
-def fingerprint_rows(texts: DataFrame) -> DataFrame:
-    """(h, key, pos) of every anchor."""
+def marked(texts: DataFrame) -> DataFrame:
+    """(doc_id, key, n_words, sha, h, pos): the digest of all words, and the fingerprint and place of every anchor."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hs, ks, ps = [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                g, at, _ = anchors(fp.split(text))
-                hs.append(g[at].astype(np.int64))
-                ks.append(np.full(len(at), key, dtype=np.int64))
-                ps.append(at.astype(np.int32))
-            cat = lambda xs, t: pa.array(np.concatenate(xs) if xs else np.empty(0), t)
-            yield pa.RecordBatch.from_arrays([cat(hs, pa.int64()), cat(ks, pa.int64()), cat(ps, pa.int32())], names=["h", "key", "pos"])
+        for part in fp.parts(batches, 2):
+            n, s, h, p, sizes = [], [], [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [0]
+            for raw, g, at, _ in marks(part.column(2)):
+                w = raw.split()
+                n.append(len(w))
+                s.append(hashlib.sha256(b" ".join(w)).hexdigest())
+                h.append(g[at])
+                p.append(at)
+                sizes.append(len(at))
+            offsets = pa.array(np.cumsum(sizes), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x).view(np.int64))) for x in (h, p)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(s, pa.string()), *lists], names=["doc_id", "key", "n_words", "sha", "h", "pos"])
+
+    return texts.mapInArrow(found, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, key long, n_words long, sha string, h array<long>, pos array<long>")
+
 
-    return texts.select("key", "text").mapInArrow(found, "h long, key long, pos int")
+def fingerprint_rows(of: DataFrame) -> DataFrame:
+    """(h, key, pos) of every anchor of :func:`marked` texts."""
+    return of.select("key", F.explode(F.arrays_zip("h", "pos")).alias("x")).select("x.h", "key", F.col("x.pos").cast("int").alias("pos"))
 
 
 class FingerprintIndex:
@@ -88,9 +117,9 @@ class FingerprintIndex:
         # If n is 1, the least key and the least pos are those of the one place.
         return rows.groupBy("h").agg(F.sum("n").alias("n"), F.min("key").alias("key"), F.min("pos").alias("pos"))
 
-    def add(self, texts: DataFrame) -> DataFrame:
-        """Index a batch; returns its run with ``seen``: whether an older run has the fingerprint."""
-        rows = self._summed(fingerprint_rows(texts).withColumn("n", F.lit(1).cast("long")))
+    def add(self, texts: DataFrame, of: DataFrame | None = None) -> DataFrame:
+        """Index a batch; returns its run with ``seen``: whether an older run has the fingerprint. ``of``: its :func:`marked` texts, if there."""
+        rows = self._summed(fingerprint_rows(marked(texts) if of is None else of).withColumn("n", F.lit(1).cast("long")))
         run = written(rows.sortWithinPartitions("h"), "fingerprint-run")
         old = self.merged()
         self.runs.append(run)
@@ -122,22 +151,6 @@ class FingerprintIndex:
         self.retired = []
 
 
-def measured(texts: DataFrame) -> DataFrame:
-    """(doc_id, key, n_words, n_anchors, sha): the digest is that of all words."""
-
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, a, s = [], [], []
-            for text in batch.column(2).to_pylist():
-                w = fp.split(text)
-                n.append(len(w))
-                a.append(len(anchors(w)[1]))
-                s.append(hashlib.sha256(b" ".join(w)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(s, pa.string())], names=["doc_id", "key", "n_words", "n_anchors", "sha"])
-
-    return texts.mapInArrow(found, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, key long, n_words long, n_anchors long, sha string")
-
-
 def open_windows(of: np.ndarray, at: np.ndarray, single: list[int] | None) -> np.ndarray:
     """Starts of the windows whose anchor is in more than one place."""
     lone = np.isin(at, np.array(single or [], dtype=np.int64))
@@ -151,7 +164,8 @@ def older_texts(texts: list[DataFrame], hits: DataFrame) -> DataFrame | None:
     every = texts[0]
     for t in texts[1:]:
         every = every.unionByName(t)
-    found = fingerprint_rows(every).join(hits.select("h", F.lit(True).alias("hit")), "h", "left")
+    every = every.select(F.lit(0).alias("doc_id"), "key", "text")
+    found = fingerprint_rows(marked(every)).join(hits.select("h", F.lit(True).alias("hit")), "h", "left")
     by = found.groupBy("key").agg(F.count("hit").alias("hits"), F.collect_list(F.when(F.col("hit").isNull(), F.col("pos"))).alias("single"))
     return every.join(by.where("hits > 0").select("key", "single"), "key")
 
@@ -160,16 +174,15 @@ def repeats(texts: DataFrame, older: DataFrame | None = None) -> DataFrame:
     """(key, single_windows): of the rows of (key, text, single), the starts of the open windows that are found once only, there and in ``older``."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols: list[list] = [[], [], [], []]
-            for key, text, single in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                g, at, of = anchors(fp.split(text))
+        for part in fp.parts(batches, 1):
+            cols: list[list] = [[np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]]
+            keys, singles = part.column(0).to_pylist(), part.column(2).to_pylist()
+            for key, single, (_, g, at, of) in zip(keys, singles, marks(part.column(1)), strict=True):
                 starts = open_windows(of, at, single)
                 a, b = window_hashes(g, starts)
-                for c, x in zip(cols, (a.astype(np.int64), b.astype(np.uint32).view(np.int32), np.full(len(starts), key, np.int64), starts.astype(np.int32)), strict=True):
+                for c, x in zip(cols, (a.view(np.int64), b.astype(np.uint32).view(np.int32), np.full(len(starts), key, np.int64), starts.astype(np.int32)), strict=True):
                     c.append(x)
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.empty(0), t) for c, t in zip(cols, types, strict=True)], names=["a", "b", "key", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["a", "b", "key", "start"])
 
     both = texts.select("key", "text", "single")
     if older is not None:
@@ -179,14 +192,13 @@ def repeats(texts: DataFrame, older: DataFrame | None = None) -> DataFrame:
     return once.groupBy("key").agg(F.collect_list("start").alias("single_windows"))
 
 
-def removed(words: list[bytes], single: list[int] | None, single_windows: list[int] | None) -> np.ndarray:
-    """Which words a repeated window covers."""
-    _, at, of = anchors(words)
+def left(n: int, of: np.ndarray, at: np.ndarray, single: list[int] | None, single_windows: list[int] | None) -> np.ndarray:
+    """Which of ``n`` words no repeated window covers."""
     starts = np.setdiff1d(open_windows(of, at, single), np.array(single_windows or [], dtype=np.int64), assume_unique=True)
-    edge = np.zeros(len(words) + 1, dtype=np.int64)
+    edge = np.zeros(n + 1, dtype=np.int64)
     np.add.at(edge, starts, 1)
     np.add.at(edge, starts + WINDOW, -1)
-    return np.cumsum(edge[:-1]) > 0
+    return np.cumsum(edge[:-1]) == 0
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: FingerprintIndex | None = None) -> DataFrame:
@@ -199,31 +211,32 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index
     texts = keyed(docs, id_col, text_col)
     index = index or FingerprintIndex()
     before = list(index.texts)
+    every = written(marked(texts), "dedup-marked")
     fresh, hits = None, None
     for b in range(BATCHES):
-        run = written(index.add(texts.where(F.pmod("key", F.lit(BATCHES)) == b)), "dedup-run")
+        mine = F.pmod("key", F.lit(BATCHES)) == b
+        run = written(index.add(texts.where(mine), every.where(mine)), "dedup-run")
         one, old = run.where("n = 1 and not seen").select("h", "key", "pos"), run.where("seen").select("h")
         fresh, hits = (one, old) if fresh is None else (fresh.unionByName(one), hits.unionByName(old))
     hits = hits.distinct()
     # What is new to its batch's elder runs can only be found again by a later batch.
     unique = fresh.join(hits.hint("merge"), "h", "left_anti").groupBy("key").agg(F.collect_list("pos").alias("single"))
     unique = written(unique, "dedup-unique")
-    every = written(measured(texts), "dedup-measured")
-    some = every.join(unique.select("key", F.size("single").alias("u")), "key", "left").where(F.col("n_anchors") > F.coalesce("u", F.lit(0)))
+    some = every.join(unique.select("key", F.size("single").alias("u")), "key", "left").where(F.size("h") > F.coalesce("u", F.lit(0)))
     some = written(some.select("key").distinct(), "dedup-open")
     touched = written(texts.join(some.hint("merge"), "key", "left_semi").join(unique, "key", "left"), "dedup-texts")
     once = repeats(touched, older_texts(before, hits))
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in fp.parts(batches, 1):
             n, r, s = [], [], []
-            for text, single, windows in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                w = fp.split(text)
-                gone = removed(w, single, windows)
+            for single, windows, (raw, _, at, of) in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), marks(part.column(1)), strict=True):
+                w = raw.split()
+                stay = left(len(w), of, at, single, windows)
                 n.append(len(w))
-                r.append(int(gone.sum()))
-                s.append(hashlib.sha256(b" ".join(x for x, g in zip(w, gone.tolist(), strict=True) if not g)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(s, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+                r.append(len(w) - int(stay.sum()))
+                s.append(hashlib.sha256(b" ".join(compress(w, stay.tolist()))).hexdigest())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(r, pa.int64()), pa.array(s, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     done = touched.join(once, "key", "left").select("doc_id", "text", "single", "single_windows").mapInArrow(finished, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
