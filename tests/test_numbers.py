@@ -4,17 +4,26 @@ import pytest
 from pyspark.sql import functions as F
 from utterlake.functions import numbers
 
+SAME = None
 NUMBERS = {
-    "十四時三十分": "14:30", "下午兩點半": "14:30", "早上九點十五分": "09:15", "二十三時零五分": "23:05", "上午七點整": "07:00", "中午十二點": "12:00", "九十時半": None,
-    "G7 站長回報": "G07 站長回報", "R1 月台": "R01 月台", "G07 已是標準": None, "G12 也不動": None, "g5 小寫也要補零": "G05 小寫也要補零",
-    "二月台列車": "2 月台列車", "三月台門": "3 月台門", "2月台": "2 月台", "五分鐘": "5 分鐘", "十秒鐘": "10 秒鐘", "半小時後": None,
-    "G7 站長，下午兩點半派員到二月台待命五分鐘": "G07 站長，14:30 派員到 2 月台待命 5 分鐘", "OCC 通告全線": None, "25/26 車門": None, "": None,
+    "晚上八點二十分發車": "20:20 發車", "凌晨零點五分": "00:05", "傍晚六點整": "18:00", "十六時": "16:00", "下午 3 點 05 分": "15:05", "夜間十一點半": "23:30", "中午十二點半": "12:30",
+    "廿時": SAME, "二十五時十分": "二十五時 10 分", "三點七十分": "三點 70 分", "一二三點": SAME, "洞八時三洞分": "08:30", "八點鐘到": "08:00 到",
+    "r3 通告": "R03 通告", "G9": "G09", "xG9": SAME, "G9a": SAME, "R15 列車": SAME, "往g2站": "往G02 站",
+    "十二月台": "12 月台", "3 月台": SAME, "一二三月台": SAME, "七公里": "7 公里", "兩小時": "2 小時", "零秒": SAME, "四十五秒後": "45 秒後", "停 30秒": "停 30 秒",
+    "請R6 站長於上午七點十分前到四月台等兩分鐘": "請R06 站長於 07:10 前到 4 月台等 2 分鐘", "沒有數字": SAME, "": SAME, "a  b": "a b",
 }
-CARS = {"2526車門": "25/26 車門", "0506車": "05/06 車", "5/6車": "05/06 車", "二五二六車門": "25/26 車門", "3車": "3 車", "12車組": None, "洞五車": "05 車", "25 / 26 車": "25/26 車", "no": None}
+CARS = {"1112車門": "11/12 車門", "7/12 車": "07/12 車", "一三一四動車": "13/14 動車", "腰拐車": "17 車", "8車門": "8 車門", "34車站": SAME, "1 ／ 2車": "01/02 車", "123車": SAME, "12345車": SAME, "車": SAME, "": SAME}
 
 
 @pytest.mark.parametrize(("f", "cases"), [(numbers.normalize_numbers, NUMBERS), (numbers.normalize_car_numbers, CARS)])
 def test_cases(spark, f, cases):
     got = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string").select("t", f(F.col("t")).alias("o")).collect()
-    wanted = {k: k if v is None else v for k, v in cases.items()} | {None: None}
+    wanted = {k: k if v is SAME else v for k, v in cases.items()} | {None: None}
     assert {r["t"]: r["o"] for r in got if r["o"] != wanted[r["t"]]} == {}
+
+
+def test_spellings():
+    table = numbers.spellings()
+    assert set(table.values()) == set(range(100))
+    assert [table[x] for x in ("0", "十", "2十", "3十7", "99", "07", "7", "1十", "2十2")] == [0, 10, 20, 37, 99, 7, 7, 10, 22]
+    assert not {"", "十十", "123", "2十00", "0十"} & set(table)

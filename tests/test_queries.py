@@ -40,6 +40,21 @@ def test_text(spark, f, given, wanted):
     assert value(spark, f, given) == wanted
 
 
+@pytest.mark.parametrize(("given", "wanted"), [
+    ("第一句。第二句！x", ["第一句", "第二句"]), ("we go over then wait", ["we go over", "then wait"]), ("moreover it rains", ["moreover it rains"]),
+    ("知道收到 G05 呼叫行控", ["知道收到", "G05 呼叫行控"]), ("【10:00】 hello\nworld", ["hello", "world"]), ("a" * 95, ["a" * 40, "a" * 40, "a" * 15]),
+    ("word " * 12, ["word word word word word word word word", "word word word word"]), ("", []), (None, None), ("a", []),
+])
+def test_split_sentences(spark, given, wanted):
+    assert value(spark, text.split_sentences, given) == wanted
+
+
+def test_distance(spark):
+    rows = [("", ""), ("a", ""), ("kitten", "sitting"), ("x" * 30, "y" * 30), ("same", "same"), ("abcdefghijklmnopq", "abcdefghijklmnop"), (None, "a")]
+    got = spark.createDataFrame(rows, "a string, b string").select(metrics.distance("a", "b").alias("d"), F.levenshtein("a", "b").alias("e")).collect()
+    assert all(r.d == r.e for r in got)
+
+
 def test_file_names(spark):
     assert str(value(spark, text.filename_datetime, "rec_20240131_101112.wav")) == "2024-01-31 10:11:12"
     assert value(spark, text.filename_datetime, "20241331101112") is None
@@ -61,8 +76,8 @@ def test_rules(spark):
     assert value(spark, lambda c: rules.replace_all(c, table), "abc ab") == "y x"
     log = value(spark, lambda c: rules.replace_log(c, table, "s"), "abc ab ab")
     assert [(r["from"], r["count"]) for r in log] == [("abc", 1), ("ab", 2)]
-    rule = [rules.Contextual("三軌", "輔電", "作業", "復電", 2), rules.Contextual("", "x", "", "x")]
-    assert value(spark, lambda c: rules.contextual(c, rule), "三軌輔電作業 備用輔電系統") == "三軌復電作業 備用輔電系統"
+    rule = [rules.Contextual("red ", "lite", " on", "light", 2), rules.Contextual("", "x", "", "x")]
+    assert value(spark, lambda c: rules.contextual(c, rule), "red a lite on, a lite meal") == "red a light on, a lite meal"
 
 
 @pytest.mark.parametrize("note", ["(沉默 3 秒)", "(沉默十秒)", "(沉默 5s)", "(silence3)", "(silence 3s)", "(笑聲)", "(咳嗽)", "(雜音)", "(noise)", "(laughter)", "(cough)", "(unclear)", "(inaudible)", "[noise]", "[unclear]", "（沉默一下）"])

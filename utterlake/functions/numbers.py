@@ -1,4 +1,7 @@
-"""Spoken numbers, clock times, platforms, durations and car numbers as column expressions."""
+"""Spoken numbers, clock times, platforms, durations and car numbers as column expressions.
+
+Runs of numeral characters are found first; what a run is worth is looked up in a table of spellings, built by rule.
+"""
 
 from __future__ import annotations
 
@@ -7,80 +10,98 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Spoken digits and what they are; units of a duration; words for the second half of the day.
+#: Spoken digits and what they are; units of a duration; words for a time of day, those of the second half last.
 SPOKEN = "零〇一壹二兩貳三參叁四肆五伍六陸七柒八捌九玖洞么腰拐勾"
 DIGITS = "001122233344556677889901179"
-UNITS = "秒|分鐘|分|小時|分秒|公尺|米|公里"
-PERIODS = "下午|上午|早上|清晨|凌晨|傍晚|夜間|中午|正午|晚上"
+UNITS = "小時|分鐘|分秒|分|秒|公尺|公里|米"
+MORNING = ("上午", "早上", "清晨", "凌晨", "中午", "正午")
 LATE = ("下午", "傍晚", "夜間", "晚上")
-PLAIN = "零一二兩三四五六七八九"
-NUMBER = f"(?:[{PLAIN}]{{1,2}}十[{PLAIN}]|[{PLAIN}]{{1,2}}十|十[{PLAIN}]|十|[{SPOKEN}]{{1,2}}|\\d{{1,2}})"
-CAR = "動車門|動車|車門|車(?![組站輛])"
-CAR_ALONE = "動車門|動車|車門|車(?![組站輛門掌廂])"
+#: A run of numeral characters, as long as there are any.
+RUN = f"[0-9{SPOKEN}十]++"
 
 
-def rewrite(c: Column, core: str, new: Callable[[Column, Callable[[int], Column]], Column], before: str = "", after: str = "") -> Column:
-    """Every match of ``core`` between ``before`` and ``after`` (lookarounds) becomes ``new(match, group)``; null leaves it as it is."""
-    at = f"{before}(?:{core}){after}"
-    fixed = F.transform(F.regexp_extract_all(c, F.lit(at), F.lit(0)), lambda m: F.coalesce(new(m, lambda i: F.regexp_extract(m, core, i)), m))
-    return F.array_join(F.zip_with(F.split(c, at), fixed, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+def spellings() -> dict[str, int]:
+    """Every way to write 0 to 99 once spoken digits are digits: by digits, and with the word for ten."""
+    out = {}
+    for n in range(100):
+        tens, ones = divmod(n, 10)
+        out |= {str(n): n, f"{n:02d}": n}
+        if tens:
+            out |= {f"{t}十{ones or ''}": n for t in ({"", "1"} if tens == 1 else {str(tens)})}
+    return out
 
 
 def number(c: Column) -> Column:
-    """The value of digits, spoken digits in a row, or tens and ones; null for anything else."""
-    d = F.translate(c, SPOKEN, DIGITS)
-    tens, ones = F.regexp_extract(d, r"^(\d?)十(\d?)$", 1), F.regexp_extract(d, r"^(\d?)十(\d?)$", 2)
-    or_else = lambda x, n: F.when(x == "", n).otherwise(x.try_cast("int"))
-    return F.when(d.rlike(r"^\d{1,9}$"), d.try_cast("int")).when(d.rlike(r"^\d?十\d?$"), or_else(tens, 1) * 10 + or_else(ones, 0))
+    """What a run of numerals is worth, from 0 to 99; null for any other."""
+    table = ",".join(f"{k}:{n}" for k, n in spellings().items())
+    return F.try_element_at(F.str_to_map(F.lit(table)), F.translate(c, SPOKEN, DIGITS)).cast("int")
+
+
+def rewrite(c: Column, core: str, new: Callable[[Callable[[int], Column]], Column], before: str = "", after: str = "") -> Column:
+    """Every match of ``core`` between ``before`` and ``after``, which only look, becomes ``new(group)``; null leaves it as it is."""
+    at = before + core + after
+    fixed = F.transform(F.regexp_extract_all(c, F.lit(at), F.lit(0)), lambda m: F.coalesce(new(lambda i: F.regexp_extract(m, core, i)), m))
+    woven = F.zip_with(F.split(c, at, -1), fixed, lambda between, m: F.concat(between, F.coalesce(m, F.lit(""))))
+    return F.when(c.rlike(at), F.array_join(woven, "")).otherwise(c)
 
 
-def two(n: Column) -> Column:
+def padded(n: Column) -> Column:
     return F.lpad(n.cast("string"), 2, "0")
 
 
 def normalize_time(c: Column) -> Column:
     """Spoken or mixed clock times become HH:MM; what is no time of day stays."""
+    day = "|".join(MORNING + LATE)
 
-    def clock(minute: Callable) -> Callable:
-        def new(m: Column, g: Callable[[int], Column]) -> Column:
-            hour, late = number(g(2)), g(1).isin(*LATE)
-            shifted = F.when(late & hour.between(1, 11), hour + 12).otherwise(hour)
-            return F.when(hour.between(0, 23) & minute(g).between(0, 59), F.concat(two(shifted), F.lit(":"), two(minute(g))))
+    def clock(g: Callable[[int], Column]) -> Column:
+        hour = number(g(2))
+        hour = F.when(g(1).isin(*LATE) & hour.between(1, 11), hour + 12).otherwise(hour)
+        minute = F.when(g(3) == "", 0).when(g(3) == "半", 30).otherwise(number(g(3)))
+        return F.when((hour < 24) & (minute < 60), F.concat_ws(":", padded(hour), padded(minute)))
 
-        return new
-
-    c = rewrite(c, rf"({PERIODS})?\s*({NUMBER})\s*[時點]\s*({NUMBER}|半)\s*分?", clock(lambda g: F.when(g(3) == "半", 30).otherwise(number(g(3)))))
-    return rewrite(c, rf"({PERIODS})?\s*({NUMBER})\s*[時點](?:整|鐘)?", clock(lambda g: F.lit(0)), after=r"(?![時點分\d零一二兩三四五六七八九十])")
+    return rewrite(c, rf"(?:({day})\s*)?({RUN})\s*[時點](?:\s*({RUN}|半)\s*分?|[整鐘])?", clock)
 
 
 def pad_station_codes(c: Column) -> Column:
-    return rewrite(c, r"([GgRr])(\d)", lambda m, g: F.concat(F.upper(g(1)), F.lit("0"), g(2)), r"(?<![A-Za-z0-9])", r"(?![\da-z])")
+    """A line's letter with one digit gets a leading zero and the capital."""
+    return rewrite(c, "([GRgr])([0-9])", lambda g: F.concat(F.upper(g(1)), F.lit("0"), g(2)), "(?<![0-9A-Za-z])", "(?![0-9a-z])")
+
+
+def counted(c: Column, what: str) -> Column:
+    """A numeral before one of ``what``: its value, a space, and the word."""
+    return rewrite(c, rf"({RUN})\s*({what})", lambda g: F.when(number(g(1)) > 0, F.concat_ws(" ", number(g(1)).cast("string"), g(2))))
 
 
 def normalize_platform(c: Column) -> Column:
-    c = rewrite(c, r"([一二三四五六七八九十])\s*月台", lambda m, g: F.concat(number(g(1)).cast("string"), F.lit(" 月台")))
-    return F.regexp_replace(c, r"(?<!\d)(\d{1,2})月台", "$1 月台")
+    return counted(c, "月台")
 
 
 def normalize_duration(c: Column) -> Column:
-    return rewrite(c, f"([零一二兩三四五六七八九十]{{1,3}})({UNITS})", lambda m, g: F.when(number(g(1)).between(1, 999), F.concat(number(g(1)).cast("string"), F.lit(" "), g(2))))
+    return counted(c, UNITS)
 
 
 def boundary_spacing(c: Column) -> Column:
     """A space between numbers or times and the characters beside them."""
-    c = F.regexp_replace(c, r"(\d{1,2}:\d{2})(?=\S)", "$1 ")
-    c = F.regexp_replace(F.regexp_replace(c, r"(\d(?::\d+)?)([一-鿿])", "$1 $2"), r"([一-鿿])(\d(?::\d+)?)", "$1 $2")
+    c = F.regexp_replace(c, r"(?<=[0-9]:[0-9]{2})(?=[^\s0-9])|(?<=[0-9])(?=[一-鿿])|(?<=[一-鿿])(?=[0-9])", " ")
     return F.regexp_replace(c, " {2,}", " ")
 
 
 def normalize_numbers(c: Column) -> Column:
-    return boundary_spacing(normalize_duration(normalize_platform(pad_station_codes(normalize_time(c)))))
+    for step in (normalize_time, pad_station_codes, normalize_platform, normalize_duration, boundary_spacing):
+        c = step(c)
+    return c
 
 
 def normalize_car_numbers(c: Column) -> Column:
-    """Spoken digits before a car become digits, four digits become a pair, pairs get two digits each, spaces are set."""
-    c = rewrite(c, rf"([{SPOKEN}]{{2,4}})\s*({CAR})", lambda m, g: F.regexp_replace(F.translate(m, SPOKEN, DIGITS), r"\s+", ""))
-    c = F.regexp_replace(c, rf"(?<![\d/])(\d{{2}})(\d{{2}})\s*({CAR_ALONE})", "$1/$2 $3")
-    pair = rf"(?<!\d)(\d{{1,2}})\s*[/／]\s*(\d{{1,2}})\s*({CAR})"
-    c = F.regexp_replace(F.regexp_replace(c, pair, "0$1/0$2 $3"), rf"0?(\d{{2}})/0?(\d{{2}}) ({CAR})", "$1/$2 $3")
-    return F.regexp_replace(F.regexp_replace(c, rf"(?<![\d/])(\d{{1,2}})\s*({CAR_ALONE})", "$1 $2"), " {2,}", " ")
+    """The number before a car: spoken digits as digits, four of them as a pair, both of a pair with two digits, and a space."""
+    digit = f"[0-9{SPOKEN}]"
+
+    def named(g: Callable[[int], Column]) -> Column:
+        a, b = (F.translate(g(i), SPOKEN, DIGITS) for i in (1, 2))
+        pair = lambda x, y: F.concat(F.lpad(x, 2, "0"), F.lit("/"), F.lpad(y, 2, "0"))
+        said = F.when(b != "", F.when(F.length(a) < 3, pair(a, b))).when(F.length(a) == 4, pair(F.left(a, F.lit(2)), F.right(a, F.lit(2)))).when(F.length(a) < 3, a)
+        return F.concat_ws(" ", said, F.when(said.isNotNull(), g(3)))
+
+    core = rf"({digit}{{1,4}})(?:\s*[/／]\s*({digit}{{1,2}}))?\s*(動?車門|動車|車)"
+    kept = rewrite(c, core, lambda g: F.nullif(named(g), F.lit("")), "(?<![0-9/／])", "(?![組站輛])")
+    return F.regexp_replace(kept, " {2,}", " ")

@@ -126,32 +126,24 @@ def logprob_confidence(logprob: Column) -> Column:
 
 
 #: Words after which radio speech is cut, and how a call begins.
-SAID_LAST = r"\bover\b|\bOVER\b|\boveR\b|收到|完畢|稍後|回報"
+SAID_LAST = r"(?<![\p{L}\p{N}_])(?i:over)(?![\p{L}\p{N}_])|收到|完畢|稍後|回報"
 SAID_FIRST = r"[GgRr]\d{1,2}\s*(?:呼叫|站長|回報|通告)|OCC\s*(?:呼叫|通告|回報|回復)|站長\s*(?:回報|呼叫)"
-
-
-def packed(s: Column, most: int) -> Column:
-    """What is longer than ``most`` is cut at spaces, as full as they allow, or every ``most`` characters without any."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("now"), F.lit(0).alias("n"))
-
-    def step(x: Column, w: Column) -> Column:
-        full = x["now"].isNotNull() & (x["n"] + F.length(w) > most)
-        now = F.when(full | x["now"].isNull(), w).otherwise(F.concat(x["now"], F.lit(" "), w))
-        return F.struct(F.when(full, F.array_append(x["out"], x["now"])).otherwise(x["out"]).alias("out"), now.alias("now"), F.when(full, F.length(w)).otherwise(x["n"] + F.length(w) + 1).alias("n"))
-
-    spaced = F.aggregate(F.split(s, " "), start, step, lambda x: F.array_append(x["out"], x["now"]))
-    hard = F.transform(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1)), F.lit(most)), lambda i: F.substring(s, i, F.lit(most)))
-    return F.when(F.length(s) <= most, F.array(s)).when(F.contains(s, F.lit(" ")), spaced).otherwise(hard)
+#: Stands for a cut until the text is taken apart.
+CUT = "\x01"
 
 
 def split_sentences(c: Column, most: int = 40, least: int = 2) -> Column:
-    """Sentences: at line ends and end marks, after closing words, before calls, then by length; too short ones go."""
-    c = F.regexp_replace(F.regexp_replace(c, "【[^】]*】", ""), r"[ \t]+", " ")
-    kept = lambda a: F.filter(F.transform(a, lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
-    s = kept(F.split(c, "\n|[。！？!?]+"))
-    cut = lambda a, at: kept(F.flatten(F.transform(a, lambda x: F.split(x, at))))
-    s = cut(cut(s, f"(?U)(?<={SAID_LAST})"), f"(?={SAID_FIRST})")
-    return F.filter(F.flatten(F.transform(s, lambda x: packed(x, most))), lambda x: F.length(x) >= least)
+    """Sentences: every end mark, closing word, opening call and line end is marked as a cut, and the text taken apart once.
+
+    What is still longer than ``most`` characters is filled up to the last space that fits, or cut where there is none.
+    Pieces of under ``least`` characters go.
+    """
+    cuts = [("【[^】]*】", ""), (r"[。！？!?\n]+", CUT), (SAID_LAST, f"$0{CUT}"), (f"(?={SAID_FIRST})", CUT), ("[ \t]+", " ")]
+    for pattern, mark in cuts:
+        c = F.regexp_replace(c, pattern, mark)
+    whole = F.transform(F.split(c, CUT), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    lines = F.flatten(F.transform(whole, lambda x: F.regexp_extract_all(x, F.lit(rf"(?s)\S.{{0,{most - 1}}}(?=\s|\z)|\S{{1,{most}}}"), F.lit(0))))
+    return F.filter(F.transform(lines, F.trim), lambda x: F.length(x) >= least)
 
 
 def parse_bundle(c: Column, mark: str = r"\d{2}:\d{2}:\d{2}") -> Column:

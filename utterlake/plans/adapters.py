@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import metrics
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -72,7 +74,7 @@ RUNS = f"""(SELECT engine, id % 10 AS run, count(*) AS sample_count, count(hyp)
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(engine, run, sample_count, success_count, cer)."""
-    rate = F.when(F.col("hyp").isNotNull(), F.round(F.levenshtein("ref", "hyp") / F.length("ref"), 6))
+    rate = F.when(F.col("hyp").isNotNull(), F.round(metrics.distance("ref", "hyp") / F.length("ref"), 6))
     h = hypotheses(spark, sf_dir).groupBy("engine", (F.col("id") % 10).alias("run"))
     return h.agg(F.count("*").alias("sample_count"), F.count("hyp").alias("success_count"), F.round(F.avg(rate), 6).alias("cer"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import numbers, rules, text
+from ..functions import metrics, numbers, rules, text
 from ..operators import alignment
 from ..streaming import live
 from . import queries as q
@@ -81,7 +81,7 @@ def staged(spark, sf_dir):
 
 
 def rate(c):
-    return r6(F.levenshtein("ref", c) / F.length("ref"))
+    return r6(metrics.distance("ref", c) / F.length("ref"))
 
 
 @query(f"""SELECT engine, config, round(avg(cer), 6) AS cer, count(*) AS samples FROM (
@@ -124,7 +124,7 @@ round(levenshtein({SYNONYM.format('ref')}, {SYNONYM.format('hyp')}) / length({SY
 def style_divergence(spark, sf_dir):
     squeezed = lambda x: F.replace(x, F.lit(" "), F.lit(""))
     same = lambda x: text.apply_synonyms(squeezed(x), [("the", ["thea"])])
-    by = lambda f: r6(F.levenshtein(f(F.col("ref")), f(F.col("hyp"))) / F.length(f(F.col("ref"))))
+    by = lambda f: r6(metrics.distance(f(F.col("ref")), f(F.col("hyp"))) / F.length(f(F.col("ref"))))
     h = hypotheses(spark, sf_dir).where("hyp is not null").select("engine", rate("hyp").alias("a"), by(squeezed).alias("b"), by(same).alias("c"))
     return h.groupBy("engine").agg(r6(F.avg("a")).alias("plain"), r6(F.avg("b")).alias("squeezed"), r6(F.avg("c")).alias("synonyms"), r6(F.avg("c") - F.avg("a")).alias("change"))
 

@@ -110,7 +110,7 @@ CASE WHEN hyp IS NULL THEN length(ref) ELSE 0 END AS deletions FROM {HYPOTHESES}
 def gt_hyp_match(spark, sf_dir):
     h = hypotheses(spark, sf_dir)
     none = F.col("hyp").isNull()
-    return h.select("id", "pos", "engine", (~none).alias("matched"), F.when(none, 1.0).otherwise(r6(F.levenshtein("ref", "hyp") / F.length("ref"))).alias("cer"), F.when(none, F.length("ref")).otherwise(0).cast("long").alias("deletions"))
+    return h.select("id", "pos", "engine", (~none).alias("matched"), F.when(none, 1.0).otherwise(r6(metrics.distance("ref", "hyp") / F.length("ref"))).alias("cer"), F.when(none, F.length("ref")).otherwise(0).cast("long").alias("deletions"))
 
 
 @query(f"""SELECT id, pos, coalesce(max(hyp) FILTER (engine = 'alpha'), '') AS alpha, coalesce(max(hyp) FILTER (engine = 'beta'), '') AS beta,
@@ -214,7 +214,7 @@ def usage_by_channel(spark, sf_dir):
 @query(f"""SELECT engine, round(avg(least(1.0, e / n)), 6) AS macro_cer, round(CAST(sum(e) AS DOUBLE) / sum(n), 6) AS micro_cer, count(*) AS files
 FROM (SELECT id, engine, sum(levenshtein(ref, hyp)) AS e, sum(length(ref)) AS n FROM {HYPOTHESES} WHERE hyp IS NOT NULL GROUP BY id, engine) GROUP BY engine""")
 def eval_overall(spark, sf_dir):
-    f = hypotheses(spark, sf_dir).where("hyp is not null").groupBy("id", "engine").agg(F.sum(F.levenshtein("ref", "hyp")).alias("e"), F.sum(F.length("ref")).alias("n"))
+    f = hypotheses(spark, sf_dir).where("hyp is not null").groupBy("id", "engine").agg(F.sum(metrics.distance("ref", "hyp")).alias("e"), F.sum(F.length("ref")).alias("n"))
     return f.groupBy("engine").agg(r6(F.avg(F.least(F.lit(1.0), F.col("e") / F.col("n")))).alias("macro_cer"), r6(F.sum("e") / F.sum("n")).alias("micro_cer"), F.count("*").alias("files"))
 
 
@@ -559,14 +559,14 @@ FUSE = "CASE WHEN b IS NULL THEN a WHEN a IS NULL THEN b WHEN length(a) = 0 THEN
 def fuse_two_whole(spark, sf_dir):
     w = hypotheses(spark, sf_dir).groupBy("id", "pos").pivot("engine", ["alpha", "gamma"]).agg(F.max("hyp"))
     a, b = F.col("alpha"), F.col("gamma")
-    rate = F.levenshtein(a, b) / F.length(a)
+    rate = metrics.distance(a, b) / F.length(a)
     return w.select("id", "pos", F.when(b.isNull(), a).when(a.isNull(), b).when(F.length(a) == 0, b).when(rate < 0.1, a).when(rate <= 0.4, b).otherwise(a).alias("fused"))
 
 
 @query(f"""SELECT kind, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM (SELECT CASE WHEN a AND b THEN 'both_correct' WHEN a THEN 'a_wins' WHEN b THEN 'b_wins' ELSE 'both_wrong' END AS kind
 FROM (SELECT id, pos, bool_or(levenshtein(ref, hyp) / length(ref) < 0.05) FILTER (engine = 'alpha') AS a, bool_or(levenshtein(ref, hyp) / length(ref) < 0.05) FILTER (engine = 'beta') AS b FROM {HYPOTHESES} WHERE hyp IS NOT NULL GROUP BY id, pos)) GROUP BY kind""")
 def complementarity(spark, sf_dir):
-    ok = F.levenshtein("ref", "hyp") / F.length("ref") < 0.05
+    ok = metrics.distance("ref", "hyp") / F.length("ref") < 0.05
     w = hypotheses(spark, sf_dir).where("hyp is not null").groupBy("id", "pos").agg(F.bool_or(F.when(F.col("engine") == "alpha", ok)).alias("a"), F.bool_or(F.when(F.col("engine") == "beta", ok)).alias("b"))
     kinds = w.groupBy(F.expr("case when a and b then 'both_correct' when a then 'a_wins' when b then 'b_wins' else 'both_wrong' end").alias("kind")).agg(F.count("*").alias("n"))
     return kinds.crossJoin(kinds.agg(F.sum("n").alias("total"))).select("kind", "n", r6(F.col("n") / F.col("total")).alias("share"))
