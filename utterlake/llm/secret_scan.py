@@ -81,9 +81,9 @@ def blob(text: Column) -> Column:
 def scan_unseen(versions: DataFrame, text_col: str = "text", ledger: DataFrame | None = None, rule_version: str = RULE_VERSION) -> DataFrame:
     """New ledger rows (blob, rule_version, spans) for the blobs of ``versions`` that ``ledger`` lacks at this rule version."""
     t = versions.select(blob(F.col(text_col)).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    once = t.groupBy("blob").agg(F.first("text").alias("text"))  # equal blobs have equal texts; copies meet before the shuffle
     if ledger is not None:
-        t = t.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
-    once = t.groupBy("blob").agg(F.first("text").alias("text"))  # equal blobs have equal texts
+        once = once.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
     return scan(once).select("blob", F.lit(rule_version).alias("rule_version"), "spans")
 
 
