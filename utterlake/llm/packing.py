@@ -31,7 +31,7 @@ GROUP = 16_384
 NODES_PER_PIECE = 2
 BRANCH = 4
 #: Bytes of words and their ids, roughly, in each of the two generations that a worker keeps.
-CACHE_BYTES = 80_000_000
+CACHE_BYTES = 110_000_000
 
 
 def tokenizer_path() -> str:
