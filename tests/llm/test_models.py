@@ -239,3 +239,29 @@ def test_pipeline(spark, sf_dir):
     assert corpus_pipeline.mix(spark, two, sf_dir).columns == d.columns
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert rows and {r.doc_id for r in rows} <= {r.doc_id for r in one.collect()}
+
+
+def test_pipeline_stages_with_odd_rows(spark, sf_dir):
+    """Null, empty and repeated texts, null ids and sources, extra columns with clashing names; and an empty table."""
+    r = random.Random(9)
+    good = " ".join("".join(r.choices("abdeilmnorstu", k=r.choice((4, 5, 6)))) + "." * (i % 12 == 11) for i in range(150))
+    rows = [(1, good, "s0"), (2, good, None), (2, good, None), (None, good + " More.", "s1"), (3, None, "s0"), (4, "", "s0"), (5, " \n", None), (6, "token = abcdef0123456789 " + " ".join(reversed(good.split())), "s0")]
+    made = [(i, "http://x", "en", s, t, len(t or ""), 1, "k", 2) for i, t, s in rows]
+    d = spark.createDataFrame(made, "doc_id long, url string, lang string, source string, text string, n_chars long, n long, k string, target long")
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, d, sf_dir)
+        out = got.collect()
+        assert stage(spark, d.limit(0), sf_dir).collect() == []
+        if name == "quality_rules":
+            assert Counter(r.doc_id for r in out) == Counter([1, 2, 2, None, 6])
+        elif name == "near_duplicates":
+            assert Counter((r.doc_id, r.text) for r in out) == Counter([(None, good + " More."), (3, None), (4, ""), (5, " \n"), (6, rows[-1][1])])
+        elif name == "secrets":
+            assert len(out) == len(rows) and {r.text for r in out if r.doc_id == 6} == {"[SECRET] " + " ".join(reversed(good.split()))}
+            assert [r.text for r in out if r.doc_id in (3, 4, 5)].count(None) == 1
+        elif name == "mixture":
+            assert {r.doc_id for r in out} <= {r[0] for r in rows}
+        else:
+            assert Counter(r.doc_id for r in out) == Counter(r[0] for r in rows) and all(r.length >= 1 for r in out)
+        if name != "packing":
+            assert got.columns == d.columns
