@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,10 +66,30 @@ def strip_live_lines(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.array_join(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"\[\d{2}:\d{2}:\d{2}\]", ""))), " "), " +", " "))
 
 
-def fix_station_codes(c: Column) -> Column:
-    """``G 0 7`` and ``g7`` become ``G07``."""
-    c = F.regexp_replace(c, r"\b[Gg] ?(\d) ?(\d)\b", "G$1$2")
-    return F.regexp_replace(c, r"\b[Gg] ?(\d)\b", "G0$1")
+def runs(c: Column, pattern: str, on_match: Callable[[Column], Column], on_rest: Callable[[Column], Column], level: int = 1) -> Column:
+    """``on_match`` of every match and ``on_rest`` of what lies between, put together again.
+
+    The two private-use characters of ``level`` that mark matches must not be in the text.
+    """
+    cut, match = chr(0xF700 + 2 * level), chr(0xF701 + 2 * level)
+    parts = F.split(F.regexp_replace(c, f"(?:{pattern})", f"{cut}{match}$0{cut}"), cut)
+    return F.array_join(F.transform(parts, lambda x: F.when(F.startswith(x, F.lit(match)), on_match(F.substring(x, F.lit(2), F.length(x)))).otherwise(on_rest(x))), "")
+
+
+#: Digits as they are said over the radio, and their figures.
+SPOKEN_DIGITS, FIGURES = "零洞一腰么二兩三四五六七拐八九勾鉤", "00111223456778999"
+
+
+def fix_station_codes(c: Column, strict: bool = False) -> Column:
+    """``G 0 7``, ``g7`` and ``R 洞拐`` become ``G07`` and ``R07``; ``strict`` asks that no letter stands before."""
+    guard = r"(?<![\p{L}\p{N}_])" if strict else ""
+    said = rf"{guard}[GRgr]\s*[{SPOKEN_DIGITS}]\s*[{SPOKEN_DIGITS}]"
+    c = F.regexp_replace(c, rf"{guard}([GR])\s*(\d)\s*(\d)", "$1$2$3")
+    for letter in "gr":
+        c = F.regexp_replace(c, rf"{guard}{letter}\s*(\d)(?!\d)", f"{letter.upper()}0$1")
+        c = F.regexp_replace(c, rf"{guard}{letter}\s*(\d\d)", f"{letter.upper()}$1")
+    c = F.regexp_replace(c, rf"{guard}([GR])(\d)(?!\d)", "$10$2")
+    return runs(c, said, lambda x: F.upper(F.translate(F.regexp_replace(x, r"\s", ""), SPOKEN_DIGITS, FIGURES)), lambda x: x)
 
 
 def fix_number_explosion(c: Column, mark: str = "[number?]") -> Column:

@@ -268,7 +268,7 @@ LIVE = {"click": 0.1, "view": 0.2, "purchase": 0.3}
 
 
 @query(f"""SELECT date_trunc('day', ts) AS day, u.channel, u.engine, count(*) AS calls, round(coalesce(sum(audio_seconds * price), 0), 3) AS cost FROM {USAGE} u
-JOIN (VALUES {", ".join(f"('{k}', {v}::DOUBLE)" for k, v in LIVE.items())}) p(engine, price) ON u.engine = p.engine GROUP BY 1, 2, 3""")
+LEFT JOIN (VALUES {", ".join(f"('{k}', {v}::DOUBLE)" for k, v in LIVE.items())}) p(engine, price) ON u.engine = p.engine GROUP BY 1, 2, 3""")
 def live_usage(spark, sf_dir):
     """The operator on a live feed, over all of the feed so far."""
     prices = spark.createDataFrame(list(LIVE.items()), "engine string, price double")

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics, rules, text
+from ..operators.search import spotted, windows
 from .adapters import HYPOTHESES, RUNS, SEGMENTS, TRANSCRIPTIONS, USAGE, VOCABULARY, hypotheses, runs, segments, table, transcriptions, usage, vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
-#: Terms and keywords that may be sent to all executors; beyond, joins go by the term's trigrams.
-MOST_TERMS = 5_000
 
 
 def query(sql: str | None = None):
@@ -150,25 +149,6 @@ def import_reconcile(spark, sf_dir):
     return new.join(old, "keyword", "left").select("p_partkey", "keyword", "level", kind.alias("kind"))
 
 
-def spotted(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, term_col: str) -> DataFrame:
-    """(id, term): terms that occur in a text as substrings.
-
-    Few terms (counted) go to all executors and are looked for in one pass. More are joined by their first trigram,
-    then verified; terms of under three characters, of which there can't be many, always go the first way.
-    """
-    d = docs.select(F.col(id_col).alias("id"), F.lower(text_col).alias("t"))
-    t = terms.select(F.lower(term_col).alias("term")).where("term != ''").distinct()
-    n = t.count()
-    if n <= MOST_TERMS:
-        return d.join(F.broadcast(t), F.contains(F.col("t"), F.col("term"))).select("id", "term")
-    gram = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, 3))
-    long = t.where(F.length("term") >= 3).withColumn("g", F.substring("term", 1, 3))
-    short = t.where(F.length("term") < 3)
-    grams = d.where(F.length("t") >= 3).select("id", F.explode(F.array_distinct(gram(F.col("t")))).alias("g"))
-    pairs = grams.join(long, "g").select("id", "term").join(d, "id").where(F.contains(F.col("t"), F.col("term"))).select("id", "term").distinct()
-    return pairs.union(d.join(F.broadcast(short), F.contains(F.col("t"), F.col("term"))).select("id", "term"))
-
-
 @query(f"SELECT d.doc_id AS id, k.term FROM documents d JOIN {VOCABULARY} k ON contains(lower(d.text), k.term)")
 def range_keyword_join(spark, sf_dir):
     return spotted(table(spark, sf_dir, "documents"), vocabulary(spark, sf_dir), "doc_id", "text", "term")
@@ -432,8 +412,6 @@ def on_text(name: str, expr, sql: str) -> None:
 
 CLEAN = "[.,!?;:\"''()\\[\\]<>~\\-_/]".replace("''", "''")
 on_text("normalize_eval", text.normalize_eval, r"lower(regexp_replace(regexp_replace(text, '\[\d{1,2}:\d{2}(:\d{2})?\]', '', 'g'), '[^\p{L}\p{N}_]', '', 'g'))")
-on_text("full_to_half", lambda c: text.full_to_half(c), "text")
-on_text("strip_meta", text.strip_meta, r"regexp_replace(text, '(?i)[(\[](silence( \d+(\.\d+)?s?)?|laughter|noise|music|applause|inaudible|cough|beep)[)\]]', '', 'g')")
 on_text("apply_synonyms", lambda c: text.apply_synonyms(c, [("the", ["thea", "th"]), ("on", ["one", "onent"])]), "replace(replace(replace(replace(text, 'thea', 'the'), 'th', 'the'), 'onent', 'on'), 'one', 'on')")
 on_text("fix_number_explosion", text.fix_number_explosion, r"regexp_replace(regexp_replace(text, '(^|[^0-9])([012]\d)\d{13,}', '\1\2', 'g'), '\d{15,}', '[number?]', 'g')")
 on_text("content_hash", lambda c: F.substring(F.sha2(c, 256), 1, 12), "substr(sha256(text), 1, 12)")
@@ -586,12 +564,16 @@ PADDED = f"(SELECT id, pos, '^^^' || ref || '$' AS s FROM {SEGMENTS})"
 GRAMS = f"""(SELECT n, gram, count(*) AS c FROM (SELECT n, substr(s, i, n) AS gram FROM (SELECT s, n, unnest(range(4, length(s) + 1)) AS e, unnest(range(4, length(s) + 1)) - n + 1 AS i FROM {PADDED}, range(1, 5) t(n))) GROUP BY 1, 2)"""
 
 
+def order_grams(text_col: str):
+    """The ORDER characters that end at each character of the padded text."""
+    return windows(F.concat(F.lit("^" * (ORDER - 1)), F.col(text_col), F.lit("$")), ORDER)
+
+
 def ngrams(texts: DataFrame, text_col: str) -> DataFrame:
     """(n, gram, c): counts of the n-grams of 1 to ORDER characters that end at each character or the end mark."""
-    s = texts.select(F.concat(F.lit("^" * (ORDER - 1)), F.col(text_col), F.lit("$")).alias("s"))
-    e = s.select("s", F.explode(F.sequence(F.lit(ORDER), F.length("s"))).alias("e"))
-    g = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.substring(F.col("s"), F.col("e") - n + 1, F.lit(n)).alias("gram")) for n in range(1, ORDER + 1)])).alias("g")
-    return e.select(g).groupBy("g.n", "g.gram").agg(F.count("*").alias("c"))
+    whole = texts.select(F.explode(order_grams(text_col)).alias("g4")).groupBy("g4").agg(F.count("*").alias("c"))
+    g = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.right("g4", F.lit(n)).alias("gram")) for n in range(1, ORDER + 1)])).alias("g")
+    return whole.select(g, "c").groupBy("g.n", "g.gram").agg(F.sum("c").alias("c"))
 
 
 @query(f"SELECT CAST(n AS INT) AS n, gram, c FROM {GRAMS}")
@@ -601,9 +583,7 @@ def ngram_train(spark, sf_dir):
 
 def ngram_log10(texts: DataFrame, keys: list[str], text_col: str, model: DataFrame) -> DataFrame:
     """(keys, log10_prob, perplexity) by stupid back-off. Positions are reduced to distinct 4-grams before any join."""
-    s = texts.select(*keys, F.concat(F.lit("^" * (ORDER - 1)), F.col(text_col), F.lit("$")).alias("s"))
-    e = s.select(*keys, "s", F.explode(F.sequence(F.lit(ORDER), F.length("s"))).alias("e"))
-    e = e.select(*keys, F.substring(F.col("s"), F.col("e") - ORDER + 1, F.lit(ORDER)).alias("g4"))
+    e = texts.select(*keys, F.explode(order_grams(text_col)).alias("g4"))
     total = model.where("n = 1 and gram != '$'").agg(F.sum("c").alias("total"))
     context = model.groupBy((F.col("n") - 1).alias("n"), F.expr("left(gram, n - 1)").alias("gram")).agg(F.sum("c").alias("cc"))
     d = e.select("g4").distinct()
@@ -638,17 +618,6 @@ def fts_search(spark, sf_dir):
     return d.select(F.col("doc_id").alias("id"), F.length("text").cast("long").alias("n")).orderBy("id").limit(50)
 
 
-@query("SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(upper(text), '[A-Z]{2,4}[0-9]{2,}')) AS term, 'code' AS category FROM documents UNION SELECT DISTINCT doc_id, unnest(regexp_extract_all(upper(text), '[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}')), 'address' FROM documents")
-def extract_key_terms(spark, sf_dir):
-    kinds = {"code": "[A-Z]{2,4}[0-9]{2,}", "address": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"}
-
-    def of(kind: str, pattern: str):
-        return F.transform(F.regexp_extract_all(F.upper("text"), F.lit(pattern), F.lit(0)), lambda t: F.struct(t.alias("term"), F.lit(kind).alias("category")))
-
-    found = F.explode(F.flatten(F.array(*[of(k, p) for k, p in kinds.items()])))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), found.alias("f")).select("id", "f.term", "f.category").distinct()
-
-
 @query(f"SELECT d.doc_id AS id, max(k.level) AS level, max(k.level) >= 3 AS alert, count(*) AS hits FROM documents d JOIN {VOCABULARY} k ON contains(lower(d.text), k.term) GROUP BY 1")
 def keyword_spot(spark, sf_dir):
     v = vocabulary(spark, sf_dir)
@@ -676,13 +645,33 @@ def correction_dict_build(spark, sf_dir):
 # ---- datasets, timelines, costs
 
 
-@query("SELECT doc_id, source, CASE WHEN k <= floor(n * 0.8) THEN 'train' WHEN k <= floor(n * 0.8) + floor(n * 0.1) THEN 'val' ELSE 'test' END AS split FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('42' || doc_id), doc_id) AS k, count(*) OVER (PARTITION BY source) AS n FROM documents)")
+def ranked(df: DataFrame, group: list[str], part: Column, by: list, distinct: str | None = None) -> DataFrame:
+    """``rank`` (from 1) in each group by ``by``, and the group's size ``n``, without a task for a whole group.
+
+    ``part`` is a range of the order: ranges are counted, their running sums are joined back, and rows are ranked in their
+    range alone. With ``distinct`` rows of equal value there share a rank and count once.
+    """
+    d = df.withColumn("part", part)
+    size = F.count_distinct(distinct) if distinct else F.count("*")
+    w = Window.partitionBy(*group)
+    parts = d.groupBy(*group, "part").agg(size.alias("c"))
+    parts = parts.select(*group, "part", (F.sum("c").over(w.orderBy("part")) - F.col("c")).alias("before"), F.sum("c").over(w).alias("n"))
+    keys = [*group, "part"]
+    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys]
+    j = d.alias("d").join(parts.alias("p"), same).select("d.*", "p.before", "p.n")
+    place = (F.dense_rank() if distinct else F.row_number()).over(Window.partitionBy(*keys).orderBy(*by))
+    return j.withColumn("rank", place + F.col("before")).drop("part", "before")
+
+
+@query("""SELECT doc_id, source, CASE WHEN k <= train THEN 'train' WHEN k <= train + val THEN 'val' ELSE 'test' END AS split FROM (
+SELECT *, CASE WHEN n >= 3 THEN greatest(1, floor(n * 0.8)) ELSE floor(n * 0.8) END AS train, CASE WHEN n >= 3 THEN greatest(1, floor(n * 0.1)) ELSE floor(n * 0.1) END AS val FROM (
+SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('42' || doc_id), doc_id) AS k, count(*) OVER (PARTITION BY source) AS n FROM documents))""")
 def stratified_split(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "source")
-    k = F.row_number().over(Window.partitionBy("source").orderBy(F.md5(F.concat(F.lit("42"), F.col("doc_id").cast("string"))), "doc_id"))
-    d = d.withColumn("k", k).withColumn("n", F.count("*").over(Window.partitionBy("source")))
-    train, val = F.floor(F.col("n") * 0.8), F.floor(F.col("n") * 0.1)
-    return d.select("doc_id", "source", F.when(F.col("k") <= train, "train").when(F.col("k") <= train + val, "val").otherwise("test").alias("split"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "source").withColumn("h", F.md5(F.concat(F.lit("42"), F.col("doc_id").cast("string"))))
+    d = ranked(d, ["source"], F.left("h", F.lit(3)), ["h", "doc_id"])
+    share = lambda r: F.when(F.col("n") >= 3, F.greatest(F.lit(1), F.floor(F.col("n") * r))).otherwise(F.floor(F.col("n") * r))
+    train, val = share(0.8), share(0.1)
+    return d.select("doc_id", "source", F.when(F.col("rank") <= train, "train").when(F.col("rank") <= train + val, "val").otherwise("test").alias("split"))
 
 
 @query(f"SELECT split, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM ({ORACLE['stratified_split']}) s JOIN documents d ON s.doc_id = d.doc_id GROUP BY split")
@@ -694,8 +683,8 @@ def split_stats(spark, sf_dir):
 @query("SELECT source, lang, h, CAST(dense_rank() OVER (PARTITION BY source, lang ORDER BY first_id) - 1 AS INT) AS suffix, copies FROM (SELECT source, lang, sha256(text) AS h, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1, 2, 3)")
 def dedupe_archive(spark, sf_dir):
     d = table(spark, sf_dir, "documents").groupBy("source", "lang", F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
-    suffix = F.dense_rank().over(Window.partitionBy("source", "lang").orderBy("first_id")) - 1
-    return d.select("source", "lang", "h", suffix.alias("suffix"), "copies")
+    d = ranked(d, ["source", "lang"], F.floor(F.col("first_id") / 10_000), ["first_id"], distinct="first_id")
+    return d.select("source", "lang", "h", (F.col("rank") - 1).cast("int").alias("suffix"), "copies")
 
 
 @query("SELECT event_id, ts AS absolute_start, ts + to_milliseconds(CAST(floor(value * 1000) AS BIGINT)) AS absolute_end FROM events WHERE value IS NOT NULL")
@@ -722,19 +711,20 @@ def concat_chunks(spark, sf_dir):
 #: Unit prices by engine, in dollars a second, and what a dollar is in the other currency.
 PRICES, RATE = {"click": 0.0001, "view": 0.0002, "purchase": 0.0003, "signup": 0.0004}, 32.0
 PRICED = f"""(SELECT u.id, u.channel, u.engine, u.ts, round(audio_seconds * usd, 9) AS usd, round(audio_seconds * usd * {RATE}, 9) AS local FROM {USAGE} u
-JOIN (VALUES {", ".join(f"('{k}', {v}::DOUBLE)" for k, v in PRICES.items())}) p(engine, usd) ON u.engine = p.engine)"""
+LEFT JOIN (VALUES {", ".join(f"('{k}', {v}::DOUBLE)" for k, v in PRICES.items())}) p(engine, usd) ON u.engine = p.engine)"""
 
 
 def priced(spark: SparkSession, sf_dir: str) -> DataFrame:
     prices = spark.createDataFrame(list(PRICES.items()), "engine string, usd double")
-    u = usage(spark, sf_dir).join(F.broadcast(prices), "engine")
+    u = usage(spark, sf_dir).join(F.broadcast(prices), "engine", "left")
     cost = F.col("audio_seconds") * F.col("usd")
     return u.select("id", "channel", "engine", "ts", F.round(cost, 9).alias("usd"), F.round(cost * RATE, 9).alias("local"))
 
 
-@query(f"SELECT id, usd, local FROM {PRICED}")
+@query(f"SELECT id, usd, local, engine NOT IN ({', '.join(repr(k) for k in PRICES)}) AS unpriced FROM {PRICED}")
 def call_cost(spark, sf_dir):
-    return priced(spark, sf_dir).select("id", "usd", "local")
+    """Calls of engines without a price stay, without a cost and marked, for a quarantine."""
+    return priced(spark, sf_dir).select("id", "usd", "local", (~F.col("engine").isin(*PRICES)).alias("unpriced"))
 
 
 @query("SELECT doc_id, round(n_chars / 4.0 * 0.3 / 1000000 + length(text) / 4.0 * 2.5 / 1000000, 9) AS usd, lang NOT IN ('en', 'de') AS fallback FROM documents")

@@ -90,3 +90,31 @@ def write_jsonl(df: DataFrame, path: str, split: str | None = None) -> None:
     """JSON Lines, a folder for each value of ``split``."""
     w = df.write.mode("overwrite")
     (w.partitionBy(split) if split else w).json(path)
+
+
+#: Columns of the run history and of its shares by event, with their types; times count milliseconds.
+HISTORY = {"timestamp": "string", "timestamp_iso": "string", "timestamp_unix": "long", "engine_label": "string", "post_process": "string"}
+RATES = {"avg_cer_raw": "double", "avg_cer_final": "double", "avg_improvement": "double"}
+SYNCED = {
+    "cer_history": {**HISTORY, "sample_count": "long", "success_count": "long", **RATES, "avg_wer_final": "double", "source_json": "string"},
+    "cer_event_type_history": {**HISTORY, "event_type": "string", "sample_count": "long", **RATES, "source_json": "string"},
+}
+
+
+def typed(raw: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """The columns of ``kinds`` in that order: what can't be cast, and columns that are missing, become null.
+
+    A file of shares by event calls its number of samples ``count``.
+    """
+    name = lambda c: c if c in raw.columns else {"sample_count": "count"}.get(c, c)
+    return raw.select(*[(F.trim(F.col(f"`{name(c)}`")).try_cast(t) if name(c) in raw.columns else F.lit(None).cast(t)).alias(c) for c, t in kinds.items()])
+
+
+def full_refresh_sync(spark: SparkSession, history: str, by_event: str, out: str) -> None:
+    """Rebuilds both tables below ``out`` from their CSV files and adds a row with their sizes to ``cer_sync_log``."""
+    for (name, kinds), path in zip(SYNCED.items(), (history, by_event), strict=True):
+        typed(spark.read.csv(path, header=True, multiLine=True), kinds).write.mode("overwrite").parquet(f"{out}/{name}")
+    sizes = [spark.read.parquet(f"{out}/{name}").agg(F.count("*").alias(n)) for name, n in zip(SYNCED, ("history_rows", "event_rows"), strict=True)]
+    now = F.current_timestamp()
+    log = sizes[0].crossJoin(sizes[1]).select(now.alias("synced_at"), F.unix_millis(now).alias("synced_unix"), "history_rows", "event_rows")
+    log.write.mode("append").parquet(f"{out}/cer_sync_log")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -24,8 +25,11 @@ def few(df: DataFrame, most: int) -> bool:
 
 
 def live_usage(usage: DataFrame, prices: DataFrame, late: str = "1 hour", most: int = MOST_RULES) -> DataFrame:
-    """(day, channel, engine, calls, cost) from (ts, channel, engine, quantity) and unit prices by engine (static)."""
-    priced = usage.withWatermark("ts", late).join(F.broadcast(prices) if few(prices, most) else prices, "engine")
+    """(day, channel, engine, calls, cost) from (ts, channel, engine, quantity) and unit prices by engine (static).
+
+    Calls of engines without a price count as calls; with no priced call the cost is null.
+    """
+    priced = usage.withWatermark("ts", late).join(F.broadcast(prices) if few(prices, most) else prices, "engine", "left")
     g = priced.groupBy(F.window("ts", "1 day").alias("w"), "channel", "engine").agg(F.count("*").alias("calls"), F.round(F.sum(F.col("quantity") * F.col("price")), 6).alias("cost"))
     return g.select(F.col("w.start").alias("day"), "channel", "engine", "calls", "cost")
 
@@ -76,3 +80,9 @@ def byte_count_chunks(frames: DataFrame, target: int) -> DataFrame:
 def watched(spark: SparkSession, folder: str, schema: str, kind: str = "json", per_batch: int = 1000) -> DataFrame:
     """Files as they arrive in a folder; the query's checkpoint knows which it has seen."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).format(kind).load(folder)
+
+
+def folder_stream(lines: DataFrame, text_col: str, rewrite: Callable[[Column], Column], out: str, checkpoint: str) -> DataStreamWriter:
+    """A writer that adds each arriving line, with its rewritten text in ``final``, to the Parquet folder ``out``."""
+    done = lines.withColumn("final", rewrite(F.col(text_col)))
+    return done.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
