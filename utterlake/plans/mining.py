@@ -9,7 +9,7 @@ from ..functions import metrics, numbers, rules, text
 from ..operators import alignment
 from ..streaming import live
 from . import queries as q
-from .adapters import HYPOTHESES, TRANSCRIPTIONS, USAGE, VOCABULARY, hypotheses, segments, table, transcriptions, usage, vocabulary
+from .adapters import HYPOTHESES, SEGMENTS, TRANSCRIPTIONS, USAGE, VOCABULARY, hypotheses, segments, table, transcriptions, usage, vocabulary
 from .queries import query, r6
 
 
@@ -151,7 +151,12 @@ def fusion_rule_counts(spark, sf_dir):
 # ---- perplexity
 
 
-@query()
+REWRITTEN = f"(SELECT id, pos, ref, {q.sql_replace('ref', q.BLACKLIST, True)} AS post FROM {SEGMENTS})"
+ROLLED = "SELECT id, pos, round(pow(10.0, -lp / n), 4) AS p FROM {0}"
+
+
+@query(f"""SELECT s.id, s.pos, b.p AS before, a.p AS after, a.p <= 2 * b.p AS accepted, CASE WHEN a.p <= 2 * b.p THEN post ELSE ref END AS final FROM {REWRITTEN} s
+JOIN ({ROLLED.format(q.sql_log10(REWRITTEN, 'id, pos', 'ref'))}) b ON s.id = b.id AND s.pos = b.pos JOIN ({ROLLED.format(q.sql_log10(REWRITTEN, 'id, pos', 'post'))}) a ON s.id = a.id AND s.pos = a.pos""")
 def ppl_rollback(spark, sf_dir):
     """A rewrite stays if its perplexity is at most twice that of the text before it."""
     s = segments(spark, sf_dir).withColumn("post", rules.replace_all(F.col("ref"), q.BLACKLIST))
@@ -162,7 +167,12 @@ def ppl_rollback(spark, sf_dir):
     return s.join(before, keys).join(after, keys).select(*keys, "before", "after", ok.alias("accepted"), F.when(ok, F.col("post")).otherwise(F.col("ref")).alias("final"))
 
 
-@query()
+HEARD = f"(SELECT * FROM {HYPOTHESES} WHERE hyp != '')"
+PPL = "SELECT id, pos, engine, round(pow(10.0, -lp / n), 4) AS p FROM {0}"
+
+
+@query(f"""SELECT a.engine, round(avg(a.p), 3) AS ref_ppl, round(avg(b.p), 3) AS hyp_ppl, round(avg(b.p) - avg(a.p), 3) AS change FROM ({PPL.format(q.sql_log10(HEARD, 'id, pos, engine', 'ref'))}) a
+JOIN ({PPL.format(q.sql_log10(HEARD, 'id, pos, engine', 'hyp'))}) b ON a.id = b.id AND a.pos = b.pos AND a.engine = b.engine GROUP BY 1""")
 def ppl_compare(spark, sf_dir):
     s, h = segments(spark, sf_dir), hypotheses(spark, sf_dir).where("hyp != ''")
     model, keys = q.ngrams(s, "ref"), ["id", "pos", "engine"]

@@ -502,7 +502,15 @@ def post_process(spark, sf_dir):
     return s.select("id", "pos", "after_terms", "after_dict", rules.contextual(F.col("after_dict"), CONTEXT[:1]).alias("final"))
 
 
-@query()
+def sql_change_log() -> str:
+    c, found = "ref", []
+    for k in sorted(BLACKLIST, key=lambda k: (-len(k), k)):
+        found.append(f"{{'from': '{k}', 'to': '{BLACKLIST[k]}', 'n': (length({c}) - length(replace({c}, '{k}', ''))) // {len(k)}}}")
+        c = f"replace({c}, '{k}', '{BLACKLIST[k]}')"
+    return f"""SELECT 'terms' AS stage, "from", "to", count(*) AS segments, CAST(sum(n) AS BIGINT) AS changes FROM (SELECT unnest([{', '.join(found)}], recursive := true) FROM {SEGMENTS}) WHERE n > 0 GROUP BY ALL"""
+
+
+@query(sql_change_log())
 def change_log(spark, sf_dir):
     s = segments(spark, sf_dir).select("id", "pos", F.explode(rules.replace_log(F.col("ref"), BLACKLIST, "terms")).alias("c"))
     return s.groupBy("c.stage", "c.from", "c.to").agg(F.count("*").alias("segments"), F.sum("c.count").alias("changes"))
@@ -603,7 +611,18 @@ def ngram_log10(texts: DataFrame, keys: list[str], text_col: str, model: DataFra
     return out.select(*keys, F.round("log10_prob", 4).alias("log10_prob"), F.round(F.pow(F.lit(10.0), -F.col("log10_prob") / F.col("n")), 4).alias("perplexity"))
 
 
-@query()
+def sql_log10(texts: str, keys: str, col: str) -> str:
+    """The same in SQL, over GRAMS: a table of (keys, lp, n)."""
+    tries = [f"WHEN m{n}.c > 0 THEN {BACK_OFF ** (ORDER - n)} * m{n}.c / x{n}.cc" for n in range(ORDER, 1, -1)]
+    joins = [f"LEFT JOIN m m{n} ON m{n}.n = {n} AND m{n}.gram = right(g4, {n})" for n in range(ORDER, 0, -1)]
+    joins += [f"LEFT JOIN x x{n} ON x{n}.n = {n} AND x{n}.start = left(right(g4, {n}), {n - 1})" for n in range(ORDER, 1, -1)]
+    return f"""(WITH m AS MATERIALIZED {GRAMS}, x AS (SELECT n, left(gram, n - 1) AS start, sum(c) AS cc FROM m WHERE n > 1 GROUP BY 1, 2), t AS (SELECT sum(c) AS total FROM m WHERE n = 1 AND gram != '$'),
+e AS (SELECT {keys}, substr(s, i, {ORDER}) AS g4 FROM (SELECT {keys}, s, unnest(range(1, length(s) - {ORDER - 2})) AS i FROM (SELECT {keys}, '{'^' * (ORDER - 1)}' || {col} || '$' AS s FROM {texts}))),
+d AS (SELECT g4, log10(greatest(CASE {' '.join(tries)} WHEN m1.c > 0 THEN {BACK_OFF ** (ORDER - 1)} * m1.c / total ELSE 1.0 / total / 10 END, 1e-12)) AS lp FROM (SELECT DISTINCT g4 FROM e) {' '.join(joins)} CROSS JOIN t)
+SELECT {keys}, sum(lp) AS lp, count(*) AS n FROM e JOIN d USING (g4) GROUP BY {keys})"""
+
+
+@query(f"SELECT id, pos, round(lp, 4) AS log10_prob, round(pow(10.0, -lp / n), 4) AS perplexity FROM {sql_log10(SEGMENTS, 'id, pos', 'ref')}")
 def ngram_score(spark, sf_dir):
     s = segments(spark, sf_dir)
     return ngram_log10(s, ["id", "pos"], "ref", ngrams(s, "ref"))
