@@ -9,7 +9,7 @@ from .text import word_chars
 
 
 #: Distances up to which a narrow band of the alignment table is enough.
-NEAR = 24
+NEAR = 5
 
 
 def distance(a: Column | str, b: Column | str) -> Column:

@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import numbers
+
 
 def count_of(text: Column, part: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("int")
@@ -49,3 +51,39 @@ def contextual(c: Column, rules: list[Contextual]) -> Column:
             after = f"(?={re.escape(r.suffix)})" if r.suffix else ""
             c = F.regexp_replace(c, f"{before}(.{{0,{r.gap}}}){re.escape(r.wrong)}(.{{0,{r.gap}}}){after}", f"$1{r.right}$2")
     return c
+
+
+def by_engine(engine: Column, c: Column, rules: dict[str, str], overlays: dict[str, dict[str, str | None]]) -> Column:
+    """Literal replaces by ``rules`` as each engine's overlay changes them: a new key is added, a known one replaced, one with None removed."""
+    out = None
+    for name, overlay in overlays.items():
+        mine = {k: v for k, v in (rules | overlay).items() if v is not None}
+        fixed = replace_all(c, mine)
+        out = F.when(engine == name, fixed) if out is None else out.when(engine == name, fixed)
+    return replace_all(c, rules) if out is None else out.otherwise(replace_all(c, rules))
+
+
+#: Stages of ``post_process`` in their order; all are on unless switched off.
+STAGES = ("terms", "car", "number", "dict", "context")
+
+
+def post_process(df: DataFrame, text_col: str, terms: dict[str, str], dictionary: dict[str, str], context: list[Contextual], off: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with ``after_<stage>`` for each stage, ``final`` (the last of them) and ``changes``.
+
+    ``changes`` is a map from stage to count: replacements for literal rules, else 1 where the stage changed the text. A stage
+    in ``off`` passes the text on. Null stays null, without changes.
+    """
+    steps = {
+        "terms": lambda c: replace_all(c, terms), "car": numbers.normalize_car_numbers, "number": numbers.normalize_numbers,
+        "dict": lambda c: replace_all(c, dictionary, longest_first=False), "context": lambda c: contextual(c, context),
+    }
+    logs = {"terms": lambda c: replace_log(c, terms, "terms"), "dict": lambda c: replace_log(c, dictionary, "dict", longest_first=False)}
+    before, counts = F.col(text_col), []
+    for stage in STAGES:
+        after = before if stage in off else steps[stage](before)
+        df = df.withColumn(f"after_{stage}", after)
+        after = F.col(f"after_{stage}")
+        n = F.aggregate(logs[stage](before), F.lit(0), lambda s, x: s + x["count"]) if stage in logs else F.coalesce((after != before).cast("int"), F.lit(0))
+        counts += [F.lit(stage), F.lit(0) if stage in off else F.coalesce(n, F.lit(0))]
+        before = after
+    return df.withColumn("final", before).withColumn("changes", F.create_map(*counts))

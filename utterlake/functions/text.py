@@ -139,8 +139,9 @@ def parse_numeral(c: Column) -> Column:
 
 
 def word_chars(words: Column, vocabulary: Column) -> Column:
-    """Each word as one private-use character by its place in ``vocabulary``, so that levenshtein counts words."""
-    return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.hex(F.lit(57344) + F.array_position(vocabulary, w))), "UTF-16BE")), "")
+    """Each word as one character by its place in ``vocabulary``, past the surrogates, so that levenshtein counts words."""
+    code = lambda n: n + F.when(n < 0xD800, 0).otherwise(0x800)
+    return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(F.lpad(F.hex(code(F.array_position(vocabulary, w))), 8, "0")), "UTF-32")), "")
 
 
 def logprob_confidence(logprob: Column) -> Column:

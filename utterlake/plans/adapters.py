@@ -12,9 +12,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt to all cores where it lies in fewer files than there are cores, since one row group is one task.
+
+    Only what is small is moved: less than one input partition's bytes a core. Larger tables keep their own splits.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size < cores * 128 * 2**20 and len(df.inputFiles()) < cores:
+        return df.repartition(cores)
+    return df
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, for work on their whole texts."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def transcriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, event, lang, transcript, status, hazard): documents with what labels there are."""
-    d, l = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    d, l = texts(spark, sf_dir), table(spark, sf_dir, "labels")
     return d.join(l, "doc_id", "left").select(
         F.col("doc_id").alias("id"), F.col("source").alias("event"), "lang", F.col("text").alias("transcript"),
         F.when(F.col("quality") == 1, "success").when(F.col("quality") == 0, "failed").otherwise("pending").alias("status"),
@@ -44,7 +62,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     What goes on without an end mark is cut every 200 characters, as the edit distance takes the square of the length.
     """
     parts = F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"[^.!?\n]{1,200}"), F.lit(0))).alias("pos", "s")
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("event"), parts)
+    d = texts(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("source").alias("event"), parts)
     return d.select("id", F.col("pos").cast("int").alias("pos"), "event", F.trim(F.regexp_replace("s", "[^a-z0-9 ]", "")).alias("ref")).where("ref != ''")
 
 

@@ -9,7 +9,7 @@ from ..functions import metrics, numbers, rules, text
 from ..operators import alignment
 from ..streaming import live
 from . import queries as q
-from .adapters import HYPOTHESES, SEGMENTS, TRANSCRIPTIONS, USAGE, VOCABULARY, hypotheses, segments, table, transcriptions, usage, vocabulary
+from .adapters import HYPOTHESES, SEGMENTS, TRANSCRIPTIONS, USAGE, VOCABULARY, hypotheses, segments, table, texts, transcriptions, usage, vocabulary
 from .queries import query, r6
 
 
@@ -194,7 +194,7 @@ def length_sample(spark, sf_dir):
 (SELECT avg(length(text)) AS mean, ln(1 + (count(*) - count(*) FILTER (contains(lower(text), 'there')) + 0.5) / (count(*) FILTER (contains(lower(text), 'there')) + 0.5)) AS idf FROM documents) ORDER BY 2 DESC, 1 LIMIT 50""")
 def fts_ranked(spark, sf_dir):
     """Phrase search by BM25 (k1 1.2, b 0.75); one pass for the statistics, one for the hits."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.length("text").alias("n"), F.lower("text").alias("t"))
+    d = texts(spark, sf_dir).select(F.col("doc_id").alias("id"), F.length("text").alias("n"), F.lower("text").alias("t"))
     tf = (F.col("n") - F.length(F.replace("t", F.lit("there"), F.lit("")))) / 5
     hit = F.contains(F.col("t"), F.lit("there"))
     s = d.agg(F.avg("n").alias("mean"), F.count("*").alias("docs"), F.count_if(hit).alias("df"))
@@ -220,7 +220,7 @@ def hotwords_by_event(spark, sf_dir):
 @query(f"SELECT level, count(*) AS texts FROM (SELECT DISTINCT k.level, d.doc_id FROM documents d JOIN {VOCABULARY} k ON contains(lower(d.text), k.term) WHERE k.level > 0) GROUP BY 1")
 def percolate_alerts(spark, sf_dir):
     v = vocabulary(spark, sf_dir).where("level > 0")
-    hits = q.spotted(table(spark, sf_dir, "documents"), v, "doc_id", "text", "term").join(v.select("term", "level"), "term")
+    hits = q.spotted(texts(spark, sf_dir), v, "doc_id", "text", "term").join(v.select("term", "level"), "term")
     return hits.select("level", "id").distinct().groupBy("level").agg(F.count("*").alias("texts"))
 
 
@@ -256,7 +256,7 @@ def logprob_confidence(spark, sf_dir):
 
 @query()
 def split_sentences(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.posexplode(text.split_sentences(F.col("text"))).alias("pos", "sentence"))
+    return texts(spark, sf_dir).select(F.col("doc_id").alias("id"), F.posexplode(text.split_sentences(F.col("text"))).alias("pos", "sentence"))
 
 
 @query("SELECT conv_id, CAST(turn AS VARCHAR) AS turn, trim(text, ' ' || chr(10)) AS body FROM conversations")
@@ -266,12 +266,12 @@ def parse_bundle_text(spark, sf_dir):
 
 @query()
 def normalize_numbers(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", numbers.normalize_numbers(F.col("text")).alias("out"))
+    return texts(spark, sf_dir).select("doc_id", numbers.normalize_numbers(F.col("text")).alias("out"))
 
 
 @query()
 def normalize_car_numbers(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", numbers.normalize_car_numbers(F.col("text")).alias("out"))
+    return texts(spark, sf_dir).select("doc_id", numbers.normalize_car_numbers(F.col("text")).alias("out"))
 
 
 LIVE = {"click": 0.1, "view": 0.2, "purchase": 0.3}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics, rules, text
 from ..operators.search import spotted, windows
-from .adapters import HYPOTHESES, RUNS, SEGMENTS, TRANSCRIPTIONS, USAGE, VOCABULARY, hypotheses, runs, segments, table, transcriptions, usage, vocabulary
+from .adapters import HYPOTHESES, RUNS, SEGMENTS, TRANSCRIPTIONS, USAGE, VOCABULARY, hypotheses, runs, segments, table, texts, transcriptions, usage, vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -151,7 +151,7 @@ def import_reconcile(spark, sf_dir):
 
 @query(f"SELECT d.doc_id AS id, k.term FROM documents d JOIN {VOCABULARY} k ON contains(lower(d.text), k.term)")
 def range_keyword_join(spark, sf_dir):
-    return spotted(table(spark, sf_dir, "documents"), vocabulary(spark, sf_dir), "doc_id", "text", "term")
+    return spotted(texts(spark, sf_dir), vocabulary(spark, sf_dir), "doc_id", "text", "term")
 
 
 # ---- aggregations
@@ -305,7 +305,7 @@ def diarize_merge(spark, sf_dir):
 @query("""SELECT id, pos, sentence, CAST(floor(1000.0 * 60 * coalesce(sum(length(sentence)) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(length(sentence)) OVER (PARTITION BY id)) AS BIGINT) AS start_ms
 FROM (SELECT doc_id AS id, CAST(generate_subscripts(p, 1) - 1 AS INT) AS pos, unnest(p) AS sentence FROM (SELECT doc_id, string_split(text, '.') AS p FROM documents)) WHERE length(sentence) > 0""")
 def sentence_timestamps(spark, sf_dir):
-    s = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", r"\.")).alias("pos", "sentence")).where("length(sentence) > 0")
+    s = texts(spark, sf_dir).select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", r"\.")).alias("pos", "sentence")).where("length(sentence) > 0")
     before = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     share = F.lit(60000.0) * F.coalesce(F.sum(F.length("sentence")).over(before), F.lit(0)) / F.sum(F.length("sentence")).over(Window.partitionBy("id"))
     return s.select("id", F.col("pos").cast("int").alias("pos"), "sentence", F.floor(share).cast("long").alias("start_ms"))
@@ -404,7 +404,7 @@ def auto_import_terms(spark, sf_dir):
 
 def on_text(name: str, expr, sql: str) -> None:
     def run(spark, sf_dir):
-        return table(spark, sf_dir, "documents").select("doc_id", expr(F.col("text")).alias("out"))
+        return texts(spark, sf_dir).select("doc_id", expr(F.col("text")).alias("out"))
 
     run.__name__ = name
     query(f"SELECT doc_id, {sql} AS out FROM documents")(run)
@@ -443,7 +443,13 @@ def cer(spark, sf_dir):
     return hypotheses(spark, sf_dir).where("hyp is not null").select("id", "pos", "engine", metrics.cer(F.col("ref"), F.col("hyp")).alias("cer"))
 
 
-@query()
+TOKENS = "list_filter(string_split_regex({0}, '\\s+'), lambda w: w != '')"
+#: Words as single bytes by their place among a pair's words, of which these short texts have under 127.
+WORDS_SQL = "array_to_string(list_transform({0}, lambda w: chr(CAST(list_position(u, w) AS INT))), '')"
+
+
+@query(f"""SELECT id, pos, engine, round(levenshtein({WORDS_SQL.format('a')}, {WORDS_SQL.format('b')}) / len(a), 6) AS wer FROM (SELECT *, list_distinct(list_concat(a, b)) AS u
+FROM (SELECT id, pos, engine, {TOKENS.format('ref')} AS a, {TOKENS.format('hyp')} AS b FROM {HYPOTHESES} WHERE hyp IS NOT NULL))""")
 def wer(spark, sf_dir):
     return hypotheses(spark, sf_dir).where("hyp is not null").select("id", "pos", "engine", metrics.wer(F.col("ref"), F.col("hyp")).alias("wer"))
 
@@ -484,12 +490,13 @@ def apply_dict(spark, sf_dir):
     return segments(spark, sf_dir).select("id", "pos", rules.replace_all(F.col("ref"), CORRECTIONS, longest_first=False).alias("fixed"))
 
 
-CONTEXT_SQL = "regexp_replace({0}, 'the is', 'the was', 'g')"
+#: The second rule's end is matched and put back, as DuckDB's patterns can't look ahead.
+CONTEXT_SQL = r"regexp_replace(regexp_replace({0}, 'the is', 'the was', 'g'), '(.{{0,2}})of(.{{0,2}}) and', '\1off\2 and', 'g')"
 
 
 @query(f"SELECT id, pos, {CONTEXT_SQL.format('ref')} AS fixed FROM {SEGMENTS}")
 def contextual_correct(spark, sf_dir):
-    return segments(spark, sf_dir).select("id", "pos", rules.contextual(F.col("ref"), CONTEXT[:1]).alias("fixed"))
+    return segments(spark, sf_dir).select("id", "pos", rules.contextual(F.col("ref"), CONTEXT).alias("fixed"))
 
 
 STAGED = CONTEXT_SQL.format(sql_replace(sql_replace("ref", BLACKLIST, True), CORRECTIONS, False))
@@ -499,7 +506,7 @@ STAGED = CONTEXT_SQL.format(sql_replace(sql_replace("ref", BLACKLIST, True), COR
 def post_process(spark, sf_dir):
     s = segments(spark, sf_dir).withColumn("after_terms", rules.replace_all(F.col("ref"), BLACKLIST))
     s = s.withColumn("after_dict", rules.replace_all(F.col("after_terms"), CORRECTIONS, longest_first=False))
-    return s.select("id", "pos", "after_terms", "after_dict", rules.contextual(F.col("after_dict"), CONTEXT[:1]).alias("final"))
+    return s.select("id", "pos", "after_terms", "after_dict", rules.contextual(F.col("after_dict"), CONTEXT).alias("final"))
 
 
 def sql_change_log() -> str:
@@ -633,7 +640,7 @@ def ngram_score(spark, sf_dir):
 
 @query("SELECT doc_id AS id, CAST(length(text) AS BIGINT) AS n FROM documents WHERE contains(lower(text), 'there') ORDER BY doc_id LIMIT 50")
 def fts_search(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(F.contains(F.lower("text"), F.lit("there")))
+    d = texts(spark, sf_dir).where(F.contains(F.lower("text"), F.lit("there")))
     return d.select(F.col("doc_id").alias("id"), F.length("text").cast("long").alias("n")).orderBy("id").limit(50)
 
 

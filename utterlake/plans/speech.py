@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules, terms, text
 from ..operators import search
-from .adapters import HYPOTHESES, SEGMENTS, VOCABULARY, hypotheses, segments, table, vocabulary
+from .adapters import HYPOTHESES, SEGMENTS, VOCABULARY, hypotheses, segments, table, texts, vocabulary
 from .queries import query
 
 #: What is said over the radio after each document, by its id.
@@ -21,7 +21,7 @@ RADIO = f"(SELECT doc_id AS id, source, concat(text, chr(10), (ARRAY[{', '.join(
 def radio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, source, said): every document, with radio speech after it."""
     said = F.element_at(F.array(*[F.lit(s) for s in SAID]), (F.col("doc_id") % len(SAID) + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), said).alias("said"))
+    return texts(spark, sf_dir).select(F.col("doc_id").alias("id"), "source", F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), said).alias("said"))
 
 
 def sql_terms(c: str) -> str:
@@ -83,7 +83,7 @@ def coverage(spark, sf_dir):
 @query("SELECT gram, count(*) AS texts FROM (SELECT DISTINCT doc_id, substr(t, i, 3) AS gram FROM (SELECT doc_id, lower(text) AS t, unnest(range(1, length(text) - 1)) AS i FROM documents)) GROUP BY gram")
 def trigram_index(spark, sf_dir):
     """How many texts each posting list of the index has."""
-    return search.postings(table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("gram").agg(F.count("*").alias("texts"))
+    return search.postings(texts(spark, sf_dir), "doc_id", "text").groupBy("gram").agg(F.count("*").alias("texts"))
 
 
 SEARCHED = """(SELECT doc_id AS id, round(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean)), 5) AS score FROM (SELECT doc_id, length(text) AS n, (length(text) - length(replace(lower(text), 'there', ''))) / 5 AS tf FROM documents WHERE contains(lower(text), 'there')),
@@ -93,7 +93,7 @@ SEARCHED = """(SELECT doc_id AS id, round(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0
 @query(f"SELECT s.id, s.score, CAST(length(d.text) AS INT) AS n, e.event_no, p.url FROM {SEARCHED} s JOIN documents d ON d.doc_id = s.id JOIN (SELECT source, min(doc_id) AS event_no FROM documents GROUP BY source) e ON e.source = d.source LEFT JOIN pages p ON p.page_id = s.id")
 def search_join(spark, sf_dir):
     """The best hits of the index with their text's length, their event and, where there is one, their page."""
-    d = table(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir)
     hits = search.phrase_search(search.postings(d, "doc_id", "text"), d, "doc_id", "text", "There")
     events = d.groupBy("source").agg(F.min("doc_id").alias("event_no"))
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url")
