@@ -40,9 +40,14 @@ def number(c: Column) -> Column:
 def rewrite(c: Column, core: str, new: Callable[[Callable[[int], Column]], Column], before: str = "", after: str = "") -> Column:
     """Every match of ``core`` between ``before`` and ``after``, which only look, becomes ``new(group)``; null leaves it as it is."""
     at = before + core + after
-    fixed = F.transform(F.regexp_extract_all(c, F.lit(at), F.lit(0)), lambda m: F.coalesce(new(lambda i: F.regexp_extract(m, core, i)), m))
-    woven = F.zip_with(F.split(c, at, -1), fixed, lambda between, m: F.concat(between, F.coalesce(m, F.lit(""))))
-    return F.when(c.rlike(at), F.array_join(woven, "")).otherwise(c)
+
+    def woven(x: Column) -> Column:
+        fixed = F.transform(F.regexp_extract_all(x, F.lit(at), F.lit(0)), lambda m: F.coalesce(new(lambda i: F.regexp_extract(m, core, i)), m))
+        parts = F.zip_with(F.split(x, at, -1), fixed, lambda between, m: F.concat(between, F.coalesce(m, F.lit(""))))
+        return F.when(x.rlike(at), F.array_join(parts, "")).otherwise(x)
+
+    # The text is itself a step's result, used four times here: a lambda's variable is worked out once.
+    return F.get(F.transform(F.array(c), woven), F.lit(0))
 
 
 def padded(n: Column) -> Column:
