@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.adapters import spread
+from ..sources.files import shared_dir
+
 #: Words are runs of anything but ASCII white space.
 SPACE_RE = "[\\x20\\x09-\\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -17,7 +19,8 @@ BROADCAST_ROWS = 20_000
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; a small one in few files is dealt to all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -30,18 +33,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_RE), lambda w: w != "")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it; a temporary one only where it is unset and all run on this machine."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        master = spark.conf.get("spark.master", "")
-        if master != "local" and not master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
 def written(df: DataFrame, label: str = "step") -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends there, and lost executors don't take it along."""
     spark = df.sparkSession
