@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import additive_model, html_text, jaccard_join, masked_lm, media, mixture, packing, quality_rules, secret_scan, substring_dedup
+from . import additive_model, html_text, jaccard_join, masked_lm, media, mixture, packing, quality_rules, secret_scan, substring_dedup, url_filter, vector_codes, whitening
 from .common import documents
 
 
@@ -54,7 +54,23 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report_history([d.where(~second), d.where(second)])
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.long_form(whitening.whiten(documents(spark, sf_dir, "embeddings")))
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(documents(spark, sf_dir, "pages"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.coded(documents(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_media_columns, op3_mixture, op4_quality_classifier, op5_html_text, op6_jaccard_join, op7_substring_dedup, op8_masked_lm, op9_packing, op10_secret_scan)
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_media_columns, op3_mixture, op4_quality_classifier, op5_html_text, op6_jaccard_join, op7_substring_dedup, op8_masked_lm, op9_packing, op10_secret_scan,
+        op11_whitening, op12_url_filter, op13_vector_codes,
+    )
 }
-ORACLE: dict[str, str] = {"op3_mixture": mixture.oracle()}
+ORACLE: dict[str, str] = {"op3_mixture": mixture.oracle(), "op12_url_filter": url_filter.oracle()}
