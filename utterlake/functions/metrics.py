@@ -29,9 +29,18 @@ def cer(ref: Column, hyp: Column, cap: bool = True, spaced: bool = False) -> Col
     return F.when(F.length(ref) == 0, 0.0).otherwise(F.round(rate, 6))
 
 
+def tokens(c: Column) -> Column:
+    return F.filter(F.split(c, r"\s+"), lambda w: w != "")
+
+
+def word_distance(a: Column, b: Column) -> Column:
+    """Edit distance of white-space tokens."""
+    a, b = tokens(a), tokens(b)
+    known = F.array_union(a, b)
+    return F.levenshtein(word_chars(a, known), word_chars(b, known))
+
+
 def wer(ref: Column, hyp: Column) -> Column:
     """Word error rate on white-space tokens."""
-    tokens = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    a, b = tokens(ref), tokens(hyp)
-    known = F.array_union(a, b)
-    return F.when(F.size(a) == 0, 0.0).otherwise(F.round(F.levenshtein(word_chars(a, known), word_chars(b, known)) / F.size(a), 6))
+    n = F.size(tokens(ref))
+    return F.when(n == 0, 0.0).otherwise(F.round(word_distance(ref, hyp) / n, 6))

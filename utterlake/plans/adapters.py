@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metrics
+from ..operators import scores
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,17 +57,24 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 USAGE = "(SELECT event_id AS id, 'ch' || (user_id % 6) AS channel, event_type AS engine, ts, value AS audio_seconds, props AS usage_json FROM events)"
 
 
+def sql_distance(a: str, b: str) -> str:
+    """Edit distance of characters in DuckDB, which counts bytes: what isn't ASCII becomes single bytes that lower-case texts lack, by its place among the pair's."""
+    spare = " || ".join(f"chr({n})" for n in [*range(1, 9), *range(14, 28)]) + " || 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
+    code = f"translate({{0}}, array_to_string(list_distinct(regexp_extract_all({a} || {b}, '[^\\x00-\\x7f]')), ''), {spare})"
+    return f"(CASE WHEN strlen({a}) = length({a}) AND strlen({b}) = length({b}) THEN levenshtein({a}, {b}) ELSE levenshtein({code.format(a)}, {code.format(b)}) END)"
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, pos, event, ref): every sentence of every document, as letters, digits and spaces in lower case.
+    """(id, pos, event, ref): every sentence of every document, as letters and digits of any script and spaces, in lower case.
 
     What goes on without an end mark is cut every 200 characters, as the edit distance takes the square of the length.
     """
     parts = F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(r"[^.!?\n]{1,200}"), F.lit(0))).alias("pos", "s")
     d = texts(spark, sf_dir).select(F.col("doc_id").alias("id"), F.col("source").alias("event"), parts)
-    return d.select("id", F.col("pos").cast("int").alias("pos"), "event", F.trim(F.regexp_replace("s", "[^a-z0-9 ]", "")).alias("ref")).where("ref != ''")
+    return d.select("id", F.col("pos").cast("int").alias("pos"), "event", F.trim(F.regexp_replace("s", r"[^\p{L}\p{N} ]", "")).alias("ref")).where("ref != ''")
 
 
-SEGMENTS = r"""(SELECT * FROM (SELECT id, CAST(generate_subscripts(p, 1) - 1 AS INT) AS pos, event, trim(regexp_replace(unnest(p), '[^a-z0-9 ]', '', 'g')) AS ref
+SEGMENTS = r"""(SELECT * FROM (SELECT id, CAST(generate_subscripts(p, 1) - 1 AS INT) AS pos, event, trim(regexp_replace(unnest(p), '[^\p{L}\p{N} ]', '', 'g')) AS ref
   FROM (SELECT doc_id AS id, source AS event, regexp_extract_all(lower(text), '[^.!?\n]{1,200}') AS p FROM documents)) WHERE ref != '')"""
 
 
@@ -85,16 +93,34 @@ HYPOTHESES = f"""(SELECT id, pos, event, 'alpha' AS engine, ref, replace(ref, 't
   UNION ALL SELECT id, pos, event, 'beta', ref, regexp_replace(ref, 'e([a-z])', '\\1', 'g') FROM {SEGMENTS}
   UNION ALL SELECT id, pos, event, 'gamma', ref, CASE WHEN contains(ref, 'a') THEN replace(ref, 'an', 'en') END FROM {SEGMENTS})"""
 
+TOKENS = "list_filter(string_split_regex({0}, '\\s+'), lambda w: w != '')"
+#: Words as single bytes by their place among a pair's words, of which these short texts have under 127.
+WORDS_SQL = "array_to_string(list_transform({0}, lambda w: chr(CAST(list_position(u, w) AS INT))), '')"
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hypotheses that are there, with ``errors``, ``word_errors`` and ``words`` (of the reference).
+
+    Distances are looked up in the session's store of scored pairs, which is first extended by the pairs it lacks.
+    """
+    return scores.with_distances(hypotheses(spark, sf_dir).where("hyp is not null"), scores.session_store(spark))
+
+
+SCORED = f"""(SELECT id, pos, event, engine, ref, hyp, {sql_distance("ref", "hyp")} AS errors, levenshtein({WORDS_SQL.format("a")}, {WORDS_SQL.format("b")}) AS word_errors, len(a) AS words
+  FROM (SELECT *, list_distinct(list_concat(a, b)) AS u FROM (SELECT *, {TOKENS.format("ref")} AS a, {TOKENS.format("hyp")} AS b FROM {HYPOTHESES} WHERE hyp IS NOT NULL)))"""
+
 #: A run is a document's last digit; runs are ordered by it.
-RUNS = f"""(SELECT engine, id % 10 AS run, count(*) AS sample_count, count(hyp) AS success_count,
-  round(avg(CASE WHEN hyp IS NOT NULL THEN round(levenshtein(ref, hyp) / length(ref), 6) END), 6) AS cer FROM {HYPOTHESES} GROUP BY 1, 2)"""
+RUNS = f"""(SELECT h.engine, h.run, sample_count, success_count, cer, wer FROM (SELECT engine, id % 10 AS run, count(*) AS sample_count, count(hyp) AS success_count FROM {HYPOTHESES} GROUP BY 1, 2) h
+LEFT JOIN (SELECT engine, id % 10 AS run, round(avg(round(errors / length(ref), 6)), 6) AS cer, round(avg(round(word_errors / words, 6)), 6) AS wer FROM {SCORED} GROUP BY 1, 2) s ON h.engine = s.engine AND h.run = s.run)"""
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(engine, run, sample_count, success_count, cer)."""
-    rate = F.when(F.col("hyp").isNotNull(), F.round(metrics.distance("ref", "hyp") / F.length("ref"), 6))
-    h = hypotheses(spark, sf_dir).groupBy("engine", (F.col("id") % 10).alias("run"))
-    return h.agg(F.count("*").alias("sample_count"), F.count("hyp").alias("success_count"), F.round(F.avg(rate), 6).alias("cer"))
+    """(engine, run, sample_count, success_count, cer, wer)."""
+    run = (F.col("id") % 10).alias("run")
+    h = hypotheses(spark, sf_dir).groupBy("engine", run).agg(F.count("*").alias("sample_count"), F.count("hyp").alias("success_count"))
+    rate = lambda a, b: F.round(F.avg(F.round(F.col(a) / b, 6)), 6)
+    s = scored(spark, sf_dir).groupBy("engine", run).agg(rate("errors", F.length("ref")).alias("cer"), rate("word_errors", F.col("words")).alias("wer"))
+    return h.join(s, ["engine", "run"], "left")
 
 
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:

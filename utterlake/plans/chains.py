@@ -69,7 +69,7 @@ coalesce(trim(max(hyp) FILTER (engine = 'beta' AND pos % 5 != 0)), '') AS c FROM
 @query(f"""SELECT id, pos, CASE WHEN rule IN ('R1', 'R3', 'R4') THEN a WHEN rule IN ('R2', 'R5') THEN b WHEN rule = 'R6' THEN c ELSE '' END AS fused,
 CASE WHEN rule IN ('R1', 'R3', 'R4') THEN 'a' WHEN rule IN ('R2', 'R5') THEN 'b' WHEN rule = 'R6' THEN 'spare' ELSE '' END AS source, rule, rate FROM (
 SELECT *, CASE WHEN rate < 0.1 THEN 'R1' WHEN rate <= 0.4 THEN 'R2' WHEN rate IS NOT NULL THEN 'R3' WHEN a != '' THEN 'R4' WHEN b != '' THEN 'R5' WHEN c != '' THEN 'R6' ELSE 'R7' END AS rule
-FROM (SELECT *, CASE WHEN a != '' AND b != '' THEN least(1.0, round(levenshtein(a, b) / length(a), 6)) END AS rate FROM {THREE}))""")
+FROM (SELECT *, CASE WHEN a != '' AND b != '' THEN least(1.0, round({q.sql_distance('a', 'b')} / length(a), 6)) END AS rate FROM {THREE}))""")
 def fuse_three_whole(spark, sf_dir):
     """Two engines and a spare one; the second and the spare lack some segments."""
     of = lambda engine, on=True: F.max(F.when((F.col("engine") == engine) & on, F.col("hyp")))

@@ -71,13 +71,13 @@ def error_type_shares(spark, sf_dir):
 
 T, D, S = q.sql_replace("hyp", q.BLACKLIST, True), q.sql_replace(q.sql_replace("hyp", q.BLACKLIST, True), q.CORRECTIONS, False), q.CONTEXT_SQL.format(q.sql_replace(q.sql_replace("hyp", q.BLACKLIST, True), q.CORRECTIONS, False))
 STAGED = f"(SELECT id, pos, engine, ref, hyp, {T} AS s1, {D} AS s2, {S} AS s3 FROM {HYPOTHESES} WHERE hyp IS NOT NULL)"
-RATE = "round(levenshtein(ref, {0}) / length(ref), 6)"
+RATE = "round(" + q.sql_distance("ref", "{0}") + " / length(ref), 6)"
 
 
 def staged(spark, sf_dir):
     h = hypotheses(spark, sf_dir).where("hyp is not null").withColumn("s1", rules.replace_all(F.col("hyp"), q.BLACKLIST))
     h = h.withColumn("s2", rules.replace_all(F.col("s1"), q.CORRECTIONS, longest_first=False))
-    return h.withColumn("s3", rules.contextual(F.col("s2"), q.CONTEXT[:1])).select("id", "pos", "engine", "ref", "hyp", "s1", "s2", "s3")
+    return h.withColumn("s3", rules.contextual(F.col("s2"), q.CONTEXT)).select("id", "pos", "engine", "ref", "hyp", "s1", "s2", "s3")
 
 
 def rate(c):
@@ -119,8 +119,8 @@ SYNONYM = "replace(replace({0}, ' ', ''), 'thea', 'the')"
 
 
 @query(f"""SELECT engine, round(avg(a), 6) AS plain, round(avg(b), 6) AS squeezed, round(avg(c), 6) AS synonyms, round(avg(c) - avg(a), 6) AS change FROM (SELECT engine, {RATE.format('hyp')} AS a,
-round(levenshtein({SQUEEZED.format('ref')}, {SQUEEZED.format('hyp')}) / length({SQUEEZED.format('ref')}), 6) AS b,
-round(levenshtein({SYNONYM.format('ref')}, {SYNONYM.format('hyp')}) / length({SYNONYM.format('ref')}), 6) AS c FROM {HYPOTHESES} WHERE hyp IS NOT NULL) GROUP BY engine""")
+round({q.sql_distance(SQUEEZED.format('ref'), SQUEEZED.format('hyp'))} / length({SQUEEZED.format('ref')}), 6) AS b,
+round({q.sql_distance(SYNONYM.format('ref'), SYNONYM.format('hyp'))} / length({SYNONYM.format('ref')}), 6) AS c FROM {HYPOTHESES} WHERE hyp IS NOT NULL) GROUP BY engine""")
 def style_divergence(spark, sf_dir):
     squeezed = lambda x: F.replace(x, F.lit(" "), F.lit(""))
     same = lambda x: text.apply_synonyms(squeezed(x), [("the", ["thea"])])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics, rules, text
 from ..operators.search import spotted, windows
-from .adapters import HYPOTHESES, RUNS, SEGMENTS, TRANSCRIPTIONS, USAGE, VOCABULARY, hypotheses, runs, segments, table, texts, transcriptions, usage, vocabulary
+from .adapters import HYPOTHESES, RUNS, SCORED, SEGMENTS, TRANSCRIPTIONS, USAGE, VOCABULARY, hypotheses, runs, scored, segments, sql_distance, table, texts, transcriptions, usage, vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -104,12 +104,13 @@ def keywords_with_event(spark, sf_dir):
     return vocabulary(spark, sf_dir).join(p, (F.col("category") == F.col("p_type")) & (F.col("level") == F.col("p_size") % 4)).select("term", "level", "p_partkey")
 
 
-@query(f"""SELECT id, pos, engine, hyp IS NOT NULL AS matched, CASE WHEN hyp IS NULL THEN 1.0 ELSE round(levenshtein(ref, hyp) / length(ref), 6) END AS cer,
-CASE WHEN hyp IS NULL THEN length(ref) ELSE 0 END AS deletions FROM {HYPOTHESES}""")
+@query(f"""SELECT id, pos, engine, true AS matched, round(errors / length(ref), 6) AS cer, 0 AS deletions FROM {SCORED}
+UNION ALL SELECT id, pos, engine, false, 1.0, length(ref) FROM {HYPOTHESES} WHERE hyp IS NULL""")
 def gt_hyp_match(spark, sf_dir):
-    h = hypotheses(spark, sf_dir)
-    none = F.col("hyp").isNull()
-    return h.select("id", "pos", "engine", (~none).alias("matched"), F.when(none, 1.0).otherwise(r6(metrics.distance("ref", "hyp") / F.length("ref"))).alias("cer"), F.when(none, F.length("ref")).otherwise(0).cast("long").alias("deletions"))
+    keys = ["id", "pos", "engine"]
+    found = scored(spark, sf_dir).select(*keys, F.lit(True).alias("matched"), r6(F.col("errors") / F.length("ref")).alias("cer"), F.lit(0).cast("long").alias("deletions"))
+    lost = hypotheses(spark, sf_dir).where("hyp is null").select(*keys, F.lit(False), F.lit(1.0), F.length("ref").cast("long"))
+    return found.union(lost)
 
 
 @query(f"""SELECT id, pos, coalesce(max(hyp) FILTER (engine = 'alpha'), '') AS alpha, coalesce(max(hyp) FILTER (engine = 'beta'), '') AS beta,
@@ -191,29 +192,33 @@ def usage_by_channel(spark, sf_dir):
     return u.rollup("channel", "engine").agg(F.count("*").alias("calls"), F.round(F.sum("audio_seconds"), 4).alias("seconds"), F.sum("k").alias("k"))
 
 
-@query(f"""SELECT engine, round(avg(least(1.0, e / n)), 6) AS macro_cer, round(CAST(sum(e) AS DOUBLE) / sum(n), 6) AS micro_cer, count(*) AS files
-FROM (SELECT id, engine, sum(levenshtein(ref, hyp)) AS e, sum(length(ref)) AS n FROM {HYPOTHESES} WHERE hyp IS NOT NULL GROUP BY id, engine) GROUP BY engine""")
+@query(f"""SELECT engine, round(avg(least(1.0, e / n)), 6) AS macro_cer, round(CAST(sum(e) AS DOUBLE) / sum(n), 6) AS micro_cer, round(avg(w / words), 6) AS macro_wer, round(CAST(sum(w) AS DOUBLE) / sum(words), 6) AS micro_wer,
+count(*) AS files FROM (SELECT id, engine, sum(errors) AS e, sum(length(ref)) AS n, sum(word_errors) AS w, sum(words) AS words FROM {SCORED} GROUP BY id, engine) GROUP BY engine""")
 def eval_overall(spark, sf_dir):
-    f = hypotheses(spark, sf_dir).where("hyp is not null").groupBy("id", "engine").agg(F.sum(metrics.distance("ref", "hyp")).alias("e"), F.sum(F.length("ref")).alias("n"))
-    return f.groupBy("engine").agg(r6(F.avg(F.least(F.lit(1.0), F.col("e") / F.col("n")))).alias("macro_cer"), r6(F.sum("e") / F.sum("n")).alias("micro_cer"), F.count("*").alias("files"))
+    f = scored(spark, sf_dir).groupBy("id", "engine").agg(F.sum("errors").alias("e"), F.sum(F.length("ref")).alias("n"), F.sum("word_errors").alias("w"), F.sum("words").alias("words"))
+    return f.groupBy("engine").agg(
+        r6(F.avg(F.least(F.lit(1.0), F.col("e") / F.col("n")))).alias("macro_cer"), r6(F.sum("e") / F.sum("n")).alias("micro_cer"),
+        r6(F.avg(F.col("w") / F.col("words"))).alias("macro_wer"), r6(F.sum("w") / F.sum("words")).alias("micro_wer"), F.count("*").alias("files"),
+    )
 
 
-@query(f"SELECT engine, run, sample_count, success_count, cer FROM {RUNS}")
+@query(f"SELECT engine, run, sample_count, success_count, cer, wer FROM {RUNS}")
 def eval_run_summary(spark, sf_dir):
     return runs(spark, sf_dir)
 
 
-@query(f"SELECT engine, event, count(*) AS samples, round(avg(round(levenshtein(ref, hyp) / length(ref), 6)), 6) AS cer FROM {HYPOTHESES} WHERE hyp IS NOT NULL GROUP BY 1, 2")
+@query(f"SELECT engine, event, count(*) AS samples, round(avg(round(errors / length(ref), 6)), 6) AS cer, round(avg(round(word_errors / words, 6)), 6) AS wer FROM {SCORED} GROUP BY 1, 2")
 def eval_by_event_type(spark, sf_dir):
-    h = hypotheses(spark, sf_dir).where("hyp is not null")
-    return h.groupBy("engine", "event").agg(F.count("*").alias("samples"), r6(F.avg(metrics.cer(F.col("ref"), F.col("hyp"), cap=False))).alias("cer"))
+    h = scored(spark, sf_dir)
+    return h.groupBy("engine", "event").agg(F.count("*").alias("samples"), r6(F.avg(r6(F.col("errors") / F.length("ref")))).alias("cer"), r6(F.avg(r6(F.col("word_errors") / F.col("words")))).alias("wer"))
 
 
-@query(f"""SELECT engine, round(avg(c), 6) AS mean, round(median(c), 6) AS middle, round(stddev_samp(c), 6) AS sd, min(c) AS least, max(c) AS most
-FROM (SELECT engine, round(levenshtein(ref, hyp) / length(ref), 6) AS c FROM {HYPOTHESES} WHERE hyp IS NOT NULL) GROUP BY engine""")
+@query(f"""SELECT engine, metric, round(avg(c), 6) AS mean, round(median(c), 6) AS middle, round(stddev_samp(c), 6) AS sd, min(c) AS least, max(c) AS most
+FROM (SELECT engine, unnest(['cer', 'wer']) AS metric, unnest([round(errors / length(ref), 6), round(word_errors / words, 6)]) AS c FROM {SCORED}) GROUP BY 1, 2""")
 def model_statistics(spark, sf_dir):
-    c = hypotheses(spark, sf_dir).where("hyp is not null").select("engine", metrics.cer(F.col("ref"), F.col("hyp"), cap=False).alias("c"))
-    return c.groupBy("engine").agg(r6(F.avg("c")).alias("mean"), r6(F.percentile("c", F.lit(0.5))).alias("middle"), r6(F.stddev_samp("c")).alias("sd"), F.min("c").alias("least"), F.max("c").alias("most"))
+    each = F.array(F.struct(F.lit("cer").alias("metric"), r6(F.col("errors") / F.length("ref")).alias("c")), F.struct(F.lit("wer").alias("metric"), r6(F.col("word_errors") / F.col("words")).alias("c")))
+    c = scored(spark, sf_dir).select("engine", F.explode(each).alias("m")).select("engine", "m.*")
+    return c.groupBy("engine", "metric").agg(r6(F.avg("c")).alias("mean"), r6(F.percentile("c", F.lit(0.5))).alias("middle"), r6(F.stddev_samp("c")).alias("sd"), F.min("c").alias("least"), F.max("c").alias("most"))
 
 
 @query(f"SELECT event, count(*) AS files, count(*) FILTER (status != 'pending') AS labelled, CAST(sum(length(transcript)) AS BIGINT) AS chars FROM {TRANSCRIPTIONS} GROUP BY event")
@@ -267,7 +272,7 @@ def best_by_engine(spark, sf_dir):
 
 
 @query(f"""SELECT event, min(c) FILTER (engine = 'alpha') AS alpha, min(c) FILTER (engine = 'beta') AS beta, min(c) FILTER (engine = 'gamma') AS gamma
-FROM (SELECT event, engine, round(avg(round(levenshtein(ref, hyp) / length(ref), 6)), 6) AS c FROM {HYPOTHESES} WHERE hyp IS NOT NULL GROUP BY 1, 2) GROUP BY event""")
+FROM (SELECT event, engine, round(avg(round(errors / length(ref), 6)), 6) AS c FROM {SCORED} GROUP BY 1, 2) GROUP BY event""")
 def best_engine_x_type(spark, sf_dir):
     return eval_by_event_type(spark, sf_dir).groupBy("event").pivot("engine", ["alpha", "beta", "gamma"]).agg(F.min("cer"))
 
@@ -438,20 +443,20 @@ def filename_datetime(spark, sf_dir):
 # ---- distances
 
 
-@query(f"SELECT id, pos, engine, CASE WHEN length(ref) = 0 THEN 0 ELSE round(least(1.0, levenshtein(ref, hyp) / length(ref)), 6) END AS cer FROM {HYPOTHESES} WHERE hyp IS NOT NULL")
+@query(f"SELECT id, pos, engine, round(least(1.0, errors / length(ref)), 6) AS cer FROM {SCORED}")
 def cer(spark, sf_dir):
-    return hypotheses(spark, sf_dir).where("hyp is not null").select("id", "pos", "engine", metrics.cer(F.col("ref"), F.col("hyp")).alias("cer"))
+    return scored(spark, sf_dir).select("id", "pos", "engine", r6(F.least(F.lit(1.0), F.col("errors") / F.length("ref"))).alias("cer"))
 
 
-TOKENS = "list_filter(string_split_regex({0}, '\\s+'), lambda w: w != '')"
-#: Words as single bytes by their place among a pair's words, of which these short texts have under 127.
-WORDS_SQL = "array_to_string(list_transform({0}, lambda w: chr(CAST(list_position(u, w) AS INT))), '')"
+@query(f"SELECT id, pos, engine, round(least(1.0, {sql_distance(*[f"array_to_string(string_split({c}, ''), ' ')" for c in ('ref', 'hyp')])} / length(ref)), 6) AS cer FROM {HYPOTHESES} WHERE hyp IS NOT NULL")
+def cer_spaced(spark, sf_dir):
+    """As older reports count: with spaces between characters, so that a change of length counts twice."""
+    return hypotheses(spark, sf_dir).where("hyp is not null").select("id", "pos", "engine", metrics.cer(F.col("ref"), F.col("hyp"), spaced=True).alias("cer"))
 
 
-@query(f"""SELECT id, pos, engine, round(levenshtein({WORDS_SQL.format('a')}, {WORDS_SQL.format('b')}) / len(a), 6) AS wer FROM (SELECT *, list_distinct(list_concat(a, b)) AS u
-FROM (SELECT id, pos, engine, {TOKENS.format('ref')} AS a, {TOKENS.format('hyp')} AS b FROM {HYPOTHESES} WHERE hyp IS NOT NULL))""")
+@query(f"SELECT id, pos, engine, round(word_errors / words, 6) AS wer FROM {SCORED}")
 def wer(spark, sf_dir):
-    return hypotheses(spark, sf_dir).where("hyp is not null").select("id", "pos", "engine", metrics.wer(F.col("ref"), F.col("hyp")).alias("wer"))
+    return scored(spark, sf_dir).select("id", "pos", "engine", r6(F.col("word_errors") / F.col("words")).alias("wer"))
 
 
 @query(f"""SELECT event, count(*) AS terms, count(*) FILTER (hit) AS hits, round(1 - count(*) FILTER (hit) / count(*), 6) AS ter FROM (
@@ -545,7 +550,7 @@ def safe_pair(spark, sf_dir):
     return n.groupBy("engine", "wrong").agg(F.min_by("ref", F.struct("n", "ref")).alias("fixed"))
 
 
-FUSE = "CASE WHEN b IS NULL THEN a WHEN a IS NULL THEN b WHEN length(a) = 0 THEN b WHEN levenshtein(a, b) / length(a) < 0.1 THEN a WHEN levenshtein(a, b) / length(a) <= 0.4 THEN b ELSE a END"
+FUSE = f"CASE WHEN b IS NULL THEN a WHEN a IS NULL THEN b WHEN length(a) = 0 THEN b WHEN {sql_distance('a', 'b')} / length(a) < 0.1 THEN a WHEN {sql_distance('a', 'b')} / length(a) <= 0.4 THEN b ELSE a END"
 
 
 @query(f"SELECT id, pos, {FUSE} AS fused FROM (SELECT id, pos, max(hyp) FILTER (engine = 'alpha') AS a, max(hyp) FILTER (engine = 'gamma') AS b FROM {HYPOTHESES} GROUP BY id, pos)")
@@ -557,10 +562,10 @@ def fuse_two_whole(spark, sf_dir):
 
 
 @query(f"""SELECT kind, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM (SELECT CASE WHEN a AND b THEN 'both_correct' WHEN a THEN 'a_wins' WHEN b THEN 'b_wins' ELSE 'both_wrong' END AS kind
-FROM (SELECT id, pos, bool_or(levenshtein(ref, hyp) / length(ref) < 0.05) FILTER (engine = 'alpha') AS a, bool_or(levenshtein(ref, hyp) / length(ref) < 0.05) FILTER (engine = 'beta') AS b FROM {HYPOTHESES} WHERE hyp IS NOT NULL GROUP BY id, pos)) GROUP BY kind""")
+FROM (SELECT id, pos, bool_or(errors / length(ref) < 0.05) FILTER (engine = 'alpha') AS a, bool_or(errors / length(ref) < 0.05) FILTER (engine = 'beta') AS b FROM {SCORED} GROUP BY id, pos)) GROUP BY kind""")
 def complementarity(spark, sf_dir):
-    ok = metrics.distance("ref", "hyp") / F.length("ref") < 0.05
-    w = hypotheses(spark, sf_dir).where("hyp is not null").groupBy("id", "pos").agg(F.bool_or(F.when(F.col("engine") == "alpha", ok)).alias("a"), F.bool_or(F.when(F.col("engine") == "beta", ok)).alias("b"))
+    ok = F.col("errors") / F.length("ref") < 0.05
+    w = scored(spark, sf_dir).groupBy("id", "pos").agg(F.bool_or(F.when(F.col("engine") == "alpha", ok)).alias("a"), F.bool_or(F.when(F.col("engine") == "beta", ok)).alias("b"))
     kinds = w.groupBy(F.expr("case when a and b then 'both_correct' when a then 'a_wins' when b then 'b_wins' else 'both_wrong' end").alias("kind")).agg(F.count("*").alias("n"))
     return kinds.crossJoin(kinds.agg(F.sum("n").alias("total"))).select("kind", "n", r6(F.col("n") / F.col("total")).alias("share"))
 
