@@ -82,13 +82,13 @@ def test_usage_and_alerts(spark, tmp_path):
     usage = streamed(spark, live.live_usage(s, prices), "usage", "update")
     assert {(str(r[0])[:10], *r[1:]) for r in usage} == {("2024-01-01", "c", "e", 2, 2.0), ("2024-01-02", "c", "e", 1, 1.0)}
     assert {r[2] for r in streamed(spark, live.live_keyword_alert(s, terms), "alerts")} == {"fire"}
-    assert {r[2] for r in streamed(spark, live.live_keyword_alert(s, terms, most=0), "alerts_by_key")} == {"fire"}
+    assert {r[2] for r in streamed(spark, live.live_keyword_alert(s, terms, most_bytes=0), "alerts_by_key")} == {"fire"}
 
 
 def test_alerts_by_key(spark):
     lines = spark.createDataFrame([(1, "c", "aXa fire aa"), (2, "c", ""), (3, "c", None), (4, "d", "x")], "ts long, channel string, text string")
     terms = spark.createDataFrame([("fire", 3), ("a", 4), ("xa", 3), ("none", 3)], "term string, level int")
-    few, many = (sorted(map(tuple, live.live_keyword_alert(lines, terms, most=n).collect())) for n in (10, 0))
+    few, many = (sorted(map(tuple, live.live_keyword_alert(lines, terms, most_bytes=n).collect())) for n in (10_000, 0))
     assert few == many == [(1, "c", "a", 4), (1, "c", "fire", 3), (1, "c", "xa", 3)]
 
 

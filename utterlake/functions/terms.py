@@ -40,9 +40,9 @@ def key_terms(c: Column, patterns: dict[str, str] = KEY_TERMS) -> Column:
 
 
 def comparable(c: Column) -> Column:
-    """Without notes in brackets, speaker marks, punctuation and white space; null counts as empty."""
-    c = F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "【[^】]*】", ""), r"(?m)^[A-Z]:\s*", "")
-    return F.regexp_replace(c, UNCOMPARED, "")
+    """Without notes in brackets, speaker marks, punctuation and white space, all in one pass; null counts as empty."""
+    note = "【[^】]*】"
+    return F.regexp_replace(F.coalesce(c, F.lit("")), rf"(?m)^(?:{note})*[A-Z]:|{note}|{UNCOMPARED}", "")
 
 
 def occurs(term: Column, comparable_text: Column) -> Column:
@@ -58,9 +58,8 @@ def outside(c: Column, patterns: list[str], literals: list[str], rewrite: Callab
     words = [re.escape(x) for x in sorted(filter(None, literals), key=lambda x: (-len(x), x))]
     levels = [*patterns, *(["|".join(words)] if words else [])]
 
-    # Inner levels cut too, so each has its own marks.
     def walk(x: Column, left: list[str]) -> Column:
-        return runs(x, left[0], lambda kept: kept, lambda y: walk(y, left[1:]), level=len(left)) if left else rewrite(x)
+        return runs(x, left[0], lambda kept: kept, lambda y: walk(y, left[1:])) if left else rewrite(x)
 
     return walk(c, levels)
 
@@ -80,9 +79,11 @@ def keyword_lines(c: Column) -> Column:
         return F.struct(F.regexp_replace(F.regexp_extract(x, "^([^,]*),", 1), r"^\s+|\s+$", "").alias("keyword"), F.when(digits != "", level).alias("level"))
 
     known = F.filter(F.transform(lines, parsed), lambda x: F.length(x["keyword"]).between(2, 12) & x["level"].isNotNull())
-    placed = F.transform(known, lambda x, i: F.struct((-x["level"]).alias("low"), i.alias("i"), x["keyword"].alias("keyword"), x["level"].alias("level")))
-    first = F.filter(placed, lambda x: F.array_position(F.transform(known, lambda y: y["keyword"]), x["keyword"]) == x["i"] + 1)
-    return F.transform(F.array_sort(first), lambda x: F.struct(x["keyword"].alias("keyword"), x["level"].alias("level")))
+    # Sorted by keyword and place, the first of equal ones has another before it; a lambda's variable is worked out once.
+    sorted_ = F.array_sort(F.transform(known, lambda x, i: F.struct(x["keyword"].alias("keyword"), i.alias("i"), x["level"].alias("level"))))
+    firsts = F.get(F.transform(F.array(sorted_), lambda s: F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1)["keyword"] != x["keyword"]))), F.lit(0))
+    placed = F.array_sort(F.transform(firsts, lambda x: F.struct((-x["level"]).alias("low"), x["i"].alias("i"), x["keyword"].alias("keyword"), x["level"].alias("level"))))
+    return F.transform(placed, lambda x: F.struct(x["keyword"].alias("keyword"), x["level"].alias("level")))
 
 
 def legacy_clean(c: Column, corrections: dict[str, str], bold: bool = True) -> Column:

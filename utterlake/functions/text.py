@@ -1,9 +1,11 @@
-"""Text normalisation as column expressions; all stay in the JVM."""
+"""Text normalisation as column expressions; all but the cut of repetitions stay in the JVM."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -66,14 +68,16 @@ def strip_live_lines(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.array_join(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"\[\d{2}:\d{2}:\d{2}\]", ""))), " "), " +", " "))
 
 
-def runs(c: Column, pattern: str, on_match: Callable[[Column], Column], on_rest: Callable[[Column], Column], level: int = 1) -> Column:
-    """``on_match`` of every match and ``on_rest`` of what lies between, put together again.
+def runs(c: Column, pattern: str, on_match: Callable[[Column], Column], on_rest: Callable[[Column], Column]) -> Column:
+    """``on_match`` of every match and ``on_rest`` of what lies between, put together again; the text is taken apart, not marked."""
 
-    The two private-use characters of ``level`` that mark matches must not be in the text.
-    """
-    cut, match = chr(0xF700 + 2 * level), chr(0xF701 + 2 * level)
-    parts = F.split(F.regexp_replace(c, f"(?:{pattern})", f"{cut}{match}$0{cut}"), cut)
-    return F.array_join(F.transform(parts, lambda x: F.when(F.startswith(x, F.lit(match)), on_match(F.substring(x, F.lit(2), F.length(x)))).otherwise(on_rest(x))), "")
+    def woven(x: Column) -> Column:
+        between = F.transform(F.split(x, pattern, -1), on_rest)
+        found = F.transform(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), on_match)
+        return F.array_join(F.zip_with(between, found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+    # A lambda's variable is worked out once, an expression that is used twice is not.
+    return F.when(c.isNotNull(), F.get(F.transform(F.array(c), woven), F.lit(0)))
 
 
 #: Digits as they are said over the radio, and their figures.
@@ -81,15 +85,20 @@ SPOKEN_DIGITS, FIGURES = "零洞一腰么二兩三四五六七拐八九勾鉤",
 
 
 def fix_station_codes(c: Column, strict: bool = False) -> Column:
-    """``G 0 7``, ``g7`` and ``R 洞拐`` become ``G07`` and ``R07``; ``strict`` asks that no letter stands before."""
+    """``G 0 7``, ``g7`` and ``R 洞拐`` become ``G07`` and ``R07``; ``strict`` asks that no letter stands before.
+
+    One pass over letter and digits: two digits or two spoken ones, or a digit alone, next to a capital or anywhere after
+    a small letter.
+    """
+    spoken = f"[{SPOKEN_DIGITS}]"
+    codes = [rf"[GR]\s*\d\s*\d", r"[GR]\d", r"[gr]\s*\d\d?", rf"[GRgr]\s*{spoken}\s*{spoken}"]
     guard = r"(?<![\p{L}\p{N}_])" if strict else ""
-    said = rf"{guard}[GRgr]\s*[{SPOKEN_DIGITS}]\s*[{SPOKEN_DIGITS}]"
-    c = F.regexp_replace(c, rf"{guard}([GR])\s*(\d)\s*(\d)", "$1$2$3")
-    for letter in "gr":
-        c = F.regexp_replace(c, rf"{guard}{letter}\s*(\d)(?!\d)", f"{letter.upper()}0$1")
-        c = F.regexp_replace(c, rf"{guard}{letter}\s*(\d\d)", f"{letter.upper()}$1")
-    c = F.regexp_replace(c, rf"{guard}([GR])(\d)(?!\d)", "$10$2")
-    return runs(c, said, lambda x: F.upper(F.translate(F.regexp_replace(x, r"\s", ""), SPOKEN_DIGITS, FIGURES)), lambda x: x)
+
+    def code(x: Column) -> Column:
+        x = F.translate(F.upper(F.regexp_replace(x, r"\s", "")), SPOKEN_DIGITS, FIGURES)
+        return F.when(F.length(x) == 2, F.concat(F.left(x, F.lit(1)), F.lit("0"), F.right(x, F.lit(1)))).otherwise(x)
+
+    return runs(c, f"{guard}(?:{'|'.join(codes)})", code, lambda x: x)
 
 
 def fix_number_explosion(c: Column, mark: str = "[number?]") -> Column:
@@ -97,14 +106,32 @@ def fix_number_explosion(c: Column, mark: str = "[number?]") -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"(^|[^0-9])([012]\d)\d{13,}", "$1$2"), r"\d{15,}", mark)
 
 
+def tail_copies(text: str, unit: int) -> int:
+    """How many copies of its last ``unit`` characters a text ends with: the reversed text's longest match with itself, moved by ``unit``."""
+    v = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)[::-1]
+    same = v[unit:] == v[: len(v) - unit]
+    border = len(same) if same.all() else int(same.argmin())
+    return 1 + border // unit
+
+
 def truncate_repetition(c: Column, least: int = 2, most: int = 30, times: int = 5) -> Column:
-    """If the tail repeats a unit of ``least`` to ``most`` characters ``times`` times or more, keep one copy; the smallest unit wins."""
-    units = F.filter(F.sequence(F.lit(least), F.lit(most)), lambda k: (F.length(c) >= k * times) & (F.right(c, k * times) == F.repeat(F.right(c, k), F.lit(times))))
-    k = F.get(units, F.lit(0))
-    unit = F.right(c, k)
-    # The run begins where the text without the unit's copies at its end stops.
-    runs = F.aggregate(F.sequence(F.lit(1), F.length(c)), F.lit(0), lambda n, i: F.when((n == i - 1) & (F.length(c) >= k * i) & (F.right(c, k * i) == F.repeat(unit, i.cast("int"))), i).otherwise(n))
-    return F.when(k.isNull(), c).otherwise(F.rtrim(F.left(c, F.length(c) - k * (runs - 1))))
+    """If the tail repeats a unit of ``least`` to ``most`` characters ``times`` times or more, keep one copy; the smallest unit wins.
+
+    What stays loses white space at its end if a copy was cut. Time is linear in the text.
+    """
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series) -> pd.Series:
+        def one(x: str | None) -> str | None:
+            for k in range(least, min(most, len(x) // times) + 1) if x else ():
+                tail = x[-k * times :]
+                if tail == tail[:k] * times:
+                    return x[: len(x) - k * (tail_copies(x, k) - 1)].rstrip(" ")
+            return x
+
+        return texts.map(one)
+
+    return cut(c)
 
 
 def parse_inline_tags(c: Column) -> Column:

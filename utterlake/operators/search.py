@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import terms
+from . import keywords
+from .keywords import windows
 
 #: Folders of a written index; a trigram lies in one of them, its texts in any number of files there.
 FOLDERS = 256
@@ -13,28 +15,9 @@ FOLDERS = 256
 DEALS = 8
 
 
-#: Terms that may be sent to all executors; beyond, joins go by the term's first characters.
-MOST_TERMS = 5_000
-
-
 def spotted(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, term_col: str) -> DataFrame:
-    """(id, term): terms that occur in a text as substrings, case aside.
-
-    Up to MOST_TERMS terms (counted) go to all executors and are looked for in one pass. More are joined by their first
-    three characters (all, if they have fewer) with the distinct runs of that length of each text, then verified.
-    """
-    d = docs.select(F.col(id_col).alias("id"), F.lower(text_col).alias("t"))
-    t = terms.select(F.lower(term_col).alias("term")).where("term != ''").distinct()
-    if t.limit(MOST_TERMS + 1).count() <= MOST_TERMS:
-        return d.join(F.broadcast(t), F.contains(F.col("t"), F.col("term"))).select("id", "term")
-    start = F.array_distinct(F.flatten(F.array(*[windows(F.col("t"), n) for n in (1, 2, 3)])))
-    pairs = d.select("id", F.explode(start).alias("g")).join(t.withColumn("g", F.left("term", F.lit(3))), "g").select("id", "term")
-    return pairs.join(d, "id").where(F.contains(F.col("t"), F.col("term"))).select("id", "term")
-
-
-def windows(c: Column, n: int) -> Column:
-    """All runs of ``n`` characters, overlapping. One pass: the run is looked ahead at from every character."""
-    return F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
+    """(id, term): terms that occur in a text as substrings, case aside, by one pass over each text."""
+    return keywords.occurring(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ["id"], "text", terms, term_col)
 
 
 def trigrams(c: Column) -> Column:

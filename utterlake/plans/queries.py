@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics, rules, text
-from ..operators.search import spotted, windows
+from ..operators.keywords import windows
+from ..operators.search import spotted
 from .adapters import HYPOTHESES, RUNS, SCORED, SEGMENTS, TRANSCRIPTIONS, USAGE, VOCABULARY, hypotheses, runs, scored, segments, sql_distance, table, texts, transcriptions, usage, vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -141,14 +141,14 @@ def legacy_clean(spark, sf_dir):
 
 REPLY = "CASE p_partkey % 4 WHEN 0 THEN '# ' WHEN 1 THEN ' ' ELSE '' END || split_part(p_name, ' ', 1) || CASE p_partkey % 3 WHEN 0 THEN '，' WHEN 1 THEN ' , ' ELSE ': ' END || CASE p_partkey % 7 WHEN 0 THEN 'high' ELSE (p_size % 9) || '級' END"
 LINES = f"""(SELECT reply, pos, keyword, level FROM (SELECT reply, pos, keyword, level, row_number() OVER (PARTITION BY reply, keyword ORDER BY pos) AS n FROM (
-SELECT p_partkey % 20 AS reply, p_partkey AS pos, split_part(l, ',', 1) AS keyword, try_cast(nullif(regexp_replace(split_part(l, ',', 2), '[^0-9]', '', 'g'), '') AS INT) AS digits, CASE WHEN digits > 5 THEN 5 ELSE digits END AS level
+SELECT p_partkey // 20 AS reply, p_partkey AS pos, split_part(l, ',', 1) AS keyword, try_cast(nullif(regexp_replace(split_part(l, ',', 2), '[^0-9]', '', 'g'), '') AS INT) AS digits, CASE WHEN digits > 5 THEN 5 ELSE digits END AS level
 FROM (SELECT p_partkey, replace(replace({REPLY}, '，', ','), ' ', '') AS l FROM part) WHERE l NOT LIKE '#%' AND contains(l, ',')) WHERE level IS NOT NULL AND length(keyword) BETWEEN 2 AND 12) WHERE n = 1)"""
 
 
 @query(f"SELECT reply, CAST(row_number() OVER (PARTITION BY reply ORDER BY level DESC, pos) - 1 AS INT) AS place, keyword, level FROM {LINES}")
 def parse_keyword_lines(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", F.expr(REPLY).alias("line"))
-    replies = p.groupBy((F.col("p_partkey") % 20).alias("reply")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    replies = p.groupBy(F.expr("p_partkey div 20").alias("reply")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "line"))), lambda x: x["line"]), "\n").alias("text"))
     return replies.select("reply", F.posexplode(terms.keyword_lines(F.col("text"))).alias("place", "k")).select("reply", "place", "k.*")
 
 
@@ -181,3 +181,17 @@ WIDE_SQL, HALF_SQL = (x.replace("'", "''") for x in (text.BLOCK, text.HALF))
 on_radio("full_to_half", text.full_to_half, f"translate(said, '{WIDE_SQL}', '{HALF_SQL}')")
 on_radio("strip_meta", text.strip_meta, r"regexp_replace(replace(replace(said, '(沉默 3 秒)', ''), '[unclear]', ''), '(?i)[(\[](silence( \d+(\.\d+)?s?)?|laughter|noise|music|applause|inaudible|cough|beep)[)\]]', '', 'g')")
 on_radio("clean_lm", text.clean_lm, r"regexp_replace(regexp_replace(regexp_replace(said, '(?m)^[A-Z?]:\s*', '', 'g'), '\[[^\]]*\]|【[^】]*】', '', 'g'), '\s+', '', 'g')")
+
+
+REPEATED = ["over ", "ab", "收到", "x y z "]
+STUCK = f"(SELECT doc_id AS id, concat(text, repeat((ARRAY[{', '.join(repr(s) for s in REPEATED)}])[CAST(doc_id % {len(REPEATED)} AS INT) + 1], CAST(doc_id % 9 AS INT))) AS said FROM documents)"
+UNIT_SQL = "list_filter(range(2, 31), lambda k: length(said) >= 5 * k AND right(said, 5 * k) = repeat(right(said, k), 5))"
+
+
+@query(f"""SELECT id, CASE WHEN k IS NULL THEN said ELSE rtrim(left(said, length(said) - length(regexp_extract(said, '(?:' || regexp_escape(right(said, k)) || ')+$')) + k), ' ') END AS out
+FROM (SELECT id, said, list_extract({UNIT_SQL}, 1) AS k FROM {STUCK})""")
+def truncate_repetition(spark, sf_dir):
+    """Documents that end in up to eight copies of a word."""
+    again = F.element_at(F.array(*[F.lit(s) for s in REPEATED]), (F.col("doc_id") % len(REPEATED) + 1).cast("int"))
+    said = F.concat("text", F.repeat(again, (F.col("doc_id") % 9).cast("int")))
+    return texts(spark, sf_dir).select(F.col("doc_id").alias("id"), text.truncate_repetition(said).alias("out"))

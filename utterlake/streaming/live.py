@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import keywords
+
 
 def committed_only(results: DataFrame) -> DataFrame:
     """Partial results are for show; only committed and final ones go on."""
@@ -34,21 +36,13 @@ def live_usage(usage: DataFrame, prices: DataFrame, late: str = "1 hour", most:
     return g.select(F.col("w.start").alias("day"), "channel", "engine", "calls", "cost")
 
 
-def live_keyword_alert(lines: DataFrame, terms: DataFrame, least: int = 3, quiet: str = "6 seconds", most: int = MOST_RULES) -> DataFrame:
+def live_keyword_alert(lines: DataFrame, terms: DataFrame, least: int = 3, quiet: str = "6 seconds", most_bytes: int = keywords.MOST_BYTES) -> DataFrame:
     """(ts, channel, term, level): terms of at least that level in a line; in a stream each once a channel while ``quiet`` lasts.
 
-    The terms are a static table. Up to ``most`` go to all executors; more are joined by their first three characters and
-    verified. A line's alerts in a batch aren't reduced.
+    The terms are a static table, looked for in one pass over each line. A line's alerts in a batch aren't reduced.
     """
-    t = terms.where(F.col("level") >= least).select("term", "level")
-    in_text = F.contains(F.lower("text"), F.col("term"))
-    if few(t, most):
-        hits = lines.join(F.broadcast(t), in_text)
-    else:
-        size = F.length("text")
-        starts = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
-        keys = F.flatten(F.transform(starts, lambda i: F.array(*[F.substring(F.lower("text"), i, F.lit(n)) for n in (1, 2, 3)])))
-        hits = lines.withColumn("k", F.explode(F.array_distinct(keys))).join(t.withColumn("k", F.left("term", F.lit(3))), "k").where(in_text)
+    t = terms.where(F.col("level") >= least).select(F.lower("term").alias("term"), "level")
+    hits = keywords.occurring(lines, ["ts", "channel"], "text", t, "term", most_bytes).join(t, "term")
     if lines.isStreaming:
         hits = hits.withWatermark("ts", quiet).dropDuplicatesWithinWatermark(["channel", "term"])
     return hits.select("ts", "channel", "term", "level")
