@@ -111,3 +111,42 @@ def test_alignment_and_fusion(spark):
 ])
 def test_sentences(spark, given, wanted):
     assert spark.createDataFrame([(given,)], "t string").select(text.split_sentences(F.col("t"))).first()[0] == wanted
+
+
+def test_chunks_keep_their_remainder_over_a_restart(spark, tmp_path):
+    part = lambda *rows: spark.createDataFrame(rows, "channel string, seq long, n_bytes long")
+    out, seen = str(tmp_path / "out"), str(tmp_path / "seen")
+    write = lambda s: live.byte_count_chunks(s, 100).writeStream.format("parquet").option("path", out).option("checkpointLocation", seen).outputMode("append")
+    live.replayed([part(("a", 0, 60), ("b", 0, 99)), part(("a", 1, 30), ("c", 0, 100)), part(("a", 3, 5), ("a", 2, 20), ("b", 1, 1))], write)
+    assert {tuple(r) for r in spark.read.schema("channel string, chunk long, n_bytes long").parquet(out).collect()} == {("c", 0, 100), ("a", 0, 110), ("b", 0, 100)}
+
+
+SHOWN = "channel string, version long, seq long, text string"
+
+
+def results(spark, *rows):
+    d = spark.createDataFrame(rows, "channel string, at long, seq long, type string, text string")
+    return d.select("channel", F.timestamp_seconds("at").alias("ts"), "seq", "type", "text")
+
+
+def test_partials_are_superseded_cleared_and_never_revived(spark, tmp_path):
+    out, seen = str(tmp_path / "out"), str(tmp_path / "seen")
+    first = results(spark, ("a", 1, 1, "partial", "x"), ("a", 2, 2, "partial", "xy"), ("b", 5, 5, "partial", "p"), ("c", 1, 1, "final", "f"), ("d", 1, 1, "partial", None))
+    second = results(spark, ("a", 3, 3, "final", "xyz"), ("b", 6, 4, "partial", "late"), ("c", 1, 1, "partial", "late"), ("b", 6, 2, "final", "late"))
+    third = results(spark, ("c", 7, 2, "partial", "new"), ("a", 7, 2, "partial", "late"), ("b", 9, 9, "partial", "q"))
+    live.replayed([first, second, third], lambda s: live.upserts(live.live_partials(s, 86_400_000, "1 hour"), out, seen))
+    assert {tuple(r) for r in live.latest(spark, out, ["channel"], SHOWN).collect()} == {("a", 2, None, None), ("b", 2, 9, "q"), ("c", 1, 2, "new"), ("d", 1, 1, None)}
+
+
+def test_idle_channels_show_nothing(spark, tmp_path):
+    out, seen = str(tmp_path / "out"), str(tmp_path / "seen")
+    parts = [results(spark, ("a", 100, 1, "partial", "x")), results(spark, ("z", 5000, 1, "partial", "y")), results(spark, ("z", 5001, 2, "partial", "yy"))]
+    live.replayed(parts, lambda s: live.upserts(live.live_partials(s, 1000, "1 second"), out, seen))
+    assert {r.channel: r.seq for r in live.latest(spark, out, ["channel"], SHOWN).collect()} == {"a": None, "z": 2}
+
+
+def test_updates_of_a_batch_that_runs_again_replace_each_other(spark, tmp_path):
+    out = str(tmp_path / "o")
+    for number, n in ((0, 1), (1, 2), (1, 3)):
+        spark.createDataFrame([("k", n)], "k string, n int").write.mode("overwrite").parquet(f"{out}/batch={number}")
+    assert [tuple(r) for r in live.latest(spark, out, ["k"], "k string, n int").collect()] == [("k", 3)]

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics, numbers, rules, text
 from ..operators import alignment
-from ..streaming import live
 from . import queries as q
 from .adapters import HYPOTHESES, SEGMENTS, TRANSCRIPTIONS, USAGE, VOCABULARY, hypotheses, segments, table, texts, transcriptions, usage, vocabulary
 from .queries import query, r6
@@ -16,7 +15,7 @@ from .queries import query, r6
 def differing(spark, sf_dir):
     """Hypotheses that differ from their reference, with opcodes; equal ones have nothing to mine."""
     h = hypotheses(spark, sf_dir).where("hyp is not null and hyp != ref")
-    return h.withColumn("ops", alignment.opcodes(F.col("ref"), F.col("hyp")))
+    return alignment.with_opcodes(h, "ref", "hyp")
 
 
 # ---- edit operations (alignments are beyond SQL)
@@ -100,7 +99,7 @@ def regression_cases(spark, sf_dir):
 @query()
 def misfix_pairs(spark, sf_dir):
     """Spans that the stages changed although the reference has them and lacks what they became; only of regressed texts."""
-    s = staged(spark, sf_dir).where(rate("s3") - rate("hyp") >= 0.0001).withColumn("ops", alignment.opcodes(F.col("hyp"), F.col("s3")))
+    s = alignment.with_opcodes(staged(spark, sf_dir).where(rate("s3") - rate("hyp") >= 0.0001), "hyp", "s3")
     p = alignment.replaced_spans(s, ["engine", "ref"], "ops", 200).where(F.contains("ref", F.col("a")) & ~F.contains("ref", F.col("b")))
     return p.groupBy("engine", F.col("a").alias("kept"), F.col("b").alias("wrong")).agg(F.count("*").alias("n"))
 
@@ -131,16 +130,17 @@ def style_divergence(spark, sf_dir):
 
 # ---- fusion by sentence
 
+CRITICAL = r"\b(the and|an of)\b"
 
 @query()
 def fuse_sentences(spark, sf_dir):
+    """Whole texts of two engines, sentence by sentence."""
     h = hypotheses(spark, sf_dir).where("hyp is not null and engine in ('alpha', 'gamma')")
-    # Neighbouring segments form texts of at most 10, so that an alignment's square stays small however long a document is.
     # Few bytes but much work: a stated number of partitions isn't merged, and the grouping below needs no other shuffle.
-    h = h.withColumn("part", F.floor(F.col("pos") / 10)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id", "part")
+    h = h.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
     said = lambda e: F.transform(F.array_sort(F.collect_list(F.when(F.col("engine") == e, F.struct("pos", "hyp")))), lambda x: x["hyp"]).alias(e)
-    d = h.groupBy("id", "part").agg(said("alpha"), said("gamma"))
-    return alignment.fuse_sentences(d, ["id", "part"], "alpha", "gamma", r"\b(the and|an of)\b").select("id", "part", "fused", F.array_join("rules", ",").alias("rules"))
+    d = h.groupBy("id").agg(said("alpha"), said("gamma"))
+    return alignment.fuse_sentences(d, ["id"], "alpha", "gamma", CRITICAL).select("id", "fused", F.array_join("rules", ",").alias("rules"))
 
 
 @query()
@@ -148,6 +148,14 @@ def fusion_rule_counts(spark, sf_dir):
     return fuse_sentences(spark, sf_dir).select(F.explode(F.split("rules", ",")).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
 
 
+@query()
+def vote_words(spark, sf_dir):
+    """One text of three engines by the vote of their words; the first that has a text is the backbone."""
+    of = lambda e: F.max(F.when(F.col("engine") == e, F.col("hyp")))
+    h = hypotheses(spark, sf_dir).where("hyp is not null").groupBy("id", "pos").agg(of("alpha").alias("a"), of("beta").alias("b"), of("gamma").alias("g"))
+    return h.select("id", "pos", alignment.vote_words(F.array("a", "b", "g")).alias("voted"))
+
+
 # ---- perplexity
 
 
@@ -274,26 +282,3 @@ def normalize_car_numbers(spark, sf_dir):
     return texts(spark, sf_dir).select("doc_id", numbers.normalize_car_numbers(F.col("text")).alias("out"))
 
 
-LIVE = {"click": 0.1, "view": 0.2, "purchase": 0.3}
-
-
-@query(f"""SELECT date_trunc('day', ts) AS day, u.channel, u.engine, count(*) AS calls, round(coalesce(sum(audio_seconds * price), 0), 3) AS cost FROM {USAGE} u
-LEFT JOIN (VALUES {", ".join(f"('{k}', {v}::DOUBLE)" for k, v in LIVE.items())}) p(engine, price) ON u.engine = p.engine GROUP BY 1, 2, 3""")
-def live_usage(spark, sf_dir):
-    """The operator on a live feed, over all of the feed so far."""
-    prices = spark.createDataFrame(list(LIVE.items()), "engine string, price double")
-    feed = usage(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")).withColumnRenamed("audio_seconds", "quantity")
-    out = live.live_usage(feed, prices)
-    return out.withColumn("day", F.col("day").cast("timestamp_ntz")).withColumn("cost", F.round(F.coalesce("cost", F.lit(0.0)), 3))
-
-
-@query(f"SELECT conv_id, turn, k.term, k.level FROM conversations JOIN {VOCABULARY} k ON contains(lower(text), k.term) WHERE k.level >= 3")
-def live_keyword_alert(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select(F.col("turn").alias("ts"), F.col("conv_id").alias("channel"), "text")
-    return live.live_keyword_alert(c, vocabulary(spark, sf_dir)).select(F.col("channel").alias("conv_id"), F.col("ts").alias("turn"), "term", "level")
-
-
-@query("SELECT conv_id, turn, text FROM conversations WHERE role IN ('assistant', 'user')")
-def committed_only(spark, sf_dir):
-    kind = F.when(F.col("role") == "assistant", "final").when(F.col("role") == "user", "committed").otherwise("partial")
-    return live.committed_only(table(spark, sf_dir, "conversations").withColumn("type", kind)).select("conv_id", "turn", "text")

@@ -1,4 +1,4 @@
-"""Operators on live feeds. All but the chunking also take a batch, with the same result over all of it."""
+"""Operators on live feeds, and how to run one over a table as it arrives. All but those with keyed state also take a batch, with the same result over all of it."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import keywords
+from ..sources.files import scratch
 
 
 def committed_only(results: DataFrame) -> DataFrame:
@@ -52,7 +53,7 @@ def byte_count_chunks(frames: DataFrame, target: int) -> DataFrame:
     """(channel, chunk, n_bytes) from a stream of (channel, seq, n_bytes).
 
     A channel's bytes add up until they reach ``target``; then all of them are one chunk and counting starts again. What a
-    channel has at its end stays in state. Frames of one batch are taken by ``seq``.
+    channel has at its end stays in state, also over a restart. Frames of one batch are taken by ``seq``.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -66,8 +67,44 @@ def byte_count_chunks(frames: DataFrame, target: int) -> DataFrame:
         state.update((held, chunk))
         yield pd.DataFrame(out, columns=["channel", "chunk", "n_bytes"])
 
+    kind = frames.schema["channel"].dataType.simpleString()
     return frames.groupBy("channel").applyInPandasWithState(
-        step, "channel string, chunk long, n_bytes long", "held long, chunk long", "append", GroupStateTimeout.NoTimeout
+        step, f"channel {kind}, chunk long, n_bytes long", "held long, chunk long", "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def live_partials(results: DataFrame, idle_ms: int = 60_000, late: str = "10 seconds") -> DataFrame:
+    """(channel, version, seq, text) from a stream of (channel, ts, seq, type, text): what each channel shows, anew whenever it changes.
+
+    A channel shows its latest partial result until a final one with at least its number comes; then, or once all
+    channels' time is ``idle_ms`` past its last row, it shows nothing (null). A partial that is older than what is shown
+    or than the last final result changes nothing; rows that are older than the newest by more than ``late`` may be left
+    out. ``version`` counts a channel's changes, so the highest one is what it shows now.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        version, seq, text, final, last = state.get if state.exists else (0, None, None, -1, 0)
+        before = (seq, text)
+        if state.hasTimedOut:
+            seq = text = None
+        else:
+            for r in pd.concat(list(batches)).sort_values("seq").itertuples():
+                last = max(last, int(r.ts.timestamp() * 1000))
+                if r.type == "final":
+                    final = max(final, int(r.seq))
+                elif r.seq > final and (seq is None or r.seq > seq):
+                    seq, text = int(r.seq), r.text
+                if seq is not None and seq <= final:
+                    seq = text = None
+        changed = (seq, text) != before
+        state.update((version + changed, seq, text, final, last))
+        if seq is not None:
+            state.setTimeoutTimestamp(max(last + idle_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(key[0], version + 1, seq, text)] if changed else [], columns=["channel", "version", "seq", "text"]).astype({"seq": "Int64"})
+
+    kind = results.schema["channel"].dataType.simpleString()
+    return results.withWatermark("ts", late).groupBy("channel").applyInPandasWithState(
+        step, f"channel {kind}, version long, seq long, text string", "version long, seq long, text string, final long, last long", "update", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -80,3 +117,32 @@ def folder_stream(lines: DataFrame, text_col: str, rewrite: Callable[[Column], C
     """A writer that adds each arriving line, with its rewritten text in ``final``, to the Parquet folder ``out``."""
     done = lines.withColumn("final", rewrite(F.col(text_col)))
     return done.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
+
+
+def upserts(changes: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:
+    """A writer of an updating stream: each micro-batch's changed rows become the folder ``batch=<number>``, written over if it is run again."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return changes.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(put)
+
+
+def latest(spark: SparkSession, out: str, keys: list[str], schema: str) -> DataFrame:
+    """What :func:`upserts` has written: of each key the row of its last micro-batch."""
+    rows = spark.read.schema(f"{schema}, batch long").parquet(out)
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
+
+
+def replayed(arrivals: list[DataFrame], run: Callable[[DataFrame], DataStreamWriter]) -> None:
+    """Streams a table as its parts arrive in a folder, one after the other: after each the query runs until all is seen, stops, and starts again from its checkpoint.
+
+    ``run`` makes a writer of the stream; it is called for every start and has to name the same checkpoint each time.
+    """
+    spark = arrivals[0].sparkSession
+    at = scratch(spark, "arrivals")
+    for part in arrivals:
+        part.write.mode("append").parquet(at)
+        lines = spark.readStream.schema(part.schema).parquet(at)
+        run(lines).trigger(availableNow=True).start().awaitTermination()
