@@ -104,16 +104,22 @@ SYNCED = {
 }
 
 
+#: By application, the temporary folder where none is named.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it; a temporary one only where it is unset and all run on this machine."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        master = spark.conf.get("spark.master", "")
-        if master != "local" and not master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    if at:
+        return at
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    own = spark.sparkContext.applicationId
+    if own not in _LOCAL:
+        _LOCAL[own] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    return _LOCAL[own]
 
 
 def scratch(spark: SparkSession, label: str) -> str:
