@@ -33,6 +33,10 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_RE), lambda w: w != "")
 
 
+#: Tables written within each :func:`settled` that is under way.
+_under_way: list[list[DataFrame]] = []
+
+
 def written(df: DataFrame, label: str = "step") -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends there, and lost executors don't take it along."""
     spark = df.sparkSession
@@ -40,6 +44,26 @@ def written(df: DataFrame, label: str = "step") -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
+    if _under_way:
+        _under_way[-1].append(out)
+    return out
+
+
+def settled(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """What ``make`` gives as a written table, without the tables that were written on the way."""
+    _under_way.append([])
+    try:
+        df = make()
+        path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+    finally:
+        made = _under_way.pop()
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    if _under_way:
+        _under_way[-1].append(out)
+    for old in made:
+        drop_written(old)
     return out
 
 

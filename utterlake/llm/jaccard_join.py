@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fingerprints as fp
-from .common import drop_written, written
+from .common import drop_written, settled, written
 from .components import components
 
 SHINGLE = 5
@@ -318,7 +318,7 @@ def classified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     ids = F.broadcast(some) if some.count() <= BROADCAST_IDS else some
     node = nodes(sets(texts.join(ids, "doc_id", "left_semi")).where("n > 0"))
     least = size.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("first"))
-    labels = components(links(node))
+    labels = settled(lambda: components(links(node)), "jaccard-labels")
     of = least.join(labels.select(F.col("node").alias("k"), "label"), "k", "left").select("k", "first", F.coalesce("label", "k").alias("c"))
     of = written(of, "jaccard-classes")
     for done in (keys, some, node, labels):

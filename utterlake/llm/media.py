@@ -102,10 +102,11 @@ SCAN_END = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]", re.DOTALL)
 
 
 def parse(data: bytes) -> list[Frame]:
-    """The images of a column value, one after another."""
+    """The images of a column value, one after another, each with its end mark."""
     frames: list[Frame] = []
     at, quant, tables, restart = 0, {}, {}, 0
     shape: tuple = ()
+    whole = True
     while at < len(data):
         if data[at] != 0xFF:
             raise ValueError(f"no marker at byte {at}")
@@ -113,6 +114,10 @@ def parse(data: bytes) -> list[Frame]:
         at += 2
         if code == 0xD8:
             quant, tables, restart = {}, {}, 0
+        if code in (0xD8, 0xD9):
+            if whole != (code == 0xD8):
+                raise ValueError("an image that doesn't end")
+            whole = code == 0xD9
         if code in (0xD8, 0xD9, 0x01):
             continue
         n = struct.unpack_from(">H", data, at)[0]
@@ -140,10 +145,14 @@ def parse(data: bytes) -> list[Frame]:
             chosen = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(body[0])}
             parts = tuple((c[1] >> 4, c[1] & 15, quant[c[2]], tables[chosen[c[0]] >> 4], tables[0x10 | chosen[c[0]] & 15]) for c in shape[2])
             end = SCAN_END.search(data, at)
-            stop = end.start() if end else len(data)
+            if not end:
+                raise ValueError("a scan that doesn't end")
+            stop = end.start()
             segments = [s.replace(b"\xff\x00", b"\xff") for s in RESTARTS.split(data[at:stop])]
             frames.append(Frame(shape[0], shape[1], restart, parts, segments))
             at = stop
+    if not whole:
+        raise ValueError("an image that doesn't end")
     return frames
 
 
@@ -168,6 +177,7 @@ class Bits:
         self.window = raw[:-2].astype(np.uint32) << 16 | raw[1:-1].astype(np.uint32) << 8 | raw[2:]
         sizes = np.array([len(s) for s in segments], dtype=np.int64)
         self.at = (np.cumsum(sizes) - sizes) * 8
+        self.stop = np.cumsum(sizes) * 8
         self.end = len(self.window) * 8 - 1
 
     def peek(self, on: np.ndarray | slice) -> np.ndarray:
@@ -185,7 +195,7 @@ def coefficients(segments: list[bytes], counts: np.ndarray, parts: tuple) -> np.
     last = np.zeros((len(parts), len(segments)), dtype=np.int32)
     out = np.zeros((len(segments), most, luma), dtype=np.int32)
     order = np.argsort(-counts, kind="stable")
-    bits.at, counts = bits.at[order], counts[order]
+    bits.at, bits.stop, counts = bits.at[order], bits.stop[order], counts[order]
     for k in range(most):
         on = slice(0, int(np.searchsorted(-counts, -k, side="left")))  # those with more than k MCUs
         for b, (i, (_, _, _, dc, ac)) in enumerate(blocks):
@@ -209,6 +219,9 @@ def coefficients(segments: list[bytes], counts: np.ndarray, parts: tuple) -> np.
                 place = place + (hit >> 4 & 15) + 1
                 more = ((hit & 0xFF) != 0) & (place < 64)
                 lanes, place = lanes[more], place[more]
+    spare = bits.stop - bits.at
+    if ((spare < 0) | (spare > 7)).any():  # a segment is read to its last byte, and not beyond
+        raise ValueError("a segment has not the length that its codes have")
     back = np.empty_like(order)
     back[order] = np.arange(len(order))
     return out[back]
@@ -297,7 +310,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def describe(stored: DataFrame) -> DataFrame:
     """What the stored images hold: the payload as read back, digests, dimensions and the thumbnail's hash.
 
-    A broken, progressive or null image has nulls for what can't be read.
+    A broken, progressive or null image, or one that is cut off anywhere before its end mark, has nulls for what can't be
+    read. Of several images in a value that ends between two of them, those that are there are read.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,8 +13,10 @@ from __future__ import annotations
 import math
 import os
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -26,10 +28,10 @@ from .common import written
 
 SEQUENCE = 4096
 END_ID = 1
-#: Mean pieces per group; search nodes per piece beyond which the incumbent stands; fillings tried at a node.
+#: Mean pieces per group; steps of the search, per piece and at least, beyond which the incumbent stands; fillings that are sorted at a time.
 GROUP = 16_384
-NODES_PER_PIECE = 2
-BRANCH = 4
+STEPS_PER_PIECE, STEPS = 4, 50_000
+CHUNK = 64
 #: Bytes of words and their ids, roughly, in each of the two generations that a worker keeps.
 CACHE_BYTES = 110_000_000
 
@@ -139,86 +141,105 @@ def lower_bound(lengths: list[int], capacity: int) -> int:
     return max(math.ceil(sum(lengths) / capacity), sum(2 * x > capacity for x in lengths))
 
 
-def fillings(room: int, count: dict[int, int], mask: int, branch: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` from the lengths left, fullest first, at most ``branch``.
+def smeared(bits: int, most: int) -> int:
+    """Bits moved up by 1 to ``most``, all together."""
+    out, wide = bits << 1 if most else 0, 1
+    while wide < most:
+        step = min(wide, most - wide)
+        out, wide = out | out << step, wide + step
+    return out
 
-    The largest single length that fits dominates every set whose sum doesn't exceed it, and an exact fit by one
-    length dominates all. Sets of more are built from the largest down and completed greedily.
+
+def fillings(room: int, count: dict[int, int], mask: int, together: int, slack: int, steps: list[int]) -> Iterator[tuple[int, ...]]:
+    """Every undominated filling of ``room`` from the lengths left that leaves at most ``slack``, depth first from the largest.
+
+    ``mask`` has a bit for each length of which ``count`` has some, ``together`` is their sum. A filling is dominated if
+    lengths in it, or none, can give way to one that is left, at least as long as they are together, and that fits.
+    ``steps`` counts down to where the search ends.
     """
 
-    def largest(limit: int, used: tuple[int, ...]) -> int:
-        m = mask & ((1 << (limit + 1)) - 1)
-        while m:
+    def undominated(used: list[int], left: int) -> bool:
+        ones, several, rest = 1, 0, mask
+        for y in used:
+            several |= several << y | (ones & ~1) << y
+            ones |= 1 << y
+        for y, n in Counter(used).items():
+            if count[y] == n:
+                rest &= ~(1 << y)
+        return not rest & (smeared(ones | several, left) | several)
+
+    def deeper(limit: int, used: list[int], left: int, others: int) -> Iterator[tuple[int, ...]]:
+        m = mask & ((2 << min(limit, left)) - 1)
+        while m and steps[0] > 0 and left - slack <= others:
             x = m.bit_length() - 1
-            if count[x] > used.count(x):
-                return x
-            m &= ~(1 << x)
-        return 0
-
-    one = largest(room, ())
-    if one in (0, room):
-        return [(one,)] if one else [()]
-    found: dict[int, tuple[int, ...]] = {}
-    x, tries = one, 0
-    while x and tries < 8 * branch:
-        used: tuple[int, ...] = (x,)
-        left = room - x
-        while left and (y := largest(min(left, used[-1]), used)):
-            used, left = (*used, y), left - y
-        found.setdefault(room - left, used)
-        if not left:
-            break
-        x, tries = largest(x - 1, ()), tries + 1
-    best = sorted(((s, u) for s, u in found.items() if s > one or u == (one,)), reverse=True)
-    return [u for _, u in best[:branch]]
+            m ^= 1 << x
+            if not used or used[-1] != x or used.count(x) < count[x]:
+                steps[0] -= 1
+                yield from deeper(x, [*used, x], left - x, others - x)
+        if left <= slack and undominated(used, left):
+            yield tuple(used)
+
+    return deeper(room, [], room, together)
 
 
-def bin_completion(lengths: list[int], capacity: int, nodes: int, branch: int = BRANCH) -> list[list[int]]:
-    """As few bins as the search finds within ``nodes`` nodes; never more than best-fit decreasing."""
+def bin_completion(lengths: list[int], capacity: int, steps: int) -> list[list[int]]:
+    """As few bins as the search finds within ``steps`` steps; never more than best-fit decreasing, and the fewest if it ends before.
+
+    Branch and bound: the largest length left opens a bin, whose undominated fillings are tried, the fullest of each
+    CHUNK first. A filling may waste only what a packing with one bin less than the incumbent could.
+    """
     incumbent = best_fit(lengths, capacity)
     bound, total = lower_bound(lengths, capacity), sum(lengths)
     if len(incumbent) <= bound:
         return incumbent
-    count: dict[int, int] = {}
-    mask = 0
-    for x in lengths:
-        count[x] = count.get(x, 0) + 1
+    count, mask, together = dict(Counter(lengths)), 0, total
+    for x in count:
         mask |= 1 << x
     bins: list[tuple[int, ...]] = []
-    stack: list[tuple[int, list[tuple[int, ...]], int]] = []  # largest, its fillings not tried yet, waste before it
-    waste, spent, down = 0, 0, True
+    budget = [steps]
+    #: Of each open level: the largest, its fillings that aren't sorted yet, those that are, fullest last, and the waste before it.
+    stack: list[tuple[int, Iterator[tuple[int, ...]], list[tuple[int, ...]], int]] = []
 
-    def take(xs: tuple[int, ...], sign: int) -> None:
-        nonlocal mask
+    def take(xs: tuple[int, ...], n: int) -> None:
+        nonlocal mask, together
         for x in xs:
-            count[x] -= sign
+            count[x] -= n
+            together -= n * x
             mask = mask | 1 << x if count[x] else mask & ~(1 << x)
 
-    while spent < nodes:
+    def spare(waste: int) -> int:
+        return (len(incumbent) - 1) * capacity - total - waste
+
+    waste, down = 0, True
+    while budget[0] > 0:
         if down and not mask:
             incumbent = [list(b) for b in bins]
             if len(incumbent) <= bound:
                 break
             down = False
         if down:
-            spent += 1
+            budget[0] -= 1
             top = mask.bit_length() - 1
             take((top,), 1)
-            stack.append((top, fillings(capacity - top, count, mask, branch)[::-1], waste))
+            stack.append((top, fillings(capacity - top, count, mask, together, spare(waste), budget), [], waste))
         elif not stack:
             break
         else:
             take(bins.pop(), -1)
             take((stack[-1][0],), 1)
-        top, rest, waste = stack[-1]
+        top, more, ready, waste = stack[-1]
         down = False
-        while rest:
-            xs = rest.pop()
-            left = capacity - top - sum(xs)
-            if waste + left <= (len(incumbent) - 1) * capacity - total:
+        while True:
+            if not ready:
+                ready.extend(sorted(islice(more, CHUNK), key=lambda f: (sum(f), f)))
+                if not ready:
+                    break
+            xs = ready.pop()
+            lost = capacity - top - sum(xs)
+            if lost <= spare(waste):
                 take(xs, 1)
                 bins.append((top, *xs))
-                waste += left
+                waste += lost
                 down = True
                 break
         if not down:
@@ -234,7 +255,7 @@ def pack(cut: DataFrame, groups: int) -> DataFrame:
 
     def packed(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
         lengths = table["length"].tolist()
-        bins = bin_completion(lengths, SEQUENCE, NODES_PER_PIECE * len(lengths))
+        bins = bin_completion(lengths, SEQUENCE, max(STEPS, STEPS_PER_PIECE * len(lengths)))
         slots: dict[int, list[tuple[int, int]]] = {}
         for k, b in enumerate(bins):
             at = 0

@@ -209,13 +209,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index
     places too.
     """
     texts = keyed(docs, id_col, text_col)
+    own = index is None
     index = index or FingerprintIndex()
-    before = list(index.texts)
+    before, runs = list(index.texts), []
     every = written(marked(texts), "dedup-marked")
     fresh, hits = None, None
     for b in range(BATCHES):
         mine = F.pmod("key", F.lit(BATCHES)) == b
-        run = written(index.add(texts.where(mine), every.where(mine)), "dedup-run")
+        run = written(index.add(texts.where(mine), every.where(mine)).where("seen or n = 1"), "dedup-run")
+        runs.append(run)
         one, old = run.where("n = 1 and not seen").select("h", "key", "pos"), run.where("seen").select("h")
         fresh, hits = (one, old) if fresh is None else (fresh.unionByName(one), hits.unionByName(old))
     hits = hits.distinct()
@@ -225,6 +227,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index
     some = every.join(unique.select("key", F.size("single").alias("u")), "key", "left").where(F.size("h") > F.coalesce("u", F.lit(0)))
     some = written(some.select("key").distinct(), "dedup-open")
     touched = written(texts.join(some.hint("merge"), "key", "left_semi").join(unique, "key", "left"), "dedup-texts")
+    if not before:  # all that was needed of the runs is in ``unique`` now
+        for old in runs + (index.runs if own else []):
+            drop_written(old)
+    index.vacuum()
     once = repeats(touched, older_texts(before, hits))
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
