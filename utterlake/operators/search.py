@@ -44,11 +44,12 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def phrase_search(index: DataFrame | None, docs: DataFrame, id_col: str, text_col: str, phrase: str, limit: int = 50) -> DataFrame:
+def phrase_search(index: DataFrame | None, docs: DataFrame, id_col: str, text_col: str, phrase: str, limit: int = 50, sizes: DataFrame | None = None) -> DataFrame:
     """(id, score) of the best texts with ``phrase``, case aside: BM25 (k1 1.2, b 0.75) over the phrase's count, ties by id.
 
     ``index`` is a table of ``postings`` or None. Texts that have all trigrams of the phrase are looked at; phrases of
-    under three characters have no trigrams and are looked for everywhere. Overlapping finds count once.
+    under three characters have no trigrams and are looked for everywhere. Overlapping finds count once. ``sizes`` (mean,
+    docs) is one row on all texts, if it is known; else the texts are read for it.
     """
     p = phrase.lower()
     d = docs.select(F.col(id_col).alias("id"), F.length(text_col).alias("n"), F.lower(text_col).alias("t"))
@@ -60,7 +61,7 @@ def phrase_search(index: DataFrame | None, docs: DataFrame, id_col: str, text_co
             i = i.where(F.col("folder").isin(*[int(r[0]) for r in index.sparkSession.createDataFrame([(g,) for g in grams], "g string").select(folder(F.col("g"))).collect()]))
         hits = d.join(i.groupBy("id").agg(F.count_distinct("gram").alias("k")).where(F.col("k") == len(grams)), "id", "left_semi")
     hits = hits.where(F.contains("t", F.lit(p))).select("id", "n", ((F.length("t") - F.length(F.replace("t", F.lit(p), F.lit("")))) / len(p)).alias("tf"))
-    sizes = d.agg(F.avg("n").alias("mean"), F.count("n").alias("docs"))
+    sizes = d.agg(F.avg("n").alias("mean"), F.count("n").alias("docs")) if sizes is None else sizes
     s = sizes.crossJoin(hits.agg(F.count("*").alias("df"))).select("mean", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     score = F.col("idf") * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("n") / F.col("mean")))
     return hits.crossJoin(s).select("id", F.round(score, 5).alias("score")).orderBy(F.desc("score"), "id").limit(limit)

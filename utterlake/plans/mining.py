@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics, numbers, rules, text
 from ..operators import alignment
+from ..operators.postings import session_index
+from ..operators.search import phrase_search
 from . import queries as q
 from .adapters import HYPOTHESES, SEGMENTS, TRANSCRIPTIONS, USAGE, VOCABULARY, hypotheses, segments, table, texts, transcriptions, usage, vocabulary
 from .queries import query, r6
@@ -201,14 +203,10 @@ def length_sample(spark, sf_dir):
 @query("""SELECT doc_id AS id, round(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean)), 5) AS score FROM (SELECT doc_id, length(text) AS n, (length(text) - length(replace(lower(text), 'there', ''))) / 5 AS tf FROM documents WHERE contains(lower(text), 'there')),
 (SELECT avg(length(text)) AS mean, ln(1 + (count(*) - count(*) FILTER (contains(lower(text), 'there')) + 0.5) / (count(*) FILTER (contains(lower(text), 'there')) + 0.5)) AS idf FROM documents) ORDER BY 2 DESC, 1 LIMIT 50""")
 def fts_ranked(spark, sf_dir):
-    """Phrase search by BM25 (k1 1.2, b 0.75); one pass for the statistics, one for the hits."""
-    d = texts(spark, sf_dir).select(F.col("doc_id").alias("id"), F.length("text").alias("n"), F.lower("text").alias("t"))
-    tf = (F.col("n") - F.length(F.replace("t", F.lit("there"), F.lit("")))) / 5
-    hit = F.contains(F.col("t"), F.lit("there"))
-    s = d.agg(F.avg("n").alias("mean"), F.count("*").alias("docs"), F.count_if(hit).alias("df"))
-    s = s.select("mean", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    score = F.col("idf") * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * F.col("n") / F.col("mean")))
-    return d.where(hit).crossJoin(s).select("id", F.round(score, 5).alias("score")).orderBy(F.desc("score"), "id").limit(50)
+    """Phrase search by BM25 (k1 1.2, b 0.75) over the session's index, which is brought up to date first."""
+    d, index = texts(spark, sf_dir), session_index(spark, f"{sf_dir}/documents")
+    index.sync(d, "doc_id", "text")
+    return phrase_search(index.live(), d, "doc_id", "text", "there", sizes=index.sizes())
 
 
 @query(f"SELECT term FROM {VOCABULARY} k WHERE EXISTS (SELECT 1 FROM benchmark b WHERE contains(lower(b.text), k.term))")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics, rules, text
 from ..operators.keywords import windows
 from ..operators.search import spotted
+from ..sources.files import written
 from .adapters import HYPOTHESES, RUNS, SCORED, SEGMENTS, TRANSCRIPTIONS, USAGE, VOCABULARY, hypotheses, runs, scored, segments, sql_distance, table, texts, transcriptions, usage, vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -289,12 +292,30 @@ def marginal_gain(spark, sf_dir):
     return runs(spark, sf_dir).select("engine", "run", r6(F.col("cer") - F.lag("cer").over(w)).alias("step"), r6(F.col("cer") - F.first("cer").over(w)).alias("from_first"))
 
 
+def running_totals(df: DataFrame, keys: list[str], coarse: str, fine: str, by: list[str], value: str) -> DataFrame:
+    """``df`` with ``within``, the running sum of ``value`` in a key's ``coarse`` range, and ``total``, that over the whole key.
+
+    ``coarse`` and ``fine`` are ranges of the order, the latter of the former. Fine ranges are summed, running sums go over
+    these sums in a coarse range and over the coarse ranges of a key, and both are joined back; rows are only ever ordered
+    within their fine range. So no task gets all rows of a key.
+    """
+    parts = df.groupBy(*keys, coarse, fine).agg(F.sum(value).alias("s"))
+    earlier = lambda w: F.coalesce(F.sum("s").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    days = parts.groupBy(*keys, coarse).agg(F.sum("s").alias("s")).withColumn("days", earlier(Window.partitionBy(*keys).orderBy(coarse))).drop("s")
+    parts = parts.withColumn("parts", earlier(Window.partitionBy(*keys, coarse).orderBy(fine))).drop("s")
+    same = lambda a, b, on: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in on]
+    before = parts.alias("p").join(days.alias("d"), same("p", "d", [*keys, coarse])).select("p.*", "d.days")
+    rows = df.alias("r").join(before.alias("b"), same("r", "b", [*keys, coarse, fine])).select("r.*", "b.parts", "b.days")
+    own = F.coalesce(F.sum(value).over(Window.partitionBy(*keys, coarse, fine).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))
+    return rows.withColumn("within", F.col("parts") + own).withColumn("total", F.col("days") + F.col("within")).drop("parts", "days")
+
+
 @query(f"""SELECT id, channel, round(sum(audio_seconds) OVER (PARTITION BY channel ORDER BY ts, id ROWS UNBOUNDED PRECEDING), 3) AS session,
 round(sum(audio_seconds) OVER (PARTITION BY channel, CAST(ts AS DATE) ORDER BY ts, id ROWS UNBOUNDED PRECEDING), 3) AS today FROM {USAGE}""")
 def running_session_total(spark, sf_dir):
-    u = usage(spark, sf_dir)
-    s = lambda *p: F.round(F.sum("audio_seconds").over(Window.partitionBy(*p).orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)), 3)
-    return u.select("id", "channel", s("channel").alias("session"), s("channel", F.to_date("ts")).alias("today"))
+    u = usage(spark, sf_dir).withColumns({"day": F.to_date("ts"), "hour": F.hour("ts")})
+    out = running_totals(u, ["channel"], "day", "hour", ["ts", "id"], "audio_seconds")
+    return out.select("id", "channel", F.round("total", 3).alias("session"), F.round("within", 3).alias("today"))
 
 
 @query("""SELECT conv_id, min(turn) AS first_turn, any_value(role) AS role, string_agg(text, ' ' ORDER BY turn) AS line FROM (
@@ -620,10 +641,46 @@ def ngram_log10(texts: DataFrame, keys: list[str], text_col: str, model: DataFra
         F.when(F.col("c1") > 0, F.lit(BACK_OFF ** (ORDER - 1)) * F.col("c1") / F.col("total")), F.lit(1.0) / F.col("total") / 10,
     )
     d = d.select("g4", F.log10(F.greatest(p, F.lit(1e-12))).alias("lp"))
-    out = e.join(d, "g4").groupBy(*keys).agg(F.sum("lp").alias("log10_prob"), F.count("*").alias("n"))
+    out = summed(texts.where(F.col(text_col).isNotNull()), keys, text_col, d)
     return out.select(*keys, F.round("log10_prob", 4).alias("log10_prob"), F.round(F.pow(F.lit(10.0), -F.col("log10_prob") / F.col("n")), 4).alias("perplexity"))
 
 
+#: 4-grams up to which their logarithms go to every task as two sorted arrays (24 bytes each), by count; beyond, they are joined.
+MOST_GRAMS = 4_000_000
+
+
+def summed(texts: DataFrame, keys: list[str], text_col: str, logs: DataFrame, most: int = MOST_GRAMS) -> DataFrame:
+    """(keys, log10_prob, n): the sum of the logarithms of a text's 4-grams, and how many it has.
+
+    Texts stay where they are: no row per character is shuffled. ``logs`` (g4, lp) has every 4-gram of the texts.
+    """
+    kept = written(logs, "gram-logs")
+    if kept.count() > most:
+        e = texts.select(*keys, F.explode(order_grams(text_col)).alias("g4"))
+        return e.join(kept, "g4").groupBy(*keys).agg(F.sum("lp").alias("log10_prob"), F.count("*").alias("n"))
+    table = kept.toArrow()
+    grams = np.array(table.column("g4").to_pylist(), dtype=f"<U{ORDER}")
+    order = np.argsort(grams)
+    grams, values = grams[order], table.column("lp").to_numpy()[order]
+    kinds = ", ".join(f"`{k}` {texts.schema[k].dataType.simpleString()}" for k in keys)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            padded = ["^" * (ORDER - 1) + t + "$" for t in batch.column(len(keys)).to_pylist()]
+            if not padded:
+                continue
+            ends = np.cumsum([len(t) for t in padded])
+            chars = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), np.uint32)
+            found = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(chars, ORDER)).view(f"<U{ORDER}").ravel()
+            lp = np.append(values[np.searchsorted(grams, found).clip(max=len(grams) - 1)], np.zeros(ORDER - 1))
+            lp[(ends[:, None] - np.arange(1, ORDER)).ravel()] = 0.0  # windows that reach into the next text
+            sums = np.add.reduceat(lp, np.append(0, ends[:-1]))
+            n = np.diff(np.append(0, ends)) - (ORDER - 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(sums), pa.array(n, pa.int64())], names=[*keys, "log10_prob", "n"])
+
+    return texts.select(*keys, text_col).mapInArrow(score, f"{kinds}, log10_prob double, n long")
+
+
 def sql_log10(texts: str, keys: str, col: str) -> str:
     """The same in SQL, over GRAMS: a table of (keys, lp, n)."""
     tries = [f"WHEN m{n}.c > 0 THEN {BACK_OFF ** (ORDER - n)} * m{n}.c / x{n}.cc" for n in range(ORDER, 1, -1)]

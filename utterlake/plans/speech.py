@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, terms, text
-from ..operators import search
+from ..operators import postings, search
 from .adapters import HYPOTHESES, SEGMENTS, VOCABULARY, hypotheses, segments, table, texts, vocabulary
 from .queries import query
 
@@ -86,15 +86,21 @@ def trigram_index(spark, sf_dir):
     return search.postings(texts(spark, sf_dir), "doc_id", "text").groupBy("gram").agg(F.count("*").alias("texts"))
 
 
+def posting_index(spark: SparkSession, sf_dir: str) -> postings.PostingIndex:
+    return postings.session_index(spark, f"{sf_dir}/documents")
+
+
 SEARCHED = """(SELECT doc_id AS id, round(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean)), 5) AS score FROM (SELECT doc_id, length(text) AS n, (length(text) - length(replace(lower(text), 'there', ''))) / 5 AS tf FROM documents WHERE contains(lower(text), 'there')),
 (SELECT avg(length(text)) AS mean, ln(1 + (count(*) - count(*) FILTER (contains(lower(text), 'there')) + 0.5) / (count(*) FILTER (contains(lower(text), 'there')) + 0.5)) AS idf FROM documents) ORDER BY 2 DESC, 1 LIMIT 50)"""
 
 
 @query(f"SELECT s.id, s.score, CAST(length(d.text) AS INT) AS n, e.event_no, p.url FROM {SEARCHED} s JOIN documents d ON d.doc_id = s.id JOIN (SELECT source, min(doc_id) AS event_no FROM documents GROUP BY source) e ON e.source = d.source LEFT JOIN pages p ON p.page_id = s.id")
 def search_join(spark, sf_dir):
-    """The best hits of the index with their text's length, their event and, where there is one, their page."""
+    """The best hits of the session's index, which is brought up to date, with their text's length, their event and, where there is one, their page."""
     d = texts(spark, sf_dir)
-    hits = search.phrase_search(search.postings(d, "doc_id", "text"), d, "doc_id", "text", "There")
+    index = posting_index(spark, sf_dir)
+    index.sync(d, "doc_id", "text")
+    hits = search.phrase_search(index.live(), d, "doc_id", "text", "There", sizes=index.sizes())
     events = d.groupBy("source").agg(F.min("doc_id").alias("event_no"))
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url")
     j = hits.join(d.select(F.col("doc_id").alias("id"), "source", F.length("text").alias("n")), "id").join(events, "source")

@@ -127,6 +127,13 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder."""
+    at = scratch(df.sparkSession, label)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def typed(raw: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """The columns of ``kinds`` in that order: what can't be cast, and columns that are missing, become null.
 
