@@ -58,9 +58,23 @@ def clean_lm(c: Column) -> Column:
 
 
 def clean_reference_script(c: Column) -> Column:
-    """Line by line: titles, clock marks and short asides go; lines that end up empty too."""
-    line = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"^#+ .*$", ""), r"\d{1,2}:\d{2}(:\d{2})?", ""), r"\([^)]{0,5}\)", ""))
-    return F.array_join(F.filter(F.transform(F.split(c, "\n"), line), lambda x: x != ""), "\n")
+    """Lines without headings, clock marks, calls at their start and short asides; lines that are empty then go.
+
+    Headings are Markdown ones and numbered chapters. A clock mark opens a line, alone or with its seconds spelled out;
+    plain ones go anywhere. Asides have at most five characters.
+    """
+    heading = r"^(?:#+ .*|第\s*\d+\s*章節.*)$"
+    opening = r"^\d+:\d+\s*(?:\d+\s*)?(?:秒|分鐘\s*\d+\s*秒)\s*"
+    caller = r"^(?:[A-Za-z]+\s*呼叫\s*[A-Za-z]+\s+)?(?:這裡是\s*[A-Za-z]+\s*)?"
+    anywhere = r"\d{1,2}:\d{2}(?::\d{2})?|\([^)]{0,5}\)|（[^）]{0,5}）"
+
+    def line(x: Column) -> Column:
+        x = F.regexp_replace(x, r"^\s+|\s+$", "")
+        for pattern in (heading, opening, caller, anywhere):
+            x = F.regexp_replace(x, pattern, "")
+        return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+    return F.array_join(F.filter(F.transform(F.split(c, r"\r\n|\r|\n"), line), lambda x: x != ""), "\n")
 
 
 def strip_live_lines(c: Column) -> Column:
@@ -140,6 +154,17 @@ def parse_inline_tags(c: Column) -> Column:
     return F.struct(tags.alias("tags"), F.trim(F.regexp_replace(c, r"<\|[A-Za-z_]+\|>", "")).alias("text"))
 
 
+def dominant(tags: Column, ranks: list[str]) -> Column:
+    """Of the tags in ``ranks`` the one that is last there; null without any."""
+    ordered = F.array(*[F.lit(r) for r in ranks])
+    return F.try_element_at(F.filter(ordered, lambda r: F.array_contains(tags, r)), F.lit(-1))
+
+
+def like_pattern(words: str) -> str:
+    """A LIKE pattern for texts that have the words as they are."""
+    return "%" + "".join("\\" + c if c in "\\%_" else c for c in words) + "%"
+
+
 def filename_datetime(c: Column) -> Column:
     return F.try_to_timestamp(F.regexp_extract(F.regexp_replace(c, r"(20\d{6})_(\d{6})", "$1$2"), r"(20\d{12})", 1), F.lit("yyyyMMddHHmmss"))
 

@@ -834,10 +834,10 @@ def seat_padding(spark, sf_dir):
     return seats.join(priced(spark, sf_dir).groupBy("channel").agg(F.sum("local").alias("s")), "channel", "left").select("channel", F.round(F.coalesce("s", F.lit(0.0)), 4).alias("total"))
 
 
-@query(f"SELECT channel, count(*) AS n, arg_max(engine, (ts, id)) AS last_engine, max(ts) AS last_ts FROM {USAGE} GROUP BY channel")
+@query(f"SELECT channel, count(*) AS n, arg_max(engine, (ts, id)) AS last_engine, arg_max(usage_json, (ts, id)) AS last_text, min(ts) AS connected, max(ts) AS last_ts FROM {USAGE} GROUP BY channel")
 def channel_snapshot(spark, sf_dir):
     at = F.struct("ts", "id")
-    return usage(spark, sf_dir).groupBy("channel").agg(F.count("*").alias("n"), F.max_by("engine", at).alias("last_engine"), F.max("ts").alias("last_ts"))
+    return usage(spark, sf_dir).groupBy("channel").agg(F.count("*").alias("n"), F.max_by("engine", at).alias("last_engine"), F.max_by("usage_json", at).alias("last_text"), F.min("ts").alias("connected"), F.max("ts").alias("last_ts"))
 
 
 @query("SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n, max(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id) AS final FROM conversations) WHERE n = 1 AND (final IS NULL OR turn > final)")

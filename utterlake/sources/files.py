@@ -84,9 +84,12 @@ def file_catalog(spark: SparkSession, path: str) -> DataFrame:
     return f.select("path", part(1).alias("id"), part(2).alias("event_type"), F.round(F.col("length") / 1024, 1).alias("size_kb"), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("format"))
 
 
-def write_csv_sorted(df: DataFrame, path: str, by: list[str]) -> None:
-    """Files whose names follow the order of their rows: a range sort, no single task."""
-    df.orderBy(*by).write.mode("overwrite").csv(path, header=True)
+def write_csv_sorted(df: DataFrame, path: str, by: list[str], mark: bool = False) -> None:
+    """Files whose names follow the order of their rows: a range sort, no single task. With ``mark`` each file begins with a byte order mark."""
+    out = df.orderBy(*by)
+    first, *rest = out.columns
+    out = out.select(F.col(f"`{first}`").alias(f"\ufeff{first}"), *[F.col(f"`{c}`") for c in rest]) if mark else out
+    out.write.mode("overwrite").csv(path, header=True)
 
 
 def write_jsonl(df: DataFrame, path: str, split: str | None = None) -> None:
