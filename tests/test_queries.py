@@ -33,7 +33,7 @@ def value(spark, f, *given):
 
 
 @pytest.mark.parametrize(("f", "given", "wanted"), [
-    (text.normalize_eval, "[12:34] 你好", "你好"), (text.normalize_eval, "０１２ＡＢＣ", "012abc"), (text.normalize_eval, "OCC，呼叫！G07", "occ呼叫g07"),
+    (text.normalize_eval, "[7:05:59]列車 [x] 進站", "列車x進站"), (text.normalize_eval, "Ｚ９-ｂ!", "z9b"), (text.normalize_eval, "R22...OK？", "r22ok"),
     (text.normalize_cer, "A: hello, [noise] there\nB: x。", "hellotherex"), (text.full_to_half, "（Ａ　１）", "(A 1)"), (text.strip_meta, "a (laughter)b[Noise]（silence 3.5s）", "a b"),
     (text.fix_number_explosion, "x 123456789012345678 y", "x 12 y"), (text.fix_number_explosion, "912345678901234567", "[number?]"),
     (text.truncate_repetition, "so " + "abc " * 7, "so abc"), (text.truncate_repetition, "abcabc", "abcabc"), (text.fix_station_codes, "G 0 7 and g7", "G07 and G07"),

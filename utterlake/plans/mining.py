@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics, numbers, rules, text
-from ..operators import alignment
+from ..operators import alignment, keywords, scores
 from ..operators.postings import session_index
 from ..operators.search import phrase_search
 from . import queries as q
@@ -92,6 +92,34 @@ def ab_matrix(spark, sf_dir):
     return staged(spark, sf_dir).select("engine", F.explode(each).alias("e")).groupBy("engine", "e.config").agg(r6(F.avg("e.cer")).alias("cer"), F.count("*").alias("samples"))
 
 
+TERMED = f"(SELECT s.id, s.pos, list(k.term) AS terms FROM {SEGMENTS} s JOIN {VOCABULARY} k ON contains(s.ref, k.term) GROUP BY 1, 2)"
+KEPT = "len(list_filter(coalesce(terms, []), lambda t: contains({0}, t)))"
+
+
+@query(f"""SELECT engine, id % 10 AS run, count(*) AS samples, {", ".join(f"round(avg(round({q.sql_distance('ref', c)} / length(ref), 6)), 6) AS cer_{n}" for c, n in (("hyp", "raw"), ("s3", "final")))},
+{", ".join(f"round(avg(round(levenshtein({q.WORDS_SQL.format(f'{c}_words')}, {q.WORDS_SQL.format('ref_words')}) / len(ref_words), 6)), 6) AS wer_{n}" for c, n in (("hyp", "raw"), ("s3", "final")))},
+{", ".join(f"round(1 - sum({KEPT.format(c)}) / nullif(sum(len(coalesce(terms, []))), 0), 6) AS ter_{n}" for c, n in (("hyp", "raw"), ("s3", "final")))}
+FROM (SELECT g.*, t.terms, {", ".join(f"{q.TOKENS.format(c)} AS {c}_words" for c in ("ref", "hyp", "s3"))}, list_distinct(list_concat(list_concat({q.TOKENS.format("ref")}, {q.TOKENS.format("hyp")}), {q.TOKENS.format("s3")})) AS u
+FROM {STAGED} g LEFT JOIN {TERMED} t ON g.id = t.id AND g.pos = t.pos) GROUP BY 1, 2""")
+def eval_run_stages(spark, sf_dir):
+    """Each run as it was heard and as the stages leave it: error rates by characters, words and vocabulary terms."""
+    s = staged(spark, sf_dir).select("id", "pos", "engine", "ref", "hyp", F.col("s3").alias("final"))
+    terms = keywords.occurring(segments(spark, sf_dir), ["id", "pos"], "ref", vocabulary(spark, sf_dir), "term")
+    terms = terms.groupBy("id", "pos").agg(F.collect_list("term").alias("terms"))
+    each = F.explode(F.array(F.struct(F.lit("raw").alias("stage"), F.col("hyp").alias("said")), F.struct(F.lit("final").alias("stage"), F.col("final").alias("said")))).alias("e")
+    both = s.join(terms, ["id", "pos"], "left").select("id", "engine", "ref", "terms", each).select("id", "engine", "ref", "terms", "e.*")
+    d = scores.with_distances(both, scores.session_store(spark), "ref", "said")
+    none = F.array().cast("array<string>")
+    d = d.withColumns({"all": F.size(F.coalesce("terms", none)), "kept": F.size(F.filter(F.coalesce("terms", none), lambda t: F.contains("said", t)))})
+    g = d.groupBy("engine", (F.col("id") % 10).alias("run"))
+    on = lambda stage, x: F.when(F.col("stage") == stage, x)
+    out = [F.count_if(F.col("stage") == "raw").alias("samples")]
+    for name, of in (("cer", r6(F.col("errors") / F.length("ref"))), ("wer", r6(F.col("word_errors") / F.col("words")))):
+        out += [r6(F.avg(on(stage, of))).alias(f"{name}_{stage}") for stage in ("raw", "final")]
+    out += [r6(1 - F.sum(on(stage, F.col("kept"))) / F.nullif(F.sum(on(stage, F.col("all"))), F.lit(0))).alias(f"ter_{stage}") for stage in ("raw", "final")]
+    return g.agg(*out)
+
+
 @query(f"SELECT id, pos, engine, {RATE.format('hyp')} AS cer_raw, {RATE.format('s3')} AS cer_final FROM {STAGED} WHERE {RATE.format('s3')} - {RATE.format('hyp')} >= 0.0001")
 def regression_cases(spark, sf_dir):
     s = staged(spark, sf_dir).select("id", "pos", "engine", rate("hyp").alias("cer_raw"), rate("s3").alias("cer_final"))

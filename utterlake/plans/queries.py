@@ -13,7 +13,7 @@ from ..functions import metrics, rules, text
 from ..operators.keywords import windows
 from ..operators.search import spotted
 from ..sources.files import written
-from .adapters import HYPOTHESES, RUNS, SCORED, SEGMENTS, TRANSCRIPTIONS, USAGE, VOCABULARY, hypotheses, runs, scored, segments, sql_distance, table, texts, transcriptions, usage, vocabulary
+from .adapters import HYPOTHESES, RUNS, SCORED, SEGMENTS, TOKENS, TRANSCRIPTIONS, USAGE, VOCABULARY, WORDS_SQL, hypotheses, runs, scored, segments, sql_distance, table, texts, transcriptions, usage, vocabulary
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -262,11 +262,18 @@ def volume_trend(spark, sf_dir):
 # ---- ordered analytics
 
 
-@query(f"SELECT engine, arg_max(cer, run) AS latest, min(cer) AS best, round(arg_max(cer, run) - min(cer), 6) AS worse, arg_max(cer, run) - min(cer) > 0.0005 AS regressed FROM {RUNS} GROUP BY engine HAVING count(*) >= 2")
+#: Share of characters by which a latest run has to be worse than the best one to count as a regression.
+WORSE = 0.05
+
+
+@query(f"""SELECT engine, max(run) AS latest_run, arg_max(cer, run) AS latest, arg_min(run, (cer, run)) AS best_run, min(cer) AS best, round(arg_max(cer, run) - min(cer), 6) AS worse,
+arg_max(cer, run) - min(cer) > {WORSE} AS regressed FROM {RUNS} GROUP BY engine HAVING count(*) >= 2""")
 def cer_regression(spark, sf_dir):
-    g = runs(spark, sf_dir).groupBy("engine").agg(F.max_by("cer", "run").alias("latest"), F.min("cer").alias("best"), F.count("*").alias("n")).where("n >= 2")
+    g = runs(spark, sf_dir).groupBy("engine").agg(
+        F.max("run").alias("latest_run"), F.max_by("cer", "run").alias("latest"), F.min_by("run", F.struct("cer", "run")).alias("best_run"), F.min("cer").alias("best"), F.count("*").alias("n"),
+    )
     worse = F.col("latest") - F.col("best")
-    return g.select("engine", "latest", "best", r6(worse).alias("worse"), (worse > 0.0005).alias("regressed"))
+    return g.where("n >= 2").select("engine", "latest_run", "latest", "best_run", "best", r6(worse).alias("worse"), (worse > WORSE).alias("regressed"))
 
 
 @query(f"SELECT engine, run, cer FROM (SELECT *, row_number() OVER (PARTITION BY engine ORDER BY cer, run) AS n FROM {RUNS}) WHERE n = 1")
