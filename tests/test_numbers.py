@@ -27,3 +27,10 @@ def test_spellings():
     assert set(table.values()) == set(range(100))
     assert [table[x] for x in ("0", "十", "2十", "3十7", "99", "07", "7", "1十", "2十2")] == [0, 10, 20, 37, 99, 7, 7, 10, 22]
     assert not {"", "十十", "123", "2十00", "0十"} & set(table)
+
+
+def test_changes_are_counted_one_by_one(spark):
+    rows = [("下午兩點半到 g7，三月台、5 月台、四月台", "1234車 25 / 26 車 25/26 車"), ("nothing", ""), (None, None)]
+    d = spark.createDataFrame(rows, "a string, b string")
+    got = [tuple(r) for r in d.select(numbers.number_changes(F.col("a")), numbers.car_number_changes(F.col("b"))).collect()]
+    assert got[:2] == [(4, 2), (0, 0)] and all(x is None or x <= 0 for x in got[2])

@@ -50,11 +50,20 @@ def rewrite(c: Column, core: str, new: Callable[[Callable[[int], Column]], Colum
     return F.get(F.transform(F.array(c), woven), F.lit(0))
 
 
+def rewrites(c: Column, core: str, new: Callable[[Callable[[int], Column]], Column], before: str = "", after: str = "") -> Column:
+    """How many matches :func:`rewrite` changes."""
+    return F.size(F.filter(F.regexp_extract_all(c, F.lit(before + core + after), F.lit(0)), lambda m: new(lambda i: F.regexp_extract(m, core, i)) != m))
+
+
+#: A step either rewrites a text or counts what it would change.
+How = Callable[..., Column]
+
+
 def padded(n: Column) -> Column:
     return F.lpad(n.cast("string"), 2, "0")
 
 
-def normalize_time(c: Column) -> Column:
+def normalize_time(c: Column, how: How = rewrite) -> Column:
     """Spoken or mixed clock times become HH:MM; what is no time of day stays."""
     day = "|".join(MORNING + LATE)
 
@@ -64,25 +73,25 @@ def normalize_time(c: Column) -> Column:
         minute = F.when(g(3) == "", 0).when(g(3) == "半", 30).otherwise(number(g(3)))
         return F.when((hour < 24) & (minute < 60), F.concat_ws(":", padded(hour), padded(minute)))
 
-    return rewrite(c, rf"(?:({day})\s*)?({RUN})\s*[時點](?:\s*({RUN}|半)\s*分?|[整鐘])?", clock)
+    return how(c, rf"(?:({day})\s*)?({RUN})\s*[時點](?:\s*({RUN}|半)\s*分?|[整鐘])?", clock)
 
 
-def pad_station_codes(c: Column) -> Column:
+def pad_station_codes(c: Column, how: How = rewrite) -> Column:
     """A line's letter with one digit gets a leading zero and the capital."""
-    return rewrite(c, "([GRgr])([0-9])", lambda g: F.concat(F.upper(g(1)), F.lit("0"), g(2)), "(?<![0-9A-Za-z])", "(?![0-9a-z])")
+    return how(c, "([GRgr])([0-9])", lambda g: F.concat(F.upper(g(1)), F.lit("0"), g(2)), "(?<![0-9A-Za-z])", "(?![0-9a-z])")
 
 
-def counted(c: Column, what: str) -> Column:
+def counted(c: Column, what: str, how: How = rewrite) -> Column:
     """A numeral before one of ``what``: its value, a space, and the word."""
-    return rewrite(c, rf"({RUN})\s*({what})", lambda g: F.when(number(g(1)) > 0, F.concat_ws(" ", number(g(1)).cast("string"), g(2))))
+    return how(c, rf"({RUN})\s*({what})", lambda g: F.when(number(g(1)) > 0, F.concat_ws(" ", number(g(1)).cast("string"), g(2))))
 
 
-def normalize_platform(c: Column) -> Column:
-    return counted(c, "月台")
+def normalize_platform(c: Column, how: How = rewrite) -> Column:
+    return counted(c, "月台", how)
 
 
-def normalize_duration(c: Column) -> Column:
-    return counted(c, UNITS)
+def normalize_duration(c: Column, how: How = rewrite) -> Column:
+    return counted(c, UNITS, how)
 
 
 def boundary_spacing(c: Column) -> Column:
@@ -91,13 +100,28 @@ def boundary_spacing(c: Column) -> Column:
     return F.regexp_replace(c, " {2,}", " ")
 
 
+STEPS = (normalize_time, pad_station_codes, normalize_platform, normalize_duration)
+
+
 def normalize_numbers(c: Column) -> Column:
-    for step in (normalize_time, pad_station_codes, normalize_platform, normalize_duration, boundary_spacing):
+    for step in (*STEPS, boundary_spacing):
         c = step(c)
     return c
 
 
-def normalize_car_numbers(c: Column) -> Column:
+def number_changes(c: Column) -> Column:
+    """How many numbers :func:`normalize_numbers` writes in another way, step by step; spacing doesn't count."""
+    state = F.struct(c.alias("text"), F.lit(0).alias("n"))
+
+    def after(step: How) -> Callable[[Column], Column]:
+        return lambda s: F.struct(step(s["text"]).alias("text"), (s["n"] + step(s["text"], rewrites)).alias("n"))
+
+    for step in STEPS:  # each state is a lambda's variable, so that it is worked out once
+        state = F.get(F.transform(F.array(state), after(step)), F.lit(0))
+    return state["n"]
+
+
+def car_numbers(c: Column, how: How) -> Column:
     """The number before a car: spoken digits as digits, four of them as a pair, both of a pair with two digits, and a space."""
     digit = f"[0-9{SPOKEN}]"
 
@@ -108,5 +132,13 @@ def normalize_car_numbers(c: Column) -> Column:
         return F.concat_ws(" ", said, F.when(said.isNotNull(), g(3)))
 
     core = rf"({digit}{{1,4}})(?:\s*[/／]\s*({digit}{{1,2}}))?\s*(動?車門|動車|車)"
-    kept = rewrite(c, core, lambda g: F.nullif(named(g), F.lit("")), "(?<![0-9/／])", "(?![組站輛])")
-    return F.regexp_replace(kept, " {2,}", " ")
+    return how(c, core, lambda g: F.nullif(named(g), F.lit("")), "(?<![0-9/／])", "(?![組站輛])")
+
+
+def normalize_car_numbers(c: Column) -> Column:
+    """:func:`car_numbers`, with runs of blanks made one."""
+    return F.regexp_replace(car_numbers(c, rewrite), " {2,}", " ")
+
+
+def car_number_changes(c: Column) -> Column:
+    return car_numbers(c, rewrites)

@@ -44,15 +44,28 @@ class Contextual:
     gap: int = 0
 
 
+def context_pattern(r: Contextual) -> str:
+    before = f"(?<={re.escape(r.prefix)})" if r.prefix else ""
+    after = f"(?={re.escape(r.suffix)})" if r.suffix else ""
+    return f"{before}(.{{0,{r.gap}}}){re.escape(r.wrong)}(.{{0,{r.gap}}}){after}"
+
+
 def contextual(c: Column, rules: list[Contextual]) -> Column:
     for r in rules:
         if r.right != r.wrong:
-            before = f"(?<={re.escape(r.prefix)})" if r.prefix else ""
-            after = f"(?={re.escape(r.suffix)})" if r.suffix else ""
-            c = F.regexp_replace(c, f"{before}(.{{0,{r.gap}}}){re.escape(r.wrong)}(.{{0,{r.gap}}}){after}", f"$1{r.right}$2")
+            c = F.regexp_replace(c, context_pattern(r), f"$1{r.right}$2")
     return c
 
 
+def contextual_changes(c: Column, rules: list[Contextual]) -> Column:
+    """How many places the rules change, each rule in the text that the one before leaves."""
+    n = F.lit(0)
+    for k, r in enumerate(rules):
+        if r.right != r.wrong:
+            n = n + F.regexp_count(contextual(c, rules[:k]), F.lit(context_pattern(r)))
+    return n
+
+
 def by_engine(engine: Column, c: Column, rules: dict[str, str], overlays: dict[str, dict[str, str | None]]) -> Column:
     """Literal replaces by ``rules`` as each engine's overlay changes them: a new key is added, a known one replaced, one with None removed."""
     out = None
@@ -70,20 +83,23 @@ STAGES = ("terms", "car", "number", "dict", "context")
 def post_process(df: DataFrame, text_col: str, terms: dict[str, str], dictionary: dict[str, str], context: list[Contextual], off: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with ``after_<stage>`` for each stage, ``final`` (the last of them) and ``changes``.
 
-    ``changes`` is a map from stage to count: replacements for literal rules, else 1 where the stage changed the text. A stage
-    in ``off`` passes the text on. Null stays null, without changes.
+    ``changes`` is a map from stage to count: replacements by literal and contextual rules, and numbers that are written in
+    another way. A stage in ``off`` passes the text on. Null stays null, without changes.
     """
     steps = {
         "terms": lambda c: replace_all(c, terms), "car": numbers.normalize_car_numbers, "number": numbers.normalize_numbers,
         "dict": lambda c: replace_all(c, dictionary, longest_first=False), "context": lambda c: contextual(c, context),
     }
-    logs = {"terms": lambda c: replace_log(c, terms, "terms"), "dict": lambda c: replace_log(c, dictionary, "dict", longest_first=False)}
+    summed = lambda log: F.aggregate(log, F.lit(0), lambda s, x: s + x["count"])
+    counted = {
+        "terms": lambda c: summed(replace_log(c, terms, "terms")), "car": numbers.car_number_changes, "number": numbers.number_changes,
+        "dict": lambda c: summed(replace_log(c, dictionary, "dict", longest_first=False)), "context": lambda c: contextual_changes(c, context),
+    }
     before, counts = F.col(text_col), []
     for stage in STAGES:
         after = before if stage in off else steps[stage](before)
         df = df.withColumn(f"after_{stage}", after)
         after = F.col(f"after_{stage}")
-        n = F.aggregate(logs[stage](before), F.lit(0), lambda s, x: s + x["count"]) if stage in logs else F.coalesce((after != before).cast("int"), F.lit(0))
-        counts += [F.lit(stage), F.lit(0) if stage in off else F.coalesce(n, F.lit(0))]
+        counts += [F.lit(stage), F.lit(0) if stage in off else F.coalesce(counted[stage](before), F.lit(0))]
         before = after
     return df.withColumn("final", before).withColumn("changes", F.create_map(*counts))

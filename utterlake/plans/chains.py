@@ -33,13 +33,14 @@ def sql_chain() -> str:
     for x in "gr":
         coded = f"regexp_replace({coded}, '(^|[^0-9A-Za-z])[{x}{x.upper()}]([0-9])($|[^0-9a-z])', '\\1{x.upper()}0\\2\\3', 'g')"
     coded = f"regexp_replace({coded.format(wide)}, '([^0-9A-Za-z])([^0-9A-Za-z])', '\\1', 'g')"
+    codes = f"len(regexp_extract_all({wide.format('after_car')}, '(^|[^0-9A-Za-z])[GRgr]([0-9])($|[^0-9a-z])'))"
     n = {k: " + ".join(f"(length({c}) - length(replace({c}, '{w}', ''))) // {len(w)}" for w in d) for k, c, d in (("terms", "said", TERMS), ("dict", "after_number", DICTIONARY))}
     x = f"SELECT id, said, {q.sql_replace('said', TERMS, True)} AS after_terms FROM {RADIO}"
     x = f"SELECT *, CASE WHEN regexp_matches(after_terms, '\\d\\s*車( |$)') THEN {all_of('after_terms', car)} ELSE regexp_replace(after_terms, ' {{2,}}', ' ', 'g') END AS after_car FROM ({x})"
     x = f"SELECT *, {all_of(coded.format('after_car'), number)} AS after_number FROM ({x})"
     x = f"SELECT *, {q.sql_replace('after_number', DICTIONARY, False)} AS after_dict FROM ({x})"
     x = f"SELECT *, replace(after_dict, '上行 3 月台', '上行 第3 月台') AS final FROM ({x})"
-    counts = f"CAST({n['terms']} AS INT) AS n_terms, CAST(after_car != after_terms AS INT) AS n_car, CAST(after_number != after_car AS INT) AS n_number, CAST({n['dict']} AS INT) AS n_dict, CAST(final != after_dict AS INT) AS n_context"
+    counts = f"CAST({n['terms']} AS INT) AS n_terms, CAST(len(regexp_extract_all(after_terms, '\\d\\s*車( |$)')) AS INT) AS n_car, CAST({codes} + len(list_filter(regexp_extract_all(after_car, '\\d+\\s*月台'), lambda x: x != regexp_replace(x, '\\s*月台', ' 月台'))) AS INT) AS n_number, CAST({n['dict']} AS INT) AS n_dict, CAST((length(after_dict) - length(replace(after_dict, '上行 3 月台', ''))) // 7 AS INT) AS n_context"
     return f"SELECT id, after_terms, after_car, after_number, after_dict, final, {counts} FROM ({x})"
 
 
