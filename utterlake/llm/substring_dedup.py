@@ -224,13 +224,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index
     # What is new to its batch's elder runs can only be found again by a later batch.
     unique = fresh.join(hits.hint("merge"), "h", "left_anti").groupBy("key").agg(F.collect_list("pos").alias("single"))
     unique = written(unique, "dedup-unique")
+    if own:
+        index.vacuum()
+    if not before:  # all that is needed of the runs is in ``unique``; they go before the texts are dealt
+        for old in runs + (index.runs if own else []):
+            drop_written(old)
     some = every.join(unique.select("key", F.size("single").alias("u")), "key", "left").where(F.size("h") > F.coalesce("u", F.lit(0)))
     some = written(some.select("key").distinct(), "dedup-open")
     touched = written(texts.join(some.hint("merge"), "key", "left_semi").join(unique, "key", "left"), "dedup-texts")
-    if not before:  # all that was needed of the runs is in ``unique`` now
-        for old in runs + (index.runs if own else []):
-            drop_written(old)
-    index.vacuum()
     once = repeats(touched, older_texts(before, hits))
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
