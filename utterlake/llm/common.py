@@ -49,6 +49,19 @@ def written(df: DataFrame, label: str = "step") -> DataFrame:
     return out
 
 
+def written_buckets(df: DataFrame, key: str, buckets: int, label: str) -> DataFrame:
+    """``df`` as a table in the shared folder, in ``buckets`` parts by a hash of ``key``, each sorted by it: tables of one number of parts are joined and grouped by ``key`` without a shuffle."""
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name.replace('_', '-')}"
+    df.write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    out = spark.table(name)
+    out.written_path, out.written_name = path, name
+    if _under_way:
+        _under_way[-1].append(out)
+    return out
+
+
 def settled(make: Callable[[], DataFrame], label: str) -> DataFrame:
     """What ``make`` gives as a written table, without the tables that were written on the way."""
     _under_way.append([])
@@ -68,8 +81,10 @@ def settled(make: Callable[[], DataFrame], label: str) -> DataFrame:
 
 
 def drop_written(df: DataFrame) -> None:
-    """Delete a table made by :func:`written` that no later step reads."""
-    spark, path = df.sparkSession, getattr(df, "written_path", None)
+    """Delete a table made by :func:`written` or :func:`written_buckets` that no later step reads."""
+    spark, path, name = df.sparkSession, getattr(df, "written_path", None), getattr(df, "written_name", None)
+    if name:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     if path:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

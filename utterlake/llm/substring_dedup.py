@@ -3,8 +3,8 @@
 A window is WINDOW consecutive words. Of the GRAM-word hashes inside a window the smallest is its anchor, so equal
 windows have equal anchors, and neighbouring windows mostly share theirs: one fingerprint in about fourteen words
 stands for all windows. The index is a list of immutable runs sorted by fingerprint, each with the count and one
-place of every fingerprint; a batch of documents is merge-joined with the runs and becomes a run itself, and runs are
-compacted into one when there are too many. A fingerprint that its batch has twice, or that a later batch finds in an
+place of every fingerprint; a batch of documents becomes a run itself and is merge-joined with each older one, without
+a shuffle of either, and runs are compacted into one when there are too many. A fingerprint that its batch has twice, or that a later batch finds in an
 older run, is in several places; windows of the other anchors can't repeat. Those of the former are verified by a hash
 of the whole window, with the words as they are, beside the windows of older documents, which are read again for it.
 """
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from itertools import compress
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import fingerprints as fp
-from .common import drop_written, written
+from .common import drop_written, written, written_buckets
 
 WINDOW, GRAM = 35, 8
 INSIDE = WINDOW - GRAM + 1
@@ -101,46 +102,52 @@ def fingerprint_rows(of: DataFrame) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Immutable runs (h, n, key, pos), each sorted by h; n places in all, of which (key, pos) is one.
+    """Immutable runs (h, n, key, pos), each sorted by h within fixed ranges of its hash; n places in all, of which (key, pos) is one.
 
-    ``texts`` are the tables that were added; their documents are read again where a later window may repeat there.
+    All runs have the same ranges, so a batch is merged with every one of them, and runs with each other, where they
+    lie: no row of an older run is shuffled. ``texts`` are the tables that were added and ``marks`` the anchors of their
+    documents, by which those are found that a later batch repeats.
     """
 
-    def __init__(self, most_runs: int = MOST_RUNS) -> None:
+    def __init__(self, most_runs: int = MOST_RUNS, ranges: int | None = None) -> None:
         self.runs: list[DataFrame] = []
         self.retired: list[DataFrame] = []
         self.texts: list[DataFrame] = []
+        self.marks: list[DataFrame] = []
         self.most_runs = most_runs
+        self.ranges = ranges
 
     @staticmethod
     def _summed(rows: DataFrame) -> DataFrame:
         # If n is 1, the least key and the least pos are those of the one place.
         return rows.groupBy("h").agg(F.sum("n").alias("n"), F.min("key").alias("key"), F.min("pos").alias("pos"))
 
+    def _run(self, rows: DataFrame) -> DataFrame:
+        # As many ranges as a shuffle has: what the sum leaves in one partition is one range, and one file.
+        self.ranges = self.ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return written_buckets(self._summed(rows), "h", self.ranges, "fingerprint_run")
+
     def add(self, texts: DataFrame, of: DataFrame | None = None) -> DataFrame:
-        """Index a batch; returns its run with ``seen``: whether an older run has the fingerprint. ``of``: its :func:`marked` texts, if there."""
-        rows = self._summed(fingerprint_rows(marked(texts) if of is None else of).withColumn("n", F.lit(1).cast("long")))
-        run = written(rows.sortWithinPartitions("h"), "fingerprint-run")
-        old = self.merged()
+        """Index a batch; returns its run with ``seen``: whether an older run has the fingerprint. ``of``: its :func:`marked` texts as a written table, if there."""
+        of = written(marked(texts), "dedup-marked") if of is None else of
+        run = self._run(fingerprint_rows(of).withColumn("n", F.lit(1).cast("long")))
+        out, found = run, [F.lit(False)]
+        for k, old in enumerate(self.runs):
+            out = out.join(old.select("h", F.lit(True).alias(f"in_{k}")).hint("merge"), "h", "left")
+            found.append(F.col(f"in_{k}").isNotNull())
         self.runs.append(run)
         self.texts.append(texts.select("key", "text"))
+        self.marks.append(of.select("key", "h", "pos"))
         if len(self.runs) > self.most_runs:
             self.compact()
-        if old is None:
-            return run.withColumn("seen", F.lit(False))
-        return run.join(old.select("h", F.lit(True).alias("old")).hint("merge"), "h", "left").withColumn("seen", F.coalesce("old", F.lit(False))).drop("old")
+        return out.select("h", "n", "key", "pos", reduce(lambda a, b: a | b, found).alias("seen"))
 
     def merged(self) -> DataFrame | None:
-        if len(self.runs) < 2:
-            return self.runs[0] if self.runs else None
-        every = self.runs[0]
-        for r in self.runs[1:]:
-            every = every.unionByName(r)
-        return self._summed(every)
+        return self._summed(reduce(DataFrame.unionByName, self.runs)) if self.runs else None
 
     def compact(self) -> None:
         if len(self.runs) > 1:
-            one = written(self.merged().sortWithinPartitions("h"), "fingerprint-run")
+            one = self._run(reduce(DataFrame.unionByName, self.runs))
             self.retired += self.runs  # what was derived from them may still be read
             self.runs = [one]
 
@@ -157,17 +164,13 @@ def open_windows(of: np.ndarray, at: np.ndarray, single: list[int] | None) -> np
     return np.flatnonzero(np.isin(of, at[~lone]))
 
 
-def older_texts(texts: list[DataFrame], hits: DataFrame) -> DataFrame | None:
-    """(key, text, single) of the older documents that have one of the fingerprints ``hits``; all their other anchors are ``single``."""
+def older_texts(texts: list[DataFrame], marks: list[DataFrame], hits: DataFrame) -> DataFrame | None:
+    """(key, text, single) of the older documents that have one of the fingerprints ``hits``; all their other anchors are ``single``. Found by their stored anchors."""
     if not texts:
         return None
-    every = texts[0]
-    for t in texts[1:]:
-        every = every.unionByName(t)
-    every = every.select(F.lit(0).alias("doc_id"), "key", "text")
-    found = fingerprint_rows(marked(every)).join(hits.select("h", F.lit(True).alias("hit")), "h", "left")
+    found = fingerprint_rows(reduce(DataFrame.unionByName, marks)).join(hits.select("h", F.lit(True).alias("hit")), "h", "left")
     by = found.groupBy("key").agg(F.count("hit").alias("hits"), F.collect_list(F.when(F.col("hit").isNull(), F.col("pos"))).alias("single"))
-    return every.join(by.where("hits > 0").select("key", "single"), "key")
+    return reduce(DataFrame.unionByName, texts).join(by.where("hits > 0").select("key", "single"), "key")
 
 
 def repeats(texts: DataFrame, older: DataFrame | None = None) -> DataFrame:
@@ -211,7 +214,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index
     texts = keyed(docs, id_col, text_col)
     own = index is None
     index = index or FingerprintIndex()
-    before, runs = list(index.texts), []
+    before, anchors, runs = list(index.texts), list(index.marks), []
     every = written(marked(texts), "dedup-marked")
     fresh, hits = None, None
     for b in range(BATCHES):
@@ -232,7 +235,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index
     some = every.join(unique.select("key", F.size("single").alias("u")), "key", "left").where(F.size("h") > F.coalesce("u", F.lit(0)))
     some = written(some.select("key").distinct(), "dedup-open")
     touched = written(texts.join(some.hint("merge"), "key", "left_semi").join(unique, "key", "left"), "dedup-texts")
-    once = repeats(touched, older_texts(before, hits))
+    once = repeats(touched, older_texts(before, anchors, hits))
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in fp.parts(batches, 1):
