@@ -1,6 +1,7 @@
 """Quality rules, media columns, mixture, packing and secret scans against plain Python."""
 
 import hashlib
+import random
 import re
 import time
 import zlib
@@ -162,6 +163,26 @@ def test_mixture(spark, sf_dir, docs, table):
     assert sum(len(WORD.findall(r.text or "")) for r in mixed.collect()) == sum(taken.values())
 
 
+def test_mixture_of_many_sources(spark):
+    """Targets by resharing the excess again and again, and running sums over several ranges, beside plain Python."""
+    r = random.Random(5)
+    sizes = {f"s{i:03}": r.choice([0, 1, 5, 40, 3000]) for i in range(211)} | {None: 77}
+    rows = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    order = sorted((s for s in sizes if s), key=str) + [None]
+    weight = {s: mixture.WEIGHTS[i % 3] for i, s in enumerate(order)}
+    left, free, want = 1.5 * sum(sizes.values()), set(sizes), {}
+    while True:
+        level = left / sum(weight[s] for s in free) if free else 0
+        full = {s for s in free if level * weight[s] > 2 * sizes[s]}
+        if not full:
+            break
+        want |= {s: 2.0 * sizes[s] for s in full}
+        left, free = left - sum(2 * sizes[s] for s in full), free - full
+    want |= {s: level * weight[s] for s in free}
+    got = {x.source: x.target for x in mixture.targets(rows).collect()}
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 * (1 + want[s]) for s in want)
+
+
 def test_mixture_empty(docs):
     assert mixture.mixed(docs.limit(0)).collect() == []
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_side, words, written
+from .common import settled, small_side, words, written
 
 #: Fixed values of the contract: weights by turn, share of all sizes, cap on repetition.
 WEIGHTS = (5, 2, 1)
@@ -38,31 +38,34 @@ def shifted(u: Column, k: Column | int) -> Column:
     return F.when(v >= 1, v - 1).otherwise(v)
 
 
+def running(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``rows`` with running sums of what comes before each in a total order. Rows are cut into ranges of the order: sums of ranges go over the ranges, those within one over its rows."""
+    cut = written(rows.withColumns(sums).repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "mix-ranges")
+    behind = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    whole = cut.groupBy("part").agg(*[F.sum(c).alias(f"__{c}") for c in sums])  # a row per range
+    whole = whole.select("part", *[F.coalesce(F.sum(f"__{c}").over(behind(Window.orderBy("part"))), F.lit(0)).alias(f"__{c}") for c in sums])
+    inside = behind(Window.partitionBy("part").orderBy(*order))
+    within = cut.withColumns({c: F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in sums})
+    return within.join(F.broadcast(whole), "part").select(*rows.columns, *[(F.col(c) + F.col(f"__{c}")).alias(c) for c in sums])
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """(source, source_size) to (source, source_size, target), by water filling.
 
     A source is capped at CAP times its size if the level (target per weight) of what is left lies above its own
     cap per weight; sorted by that ratio, the capped ones come first, so one running sum finds the level that
-    resharing the excess again and again ends at. One row per source: the windows are over that small table.
+    resharing the excess again and again ends at. Sources are ordered by ranges, never in one task.
     """
-    by_source = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = (F.row_number().over(by_source) - 1) % len(WEIGHTS)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), turn + 1)
-    s = sizes.select("source", "source_size", weight.alias("weight")).withColumn("ratio", CAP * F.col("source_size") / F.col("weight"))
-    order = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = s.select(
-        "source", "source_size", "weight", "ratio",
-        F.coalesce(F.sum("source_size").over(before), F.lit(0)).alias("capped"),
-        F.coalesce(F.sum("weight").over(before), F.lit(0.0)).alias("capped_weight"),
-        F.sum("source_size").over(whole).alias("total"),
-        F.sum("weight").over(whole).alias("total_weight"),
-    )
-    s = s.withColumn("level", (SHARE * F.col("total") - CAP * F.col("capped")) / (F.col("total_weight") - F.col("capped_weight")))
+    by_source = F.col("source").asc_nulls_last()
+    s = running(sizes, [by_source], {"place": F.lit(1)})
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (F.col("place") % len(WEIGHTS) + 1).cast("int"))
+    s = s.select("source", "source_size", weight.alias("weight")).withColumn("ratio", CAP * F.col("source_size") / F.col("weight"))
+    s = running(s, [F.col("ratio").asc(), by_source], {"capped": F.col("source_size"), "capped_weight": F.col("weight")})
+    total, total_weight = s.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    s = s.withColumn("level", (SHARE * F.lit(total) - CAP * F.col("capped")) / (F.lit(total_weight) - F.col("capped_weight")))
     # The level is that at the first source whose own cap lies at or above it; later ones give lower levels.
-    level = F.coalesce(F.max(F.when(F.col("ratio") >= F.col("level"), F.col("level"))).over(whole), F.max("ratio").over(whole))
-    return s.select("source", "source_size", F.least(CAP * F.col("source_size"), level * F.col("weight")).alias("target"))
+    level = s.agg(F.coalesce(F.max(F.when(F.col("ratio") >= F.col("level"), F.col("level"))), F.max("ratio"))).first()[0]
+    return s.select("source", "source_size", F.least(CAP * F.col("source_size"), F.lit(level).cast("double") * F.col("weight")).alias("target"))
 
 
 def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame, int]:
@@ -72,7 +75,8 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         "mix-sizes",
     )
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    t = written(targets(sizes).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)), "mix-targets")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    t = settled(lambda: targets(sizes).withColumn("rate", rate), "mix-targets")
     n = t.count()
     seen = rows.join(small_side(t.withColumnRenamed("source", "s"), n), F.col("source").eqNullSafe(F.col("s")))
     taken = seen.groupBy("source").agg(*[F.sum(F.col("size") * copies(F.col("rate"), F.col("u"), k)).alias(f"t{k}") for k in range(SHIFTS)])
