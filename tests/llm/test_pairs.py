@@ -167,22 +167,6 @@ def test_fingerprint_index(made):
     assert index.merged().where("n < 2").count() == 0
 
 
-def test_runs_are_merged_where_they_lie(spark, made):
-    """Neither a batch nor an older run is shuffled or, compacted, dealt anew; the runs have a file per range."""
-    texts = substring_dedup.keyed(made, "doc_id", "text")
-    index = substring_dedup.FingerprintIndex(most_runs=3, ranges=5)
-    for k in range(3):
-        out = index.add(texts.where(f"doc_id % 4 in ({k}, 3)"))
-    assert len(index.runs) == 3 and all(len(r.inputFiles()) <= 5 for r in index.runs)
-    for df in (out, index.merged()):
-        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
-    rows = substring_dedup.fingerprint_rows(substring_dedup.marked(texts.where("doc_id % 4 in (0, 1, 3)")))
-    older = {r.h for r in rows.select("h").distinct().collect()}
-    assert all(r.seen == (r.h in older) for r in out.collect())
-    substring_dedup.drop_written(index.runs[0])
-    assert not spark.catalog.tableExists(index.runs[0].written_name)
-
-
 def test_components_of_long_paths(spark):
     """Paths of more hops than there are rounds: one falling to its end, one of nodes in any order."""
     r = random.Random(2)
