@@ -52,6 +52,14 @@ def test_keyword_lines(spark, given, wanted):
     assert [tuple(x) for x in value(spark, terms.keyword_lines, given)] == wanted
 
 
+@pytest.mark.parametrize(("given", "wanted"), [
+    ("二十三車", "23車"), ("零五車", "05車"), ("十車 十二車", "十車 12車"), ("二五車二五車", "25車25車"), ("零零車", "零零車"), ("一百車", "一百車"), ("二五二六車", "二五二六車"),
+    ("一二三二十三車", "一二" + "三二十三車"), ("零零二五車", "25車"), ("二十三站", "二十三站"), ("2526車", "25/26車"), ("", ""),
+])
+def test_spoken_train_numbers(spark, given, wanted):
+    assert value(spark, lambda c: terms.legacy_clean(c, {}), given)["text"] == wanted
+
+
 def test_legacy_clean(spark):
     got = value(spark, lambda c: terms.legacy_clean(c, {"ab": "x", "q": "qq"}), " ab  g 3 1234車 912345678901234567 ")
     assert got["text"] == "x G03 12/34車 [number?]" and got["corrections_applied"] == 1

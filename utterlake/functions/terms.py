@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import numbers
 from .text import fix_number_explosion, fix_station_codes, runs
 
 WORD_END = r"(?![\p{L}\p{N}_])"
@@ -89,7 +90,8 @@ def keyword_lines(c: Column) -> Column:
 def legacy_clean(c: Column, corrections: dict[str, str], bold: bool = True) -> Column:
     """struct(text, corrections_applied, length_change): corrections as listed, station codes, number runs, trains, blanks.
 
-    ``corrections_applied`` counts the listed spellings that the text has at the start. Spoken train numbers stay.
+    ``corrections_applied`` counts the listed spellings that the text has at the start. A train's spoken number of two to
+    four characters becomes two digits if it is worth 1 to 99; any other stays.
     """
     given = F.coalesce(c, F.lit(""))
     out = given
@@ -98,6 +100,8 @@ def legacy_clean(c: Column, corrections: dict[str, str], bold: bool = True) -> C
     out = fix_station_codes(out)
     if bold:
         out = F.regexp_replace(fix_number_explosion(out), r"(\d{2})\s*(\d{2})車", "$1/$2車")
+        worth = lambda g: numbers.number(F.regexp_replace(g(1), "^零+(?=.)", ""))
+        out = numbers.rewrite(out, "([零一二三四五六七八九十百]{2,4})車", lambda g: F.when(worth(g) > 0, F.concat(numbers.padded(worth(g)), F.lit("車"))))
     out = F.regexp_replace(F.regexp_replace(out, r"\s+", " "), "^ | $", "")
     applied = sum((F.contains(given, F.lit(w)).cast("int") for w in corrections), F.lit(0))
     return F.struct(out.alias("text"), applied.alias("corrections_applied"), (F.length(out) - F.length(given)).alias("length_change"))

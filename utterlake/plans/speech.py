@@ -13,7 +13,7 @@ from .queries import query
 #: What is said over the radio after each document, by its id.
 SAID = [
     "OCC 呼叫 G07 over", "R 1 2 收到，25 / 26 車 開門 ATP MCS", "高鐵站 上行 3月台 斷電 (沉默 3 秒) atp", "三軌車站長回報 復電 Ｇ０７ ＡＢ（Ａ）",
-    "g 7 站台 清車 1234車 OVER 完畢 [unclear]", "",
+    "g 7 站台 清車 1234車 OVER 完畢 [unclear]", "", "二十三車 呼叫 零五車，二五二六車 三零車 一百車 十車 四十車 九九車",
 ]
 RADIO = f"(SELECT doc_id AS id, source, concat(text, chr(10), (ARRAY[{', '.join(repr(s) for s in SAID)}])[CAST(doc_id % {len(SAID)} AS INT) + 1]) AS said FROM documents)"
 
@@ -136,8 +136,14 @@ def sql_legacy() -> str:
     steps += [(r"([GR])(\d)([^\d]|$)", r"\10\2\3"), (r"(^|[^0-9])([012]\d)\d{13,}", r"\1\2"), (r"\d{15,}", "[number?]"), (r"(\d{2})\s*(\d{2})車", r"\1/\2車"), (r"\s+", " "), ("^ | $", "")]
     for p, r in steps:
         c = f"regexp_replace({c}, '{p}', '{r}', 'g')"
+    trains = c
+    digits = "translate(m, '零一二三四五六七八九', '0123456789')"
+    part = "coalesce(nullif(regexp_extract({0}, '^([1-9]?)十([1-9]?)$', {1}), ''), '{2}')"
+    worth = f"coalesce(try_cast({digits} AS INT), CASE WHEN regexp_full_match({digits}, '[1-9]?十[1-9]?') THEN CAST({part.format(digits, 1, 1)} || {part.format(digits, 2, 0)} AS INT) END)"
+    spoken = "regexp_extract_all(t, '([零一二三四五六七八九十百]{2,4})車', 1)"
+    c = f"list_reduce(list_prepend(t, {spoken}), lambda s, m: CASE WHEN {worth} BETWEEN 1 AND 99 THEN replace(s, m || '車', lpad(CAST({worth} AS VARCHAR), 2, '0') || '車') ELSE s END)"
     applied = " + ".join(f"CAST(contains(said, '{a}') AS INT)" for a in LEGACY)
-    return f"SELECT id, out AS text, applied AS corrections_applied, CAST(length(out) - n AS INT) AS length_change FROM (SELECT id, {c} AS out, {applied} AS applied, length(said) AS n FROM {RADIO})"
+    return f"SELECT id, out AS text, applied AS corrections_applied, CAST(length(out) - n AS INT) AS length_change FROM (SELECT id, {c} AS out, applied, n FROM (SELECT id, {trains} AS t, {applied} AS applied, length(said) AS n FROM {RADIO}))"
 
 
 @query(sql_legacy())
