@@ -128,3 +128,12 @@ def test_folder_stream(spark, tmp_path):
             (tmp_path / "in" / "b.json").write_text(more)
         w.trigger(availableNow=True).start().awaitTermination(120)
     assert sorted((r.id, r.final) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, "G07 the a"), (2, "x")]
+
+
+@pytest.mark.parametrize(("samples", "wanted"), [
+    ([1.0, 1.0, 0.0, 0.0, 1.0], 0.5), ([1.0, 1.0], 1.0), ([0.0, 0.0, 1.0], 0.0), ([1.0], 1.0), ([0.0], 0.0), ([], 1.0), (None, 1.0), ([None, None, 1.0, 1.0], 0.5), ([1.0] * 100_001, 1.0),
+])
+def test_window_share(spark, samples, wanted):
+    loud = lambda w: F.size(F.filter(w, lambda x: x > 0.5)) * 2 > F.size(w)
+    d = spark.createDataFrame([(samples,)], "s array<double>")
+    assert d.select(text.window_share(F.col("s"), 2, loud)).first()[0] == wanted

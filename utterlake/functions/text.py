@@ -225,3 +225,15 @@ def parse_bundle(c: Column, mark: str = r"\d{2}:\d{2}:\d{2}") -> Column:
     """array(name, body) of a text in which ``【mark】`` opens each record."""
     parts = F.filter(F.split(c, f"(?m)(?=^【{mark}】)"), lambda x: x.rlike(f"^【{mark}】"))
     return F.transform(parts, lambda x: F.struct(F.regexp_extract(x, f"^【({mark})】", 1).alias("name"), F.trim(F.regexp_replace(x, f"^【{mark}】", ""), F.lit(" \n")).alias("body")))
+
+
+def window_share(samples: Column, width: int, speech: Callable[[Column], Column]) -> Column:
+    """Share of a signal's whole windows of ``width`` samples that ``speech`` accepts, what is left at the end aside.
+
+    A signal shorter than a window is judged as a whole; of one that is null or empty nothing is known, which counts as speech.
+    """
+    n = F.size(samples)
+    starts = F.sequence(F.lit(1), n - width + 1, F.lit(width))
+    judged = F.transform(starts, lambda at: F.coalesce(speech(F.slice(samples, at, width)), F.lit(False)))
+    whole = F.coalesce(speech(samples), F.lit(False)).cast("int").cast("double")
+    return F.when(samples.isNull() | (n == 0), 1.0).when(n < width, whole).otherwise(F.round(F.size(F.filter(judged, lambda j: j)) / F.size(judged), 6))

@@ -371,6 +371,18 @@ def window_speech_ratio(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id", F.date_trunc("day", "ts").alias("bucket")).agg(r6(F.avg(F.when(F.col("event_type") == "click", 1.0).otherwise(0.0))).alias("ratio"))
 
 
+LOUD = "list_count(list_filter({0}, lambda x: abs(x) >= 0.1)) * 2 >= len({0})"
+
+
+@query(f"""SELECT vec_id, CASE WHEN v IS NULL OR len(v) = 0 THEN 1.0::DOUBLE WHEN len(v) < 5 THEN CAST(CAST({LOUD.format("v")} AS INT) AS DOUBLE)
+ELSE round(len(list_filter(range(CAST(len(v) // 5 AS BIGINT)), lambda k: {LOUD.format("list_slice(v, 5 * k + 1, 5 * k + 5)")})) / (len(v) // 5), 6) END AS ratio
+FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)""")
+def frame_speech_ratio(spark, sf_dir):
+    """Vectors as signals, in windows of five samples; a window is speech if at least half of them are loud."""
+    loud = lambda w: F.size(F.filter(w, lambda x: F.abs(x) >= 0.1)) * 2 >= F.size(w)
+    return table(spark, sf_dir, "embeddings").select("vec_id", text.window_share(F.col("embedding").cast("array<double>"), 5, loud).alias("ratio"))
+
+
 @query("SELECT c_custkey, CASE WHEN min(o_orderdate) IS NULL THEN '無' ELSE strftime(min(o_orderdate), '%Y-%m-%d') || ' ~ ' || strftime(max(o_orderdate), '%Y-%m-%d') END AS label FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
 def time_range_label(spark, sf_dir):
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
