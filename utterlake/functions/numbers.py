@@ -121,9 +121,12 @@ def number_changes(c: Column) -> Column:
     return state["n"]
 
 
-def car_numbers(c: Column, how: How) -> Column:
-    """The number before a car: spoken digits as digits, four of them as a pair, both of a pair with two digits, and a space."""
-    digit = f"[0-9{SPOKEN}]"
+def car_numbers(c: Column, how: How, spoken: bool = True) -> Column:
+    """The number before a car: spoken digits (two at least) as digits, four of them as a pair, both of a pair with two digits, and a space.
+
+    Without ``spoken`` only what is written in digits is a number.
+    """
+    digit = f"[0-9{SPOKEN}]" if spoken else "[0-9]"
 
     def named(g: Callable[[int], Column]) -> Column:
         a, b = (F.translate(g(i), SPOKEN, DIGITS) for i in (1, 2))
@@ -131,14 +134,14 @@ def car_numbers(c: Column, how: How) -> Column:
         said = F.when(b != "", F.when(F.length(a) < 3, pair(a, b))).when(F.length(a) == 4, pair(F.left(a, F.lit(2)), F.right(a, F.lit(2)))).when(F.length(a) < 3, a)
         return F.concat_ws(" ", said, F.when(said.isNotNull(), g(3)))
 
-    core = rf"({digit}{{1,4}})(?:\s*[/／]\s*({digit}{{1,2}}))?\s*(動?車門|動車|車)"
+    core = rf"({digit}{{2,4}}|[0-9])(?:\s*[/／]\s*({digit}{{1,2}}))?\s*(動?車門|動車|車)"
     return how(c, core, lambda g: F.nullif(named(g), F.lit("")), "(?<![0-9/／])", "(?![組站輛])")
 
 
-def normalize_car_numbers(c: Column) -> Column:
+def normalize_car_numbers(c: Column, spoken: bool = True) -> Column:
     """:func:`car_numbers`, with runs of blanks made one."""
-    return F.regexp_replace(car_numbers(c, rewrite), " {2,}", " ")
+    return F.regexp_replace(car_numbers(c, rewrite, spoken), " {2,}", " ")
 
 
-def car_number_changes(c: Column) -> Column:
-    return car_numbers(c, rewrites)
+def car_number_changes(c: Column, spoken: bool = True) -> Column:
+    return car_numbers(c, rewrites, spoken)
