@@ -1,12 +1,14 @@
 """Edit distances of batches against brute force, and that pairs are measured where they stand."""
 
+import difflib
 import random
 import time
 
 import pyarrow as pa
 import pytest
 from utterlake.functions import edits
-from utterlake.plans import adapters
+from utterlake.operators import blocks
+from utterlake.plans import adapters, mining
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,3 +59,20 @@ def test_pairs_of_200_characters_take_microseconds():
 def test_pairs_are_measured_where_they_stand(spark):
     plan = adapters.measured(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan and adapters.measured(spark, SF).where("errors is null or word_errors is null or words is null").count() == 0
+
+
+def test_opcodes_of_a_batch_are_the_standard_library_s():
+    r = random.Random(5)
+    pairs = [changed(r, r.choice(["ab", "éb台 ", "abcdefgh "]), size, n) for size in (0, 1, 3, 60, 255, 257, 400) for n in (0, 1, 9, 40) for _ in range(3)]
+    pairs += [("xy" * 300, "yx" * 290), ("ab" * 200, "ab"), ("", "abc"), ("abc", ""), (None, "x"), ("x", None)]
+    got = blocks.opcodes_of_each(pa.array([a for a, _ in pairs]), pa.array([b for _, b in pairs])).to_pylist()
+    for (a, b), ops in zip(pairs, got):
+        if a is None or b is None:
+            assert ops is None
+        else:
+            assert [tuple(o.values()) for o in ops] == [(t, a[i:j], b[k:m]) for t, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()]
+    assert blocks.opcodes_of_each(pa.array([], pa.string()), pa.array([], pa.string())).to_pylist() == []
+
+
+def test_opcodes_move_no_text(spark):
+    assert "hashpartitioning" not in mining.edit_ops(spark, SF)._jdf.queryExecution().executedPlan().toString()
