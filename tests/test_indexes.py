@@ -1,6 +1,7 @@
 """Posting lists that change, running totals by ranges, and packed n-gram models, against rebuilds and brute force."""
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,3 +61,21 @@ def test_packed_logarithms(spark, most):
     got = {r.id: (r.log10_prob, r.n) for r in q.summed(d.repartition(2), ["id"], "t", logs, most).collect()}
     value = {g: -1.0 - i / 8 for i, g in enumerate(grams)}
     assert got == {i: (sum(value[("^^^" + t + "$")[k : k + 4]] for k in range(len(t) + 1)), len(t) + 1) for i, t in enumerate(texts)}
+
+
+def test_grams_are_counted_by_batches(spark):
+    said = ["ab", "", "abab ab", "ñandú 𝒳𝒳𝒳𝒳𝒳", "ab", None]
+    d = spark.createDataFrame([(t,) for t in said], "t string").coalesce(1)
+    want = Counter(p[i : i + 4] for p in (f"^^^{t}$" for t in said if t is not None) for i in range(len(p) - 3))
+    assert {r.g4: r.c for r in q.gram_counts(d, "t").collect()} == want
+    assert {r.g4: r.c for r in q.gram_counts(d.where("t not like 'ñ%'"), "t").collect()} == {g: n for g, n in want.items() if not set(g) & set("ñúd𝒳")}
+
+
+@pytest.mark.parametrize("most", [q.MOST_GRAMS, 0])
+def test_two_columns_are_summed_at_once(spark, most):
+    d = spark.createDataFrame([(1, "abc", "ab 𝒳"), (2, "", "abc"), (3, "b", "")], "id long, x string, y string")
+    of = lambda t: [f"^^^{t}$"[i : i + 4] for i in range(len(t) + 1)]
+    grams = sorted({g for r in d.collect() for t in r[1:] for g in of(t)})
+    worth = {g: -1.0 - i for i, g in enumerate(grams)}
+    got = {r.id: tuple(r[1:]) for r in q.sums(d, ["id"], ["x", "y"], spark.createDataFrame(list(worth.items()), "g4 string, lp double"), most).collect()}
+    assert got == {r.id: tuple(v for t in r[1:] for v in (sum(worth[g] for g in of(t)), len(t) + 1)) for r in d.collect()}
