@@ -1,5 +1,6 @@
 """Registered queries against their SQL, and literal cases of the column functions."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 from utterlake.functions import metrics, rules, text
@@ -87,3 +88,13 @@ def test_rules(spark):
 @pytest.mark.parametrize("note", ["(沉默 3 秒)", "(沉默十秒)", "(沉默 5s)", "(silence3)", "(silence 3s)", "(笑聲)", "(咳嗽)", "(雜音)", "(noise)", "(laughter)", "(cough)", "(unclear)", "(inaudible)", "[noise]", "[unclear]", "（沉默一下）"])
 def test_strip_meta_has_the_reference_notes(spark, note):
     assert spark.createDataFrame([(f"a{note}b (kept)",)], "x string").select(text.strip_meta(F.col("x"))).first()[0] == "ab (kept)"
+
+
+@pytest.mark.parametrize("nulls", [(), ("orders",), ("lineitem",), ("empty",)])
+def test_orphans_as_not_in_says(spark, tmp_path, nulls):
+    o, l = [1, 2, 2, 5] + [None] * ("orders" in nulls or "empty" in nulls), [] if "empty" in nulls else [1, 1, 7, 7] + [None] * ("lineitem" in nulls)
+    con = duckdb.connect()
+    for name, key, rows in (("orders", "o_orderkey", o), ("lineitem", "l_orderkey", l)):
+        spark.createDataFrame([(x,) for x in rows], f"{key} long").coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert compare(spark, con, str(tmp_path), QUERIES["orphan_check"], ORACLE["orphan_check"]) == ""
