@@ -1,5 +1,7 @@
 """Literal cases of the number rules."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 from utterlake.functions import numbers
@@ -34,3 +36,13 @@ def test_changes_are_counted_one_by_one(spark):
     d = spark.createDataFrame(rows, "a string, b string")
     got = [tuple(r) for r in d.select(numbers.number_changes(F.col("a")), numbers.car_number_changes(F.col("b"))).collect()]
     assert got[:2] == [(4, 2), (0, 0)] and all(x is None or x <= 0 for x in got[2])
+
+
+def test_patterns_are_tried_only_where_their_words_are(spark):
+    long = "in 1998 the 24 trains of line g ran 365 days, 7:30 to 23:15 " * 20_000
+    d = spark.createDataFrame([(1, long), (2, "下午三點半"), (3, None)], "id long, t string").coalesce(1)
+    began = time.time()
+    got = {r.id: r.out for r in d.select("id", numbers.normalize_numbers(F.col("t")).alias("out")).collect()}
+    assert got == {1: long, 2: "15:30", 3: None} and time.time() - began < 20
+    kept = d.where("id = 2").select(numbers.rewrite(F.col("t"), "三", lambda g: F.lit("3"), words="月台|米").alias("out")).first().out
+    assert kept == "下午三點半"

@@ -6,6 +6,8 @@ Runs of numeral characters are found first; what a run is worth is looked up in
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,20 +39,28 @@ def number(c: Column) -> Column:
     return F.try_element_at(F.str_to_map(F.lit(table)), F.translate(c, SPOKEN, DIGITS)).cast("int")
 
 
-def rewrite(c: Column, core: str, new: Callable[[Callable[[int], Column]], Column], before: str = "", after: str = "") -> Column:
-    """Every match of ``core`` between ``before`` and ``after``, which only look, becomes ``new(group)``; null leaves it as it is."""
+def having(c: Column, words: str) -> Column:
+    """Whether a text has any of the words, which are parted by bars; no pattern is tried for it."""
+    return reduce(or_, [F.contains(c, F.lit(w)) for w in words.split("|")])
+
+
+def rewrite(c: Column, core: str, new: Callable[[Callable[[int], Column]], Column], before: str = "", after: str = "", words: str = "") -> Column:
+    """Every match of ``core`` between ``before`` and ``after``, which only look, becomes ``new(group)``; null leaves it as it is.
+
+    A text without any of the ``words``, one of which every match has, is left without trying the pattern.
+    """
     at = before + core + after
 
     def woven(x: Column) -> Column:
         fixed = F.transform(F.regexp_extract_all(x, F.lit(at), F.lit(0)), lambda m: F.coalesce(new(lambda i: F.regexp_extract(m, core, i)), m))
         parts = F.zip_with(F.split(x, at, -1), fixed, lambda between, m: F.concat(between, F.coalesce(m, F.lit(""))))
-        return F.when(x.rlike(at), F.array_join(parts, "")).otherwise(x)
+        return F.when(having(x, words) & x.rlike(at) if words else x.rlike(at), F.array_join(parts, "")).otherwise(x)
 
     # The text is itself a step's result, used four times here: a lambda's variable is worked out once.
     return F.get(F.transform(F.array(c), woven), F.lit(0))
 
 
-def rewrites(c: Column, core: str, new: Callable[[Callable[[int], Column]], Column], before: str = "", after: str = "") -> Column:
+def rewrites(c: Column, core: str, new: Callable[[Callable[[int], Column]], Column], before: str = "", after: str = "", words: str = "") -> Column:
     """How many matches :func:`rewrite` changes."""
     return F.size(F.filter(F.regexp_extract_all(c, F.lit(before + core + after), F.lit(0)), lambda m: new(lambda i: F.regexp_extract(m, core, i)) != m))
 
@@ -73,7 +83,7 @@ def normalize_time(c: Column, how: How = rewrite) -> Column:
         minute = F.when(g(3) == "", 0).when(g(3) == "半", 30).otherwise(number(g(3)))
         return F.when((hour < 24) & (minute < 60), F.concat_ws(":", padded(hour), padded(minute)))
 
-    return how(c, rf"(?:({day})\s*)?({RUN})\s*[時點](?:\s*({RUN}|半)\s*分?|[整鐘])?", clock)
+    return how(c, rf"(?:({day})\s*)?({RUN})\s*[時點](?:\s*({RUN}|半)\s*分?|[整鐘])?", clock, words="時|點")
 
 
 def pad_station_codes(c: Column, how: How = rewrite) -> Column:
@@ -83,7 +93,7 @@ def pad_station_codes(c: Column, how: How = rewrite) -> Column:
 
 def counted(c: Column, what: str, how: How = rewrite) -> Column:
     """A numeral before one of ``what``: its value, a space, and the word."""
-    return how(c, rf"({RUN})\s*({what})", lambda g: F.when(number(g(1)) > 0, F.concat_ws(" ", number(g(1)).cast("string"), g(2))))
+    return how(c, rf"({RUN})\s*({what})", lambda g: F.when(number(g(1)) > 0, F.concat_ws(" ", number(g(1)).cast("string"), g(2))), words=what)
 
 
 def normalize_platform(c: Column, how: How = rewrite) -> Column:
@@ -96,8 +106,13 @@ def normalize_duration(c: Column, how: How = rewrite) -> Column:
 
 def boundary_spacing(c: Column) -> Column:
     """A space between numbers or times and the characters beside them."""
-    c = F.regexp_replace(c, r"(?<=[0-9]:[0-9]{2})(?=[^\s0-9])|(?<=[0-9])(?=[一-鿿])|(?<=[一-鿿])(?=[0-9])", " ")
-    return F.regexp_replace(c, " {2,}", " ")
+
+    def spaced(x: Column) -> Column:
+        meet = x.rlike(r"[0-9]:[0-9]{2}[^\s0-9]|[0-9][一-鿿]|[一-鿿][0-9]")  # looking around at every character is left to texts that need it
+        return F.when(meet, F.regexp_replace(x, r"(?<=[0-9]:[0-9]{2})(?=[^\s0-9])|(?<=[0-9])(?=[一-鿿])|(?<=[一-鿿])(?=[0-9])", " ")).otherwise(x)
+
+    single = lambda x: F.when(having(x, "  "), F.regexp_replace(x, " {2,}", " ")).otherwise(x)
+    return F.get(F.transform(F.transform(F.array(c), spaced), single), F.lit(0))
 
 
 STEPS = (normalize_time, pad_station_codes, normalize_platform, normalize_duration)
