@@ -94,3 +94,24 @@ def test_engines_side_by_side_are_shuffled_once_as_whole_texts(spark):
     for name in ("majority_vote", "wide_multi_engine", "fuse_two_whole"):
         plan = q.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert plan.split("== Initial Plan ==")[-1].count("hashpartitioning") == 1 and "hashpartitioning(doc_id" in plan, plan
+
+
+def test_texts_that_only_lost_or_replaced_characters_need_no_table(monkeypatch):
+    pairs = [("the other", "te oter"), ("te oter", "the other"), ("", "abc"), ("ñandu 𝄞 x", "ñn 𝄞x"), ("an ant", "en ent"), ("ab", "ba"), ("abcab", "xycxy")]
+    a, b = (pa.array(x) for x in zip(*pairs))
+
+    def never(*_):
+        raise AssertionError("a table was worked out")
+
+    monkeypatch.setattr(edits, "band", never)
+    monkeypatch.setattr(edits, "far_apart", never)
+    assert edits.measured(a, b).to_pylist() == [2, 2, 3, 4, 2, 2, 4]
+    assert edits.measured(a[4:], b[4:], "word").to_pylist() == [2, 1, 1]
+
+
+def test_one_shifted_text_and_its_neighbours():
+    """Unequal places overstate a shift; a text that runs out may not go on in the next one."""
+    a, b = pa.array(["abcdefg", "aab", "xa", "a"]), pa.array(["bcdefga", "ab", "a", "b"])
+    assert edits.measured(a, b).to_pylist() == [2, 1, 1, 1]
+    assert edits.measured(pa.array(["ab", "abc"]), pa.array(["b", "bd"])).to_pylist() == [1, 2]
+    assert edits.measured(a[1:3], b[1:3]).to_pylist() == [1, 1]
