@@ -26,6 +26,17 @@ def test_as_brute_force(made, most):
     assert sorted(map(tuple, keywords.occurring(d.repartition(3), ["id"], "text", t, "term", most).collect())) == want
 
 
+@pytest.mark.parametrize("most", [keywords.MOST_BYTES, 0])
+def test_noted_as_brute_force(made, most):
+    docs, words, d, t = made
+    known = {w.lower() for w in words if w}
+    want = sorted((i, x or "", sorted(w for w in known if x and w in x.lower())) for i, x in docs)
+    got = keywords.noted(d.repartition(3), ["id", "text"], "text", t, "term", "found", most)
+    assert sorted((r.id, r.text or "", sorted(r.found)) for r in got.collect()) == want
+    assert most == 0 or "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r.found) for r in keywords.noted(d, ["id"], "text", t.limit(0), "term", "found", most).collect()} == {()}
+
+
 def test_no_nested_loop_and_many_terms(spark, made):
     _, _, d, _ = made
     many = spark.range(50_000).select(F.concat(F.lit("w"), F.col("id").cast("string")).alias("term"))
