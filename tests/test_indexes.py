@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from utterlake.operators import postings, search
@@ -41,6 +42,28 @@ def test_an_empty_index_finds_nothing(spark, tmp_path):
     assert index.live().count() == 0 and index.sync(spark.createDataFrame([], "id long, text string"), "id", "text") == 0
 
 
+def test_lists_have_each_posting_once(spark):
+    texts = ["there the", None, "", "ab", "É月台\U0001f600x", "a\0\0\0b", "\0" * 5, "aaaa", "THE"] * 5
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    want = sorted(map(tuple, search.postings(d, "id", "text").collect()))
+    for most in (1 << 21, 30, 0):
+        lists = search.posting_lists(d, "id", "text", most).collect()
+        assert sorted((r.gram, i) for r in lists for i in r.ids) == want
+        assert most < 1 << 21 or len(lists) == len({g for g, _ in want})
+    codes = np.array([0x10FFFF, 0x10FFFE, 0x10FFFD, 97] * 3, np.uint32)  # three times 21 bits leave none for a text's number
+    assert sorted((g, int(r)) for gs, at, rows in search.gram_lists(codes, np.array([0, 4, 8, 12])) for g, a, b in zip(gs, at, at[1:]) for r in rows[a:b]) == sorted(
+        (t, i) for i in range(3) for t in ("\U0010ffff\U0010fffe\U0010fffd", "\U0010fffe\U0010fffda"))
+
+
+def test_a_segment_is_made_once(spark, tmp_path):
+    """As lists, dealt by trigram: no range has to be sampled, no posting is joined."""
+    index = postings.PostingIndex(spark, str(tmp_path / "ix"))
+    index.sync(spark.range(300).selectExpr("id", "'over there' as text"), "id", "text")
+    (name, n), = [(e[1], e[2]) for e in index.entries() if e[0] == "segment"]
+    rows = spark.read.schema(postings.SEGMENT).parquet(f"{tmp_path}/ix/{name}")
+    assert n == 300 * 8 and rows.count() <= 8 * 16 and sorted({r.gram for r in rows.collect()}) == sorted({"over there"[i : i + 3] for i in range(8)})
+
+
 def test_running_totals(spark):
     r = random.Random(5)
     rows = [(r.choice(["a", "b", None]), r.choice([1, 2, None]), r.randint(0, 2), i, r.choice([1.5, 2.0, None])) for i in range(300)]

@@ -15,12 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import shared_dir
-from .search import postings
+from .search import DEALS, posting_lists
 
 #: Segments of one size class that are merged into one, and the ratio of sizes between classes.
 MERGE, RATIO = 4, 4
+#: Bits of the ids that a merged list spans.
+SPAN = 16
 LOG = "id long, version long, h long, n int, gone boolean"
-SEGMENT = "gram string, id long, version long"
+SEGMENT = "gram string, ids array<long>, version long"
 MANIFEST = "kind string, name string, entries long, version long"
 
 
@@ -60,16 +62,17 @@ class PostingIndex:
     def live(self) -> DataFrame:
         """(gram, id) of all postings that count."""
         now = self.documents().select("id", "version")
-        return self._folders("segment", SEGMENT).join(now, ["id", "version"], "left_semi").select("gram", "id")
+        return self._folders("segment", SEGMENT).select("gram", F.explode("ids").alias("id"), "version").join(now, ["id", "version"], "left_semi").select("gram", "id")
 
     def sizes(self) -> DataFrame:
         """One row (mean, docs): what ranking needs of all documents."""
         return self.documents().agg(F.avg("n").alias("mean"), F.count("n").alias("docs"))
 
-    def _segment(self, rows: DataFrame) -> str:
+    def _segment(self, rows: DataFrame) -> tuple[str, int]:
+        """Writes lists, those of a trigram to a few files, sorted within; its name and how many postings it has. Ranges of trigrams would have all lists made twice."""
         name = f"segment-{uuid.uuid4().hex}"
-        rows.repartitionByRange("gram", "id").sortWithinPartitions("gram", "id").write.parquet(f"{self.path}/{name}")
-        return name
+        rows.repartition("gram", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(DEALS))).sortWithinPartitions("gram").write.parquet(f"{self.path}/{name}")
+        return name, self.spark.read.schema(SEGMENT).parquet(f"{self.path}/{name}").agg(F.sum(F.size("ids"))).first()[0] or 0
 
     def sync(self, docs: DataFrame, id_col: str, text_col: str, whole: bool = True) -> int:
         """Index what is new or edited in ``docs`` (ids are unique), and with ``whole`` remove what it lacks; says how many documents changed."""
@@ -87,9 +90,8 @@ class PostingIndex:
         n = changes.count()
         if not n:
             return 0
-        fresh = given.join(changes.where("not gone").select("id", "version"), "id")
-        segment = self._segment(postings(fresh, "id", "text").join(changes.where("not gone").select("id", "version"), "id").select("gram", "id", "version"))
-        rows = self.spark.read.schema(SEGMENT).parquet(f"{self.path}/{segment}").count()
+        fresh = given.join(changes.where("not gone").select("id"), "id", "left_semi")
+        segment, rows = self._segment(posting_lists(fresh, "id", "text").withColumn("version", F.lit(version).cast("long")))
         self._publish([*old, ("log", name, n, version), ("segment", segment, rows, version)])
         self.merge()
         return n
@@ -104,7 +106,7 @@ class PostingIndex:
             full = next((c for c in classes.values() if len(c) >= MERGE), None)
             if full is None:
                 return
-            both = self.spark.read.schema(SEGMENT).parquet(*[f"{self.path}/{name}" for _, name, _, _ in full])
-            segment = self._segment(both.join(self.documents().select("id", "version"), ["id", "version"], "left_semi").select("gram", "id", "version"))
-            rows = self.spark.read.schema(SEGMENT).parquet(f"{self.path}/{segment}").count()
+            both = self.spark.read.schema(SEGMENT).parquet(*[f"{self.path}/{name}" for _, name, _, _ in full]).select("gram", F.explode("ids").alias("id"), "version")
+            counting = both.join(self.documents().select("id", "version"), ["id", "version"], "left_semi")
+            segment, rows = self._segment(counting.groupBy("gram", "version", F.shiftright("id", SPAN)).agg(F.collect_list("id").alias("ids")).select("gram", "ids", "version"))
             self._publish([*[e for e in entries if e not in full], ("segment", segment, rows, max(v for *_, v in full))])

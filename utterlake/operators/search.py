@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import terms
+from ..functions.edits import char_codes
 from . import keywords
 from .keywords import windows
 
@@ -13,6 +18,8 @@ from .keywords import windows
 FOLDERS = 256
 #: Files that a folder's most frequent trigrams are dealt to.
 DEALS = 8
+#: Characters of texts whose postings are listed together.
+LISTED = 1 << 21
 
 
 def spotted(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, term_col: str) -> DataFrame:
@@ -30,6 +37,48 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.explode(trigrams(F.col(text_col))).alias("gram"), F.col(id_col).alias("id"))
 
 
+def gram_lists(codes: np.ndarray, ends: np.ndarray) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """(trigrams, where the list of each begins and the last ends, numbers of the texts in each list) of texts by code points and ends, in one sort.
+
+    A trigram and its text's number are one integer; texts too many for that are halved, and one alone always fits.
+    """
+    n = len(ends) - 1
+    wide, deep = int(codes[ends[0] : ends[-1]].max(initial=0)).bit_length(), (n - 1).bit_length()
+    if 3 * wide + deep > 63:
+        for first, part in ((0, ends[: n // 2 + 1]), (n // 2, ends[n // 2 :])):
+            for grams, offsets, rows in gram_lists(codes, part):
+                yield grams, offsets, rows + first
+        return
+    c = codes[ends[0] : ends[-1]].astype(np.int64)
+    text = np.repeat(np.arange(n), np.diff(ends))
+    whole = np.flatnonzero(text[2:] == text[:-2])
+    keys = ((c[whole] << wide | c[whole + 1]) << wide | c[whole + 2]) << deep | text[whole]
+    keys.sort()
+    keys = keys[np.diff(keys, prepend=-1) != 0]
+    offsets = np.flatnonzero(np.diff(keys >> deep, prepend=-1))
+    grams = keys[offsets] >> deep
+    spelt = np.stack([grams >> 2 * wide, grams >> wide, grams], axis=1) & ((1 << wide) - 1)
+    spelt = spelt.astype("<u4").tobytes().decode("utf-32-le")
+    yield [spelt[i : i + 3] for i in range(0, len(spelt), 3)], np.append(offsets, len(keys)), keys & ((1 << deep) - 1)
+
+
+def posting_lists(docs: DataFrame, id_col: str, text_col: str, most: int = LISTED) -> DataFrame:
+    """(gram, ids): :func:`postings` as lists, one for each trigram of some neighbouring texts; ids are long and not null."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, ends = char_codes(batch.column(1))
+            first = 0
+            while first < len(batch):
+                last = max(first + 1, int(np.searchsorted(ends, ends[first] + most, "right")) - 1)
+                for grams, offsets, rows in gram_lists(codes, ends[first : last + 1]):
+                    ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), batch.column(0).take(pa.array(first + rows)))
+                    yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), ids], names=["gram", "ids"])
+                first = last
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.lower(text_col)).mapInArrow(listed, "gram string, ids array<long>")
+
+
 def folder(c: Column) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(FOLDERS)).cast("int")
 
@@ -52,7 +101,7 @@ def phrase_search(index: DataFrame | None, docs: DataFrame, id_col: str, text_co
     docs) is one row on all texts, if it is known; else the texts are read for it.
     """
     p = phrase.lower()
-    d = docs.select(F.col(id_col).alias("id"), F.length(text_col).alias("n"), F.lower(text_col).alias("t"))
+    d = docs.select(F.col(id_col).alias("id"), F.length(text_col).alias("n"), F.col(text_col).alias("t"))
     hits = d
     if index is not None and len(p) >= 3:
         grams = sorted({p[i : i + 3] for i in range(len(p) - 2)})
@@ -60,7 +109,7 @@ def phrase_search(index: DataFrame | None, docs: DataFrame, id_col: str, text_co
         if "folder" in index.columns:
             i = i.where(F.col("folder").isin(*[int(r[0]) for r in index.sparkSession.createDataFrame([(g,) for g in grams], "g string").select(folder(F.col("g"))).collect()]))
         hits = d.join(i.groupBy("id").agg(F.count_distinct("gram").alias("k")).where(F.col("k") == len(grams)), "id", "left_semi")
-    hits = hits.where(F.contains("t", F.lit(p))).select("id", "n", ((F.length("t") - F.length(F.replace("t", F.lit(p), F.lit("")))) / len(p)).alias("tf"))
+    hits = hits.withColumn("t", F.lower("t")).where(F.contains("t", F.lit(p))).select("id", "n", ((F.length("t") - F.length(F.replace("t", F.lit(p), F.lit("")))) / len(p)).alias("tf"))
     sizes = d.agg(F.avg("n").alias("mean"), F.count("n").alias("docs")) if sizes is None else sizes
     s = sizes.crossJoin(hits.agg(F.count("*").alias("df"))).select("mean", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     score = F.col("idf") * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("n") / F.col("mean")))
