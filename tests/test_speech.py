@@ -92,6 +92,25 @@ def test_coverage_says_what_is_missed(spark):
     assert got[1].difference == round(0.5 - 0.3333, 4) and got[2].ki_rate == 0.0
 
 
+def test_covered_texts_stay_where_they_stand(spark):
+    """No shuffle of texts; spellings that differ in case count each; terms come as they are written."""
+    rows = [(1, "occ 呼叫 Ab-c", [("x", "OCC"), ("y", None)]), (2, None, [("x", "occ")]), (3, "AB，c 呼叫", [])]
+    refs = spark.createDataFrame(rows, "id long, ref string, hyps array<struct<engine: string, hyp: string>>")
+    phrases = spark.createDataFrame([("occ",), ("OCC",), ("abc",), ("呼 叫",), ("É",), (None,)], "phrase string")
+    d = search.covered(refs, phrases)
+    assert sorted((r.id, r.engine, r.ps_total, r.ps_hits, r.ki_total, r.ki_hits) for r in d.collect()) == [(1, "x", 4, 2, 2, 1), (1, "y", 4, 0, 2, 0), (2, "x", 0, 0, 0, 0)]
+    assert "Exchange" not in d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_what_comparing_leaves_out(spark):
+    said = ["A:【n】x，，\nB: y", "【a】【b】C:d 【e", "x\n，A:b\n\nD:e\x0b\x0c\r\tf", "“q”—（w）！？；：、。\"'()-.,:;!?\u3000é", "\nA :x aA:", None]
+    c = terms.comparable(F.col("s"))
+    got = [r[0] for r in spark.createDataFrame([(s,) for s in said], "s string").coalesce(1).select(c).collect()]
+    old = r"[\s,，。.、:：;；!?！？\-—()（）\"'“”]+"
+    want = spark.createDataFrame([(s,) for s in said], "s string").coalesce(1).select(F.regexp_replace(F.coalesce("s", F.lit("")), rf"(?m)^(?:【[^】]*】)*[A-Z]:|【[^】]*】|{old}", ""))
+    assert got == [r[0] for r in want.collect()]
+
+
 def test_overlay_takes_safe_pairs(spark):
     rows = [("e", "abcd", "abd", 5), ("e", "abcd", "abc", 4), ("e", "xy", "xyz", 9), ("e", "a b c", "abc", 9), ("e", "same", "same", 9), ("e", "once", "ones", 1), (None, "abcd", "x", 9)]
     got = search.draft_overlay(spark.createDataFrame(rows, "engine string, wrong string, fixed string, n long")).collect()

@@ -24,17 +24,20 @@ KEY_TERMS = {
     "station_name": r"[一-鿿]{2,4}站(?![長員務台房])",
     "track": r"上行|下行|正線|三軌|岔心|軌道",
 }
+#: What a kind's terms begin with, in any case, so that other characters cost one look.
+FIRST = {"equipment": "AMOENCVR", "platform": "1-5一-鿿", "action": "一-鿿", "comm": "o一-鿿", "track": "一-鿿"}
 #: What is only letters of the Latin alphabet, digits and slashes is compared without regard to case.
 PLAIN = "^[A-Za-z0-9/]+$"
-#: What comparing terms leaves out.
-UNCOMPARED = r"[\s,，。.、:：;；!?！？\-—()（）\"'“”]+"
+#: What comparing terms leaves out; the wide characters lie in one range, which is looked at first.
+UNCOMPARED = r"[\t-\r ,.:;!?\-()\"']+|(?=[\u2014-\uff1f])[，。、：；！？—（）“”]+"
 
 
 def key_terms(c: Column, patterns: dict[str, str] = KEY_TERMS) -> Column:
     """Distinct struct(category, term) of a text; terms lose white space, plain ones are in upper case. Null stays null."""
 
     def of(kind: str, pattern: str) -> Column:
-        found = F.transform(F.regexp_extract_all(c, F.lit(f"(?i){pattern}"), F.lit(0)), lambda t: F.regexp_replace(t, r"\s+", ""))
+        guard = f"(?=[{FIRST[kind]}])" if kind in FIRST and pattern == KEY_TERMS[kind] else ""
+        found = F.transform(F.regexp_extract_all(c, F.lit(f"(?i){guard}(?:{pattern})"), F.lit(0)), lambda t: F.regexp_replace(t, r"\s+", ""))
         return F.transform(found, lambda t: F.struct(F.lit(kind).alias("category"), F.when(t.rlike(PLAIN), F.upper(t)).otherwise(t).alias("term")))
 
     return F.array_distinct(F.flatten(F.array(*[of(k, p) for k, p in patterns.items()])))
@@ -43,11 +46,13 @@ def key_terms(c: Column, patterns: dict[str, str] = KEY_TERMS) -> Column:
 def comparable(c: Column) -> Column:
     """Without notes in brackets, speaker marks, punctuation and white space, all in one pass; null counts as empty."""
     note = "【[^】]*】"
-    return F.regexp_replace(F.coalesce(c, F.lit("")), rf"(?m)^(?:{note})*[A-Z]:|{note}|{UNCOMPARED}", "")
+    return F.regexp_replace(F.coalesce(c, F.lit("")), rf"(?m){UNCOMPARED}|^(?:{note})*[A-Z]:|{note}", "")
 
 
-def occurs(term: Column, comparable_text: Column) -> Column:
-    return F.when(term.rlike(PLAIN), F.contains(F.upper(comparable_text), F.upper(term))).otherwise(F.contains(comparable_text, term))
+def occurs(term: Column, comparable_text: Column, upper: Column | None = None) -> Column:
+    """Whether a text has a term; ``upper`` is the text in upper case, for many terms of one text."""
+    upper = F.upper(comparable_text) if upper is None else upper
+    return F.when(term.rlike(PLAIN), F.contains(upper, F.upper(term))).otherwise(F.contains(comparable_text, term))
 
 
 def outside(c: Column, patterns: list[str], literals: list[str], rewrite: Callable[[Column], Column]) -> Column:

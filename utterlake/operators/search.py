@@ -120,16 +120,29 @@ def coverage(pairs: DataFrame, phrases: DataFrame) -> DataFrame:
     """(id, engine, ps_total, ps_hits, ps_rate, ki_total, ki_hits, ki_rate, difference, ki_misses) of (id, engine, ref, hyp).
 
     Of the phrases and of the key terms that a reference has, how many its hypotheses keep; a rate of nothing is 0.
-    ``phrases`` (phrase) is counted and broadcast when small, else joined by trigrams. Ids are references' keys.
+    ``phrases`` (phrase) go to every task when small, else they are joined. Ids are references' keys.
     """
+    said = F.collect_list(F.struct("engine", "hyp")).alias("hyps")
+    return covered(pairs.groupBy("id").agg(F.first("ref").alias("ref"), said), phrases)
+
+
+def covered(refs: DataFrame, phrases: DataFrame) -> DataFrame:
+    """:func:`coverage` of (id, ref, hyps: array of (engine, hyp)), where the texts stand: none is shuffled unless the phrases have to be joined."""
     p = phrases.select(terms.comparable(F.col("phrase")).alias("phrase")).where("phrase != ''").distinct()
-    refs = pairs.groupBy("id").agg(F.first("ref").alias("ref")).withColumn("r", terms.comparable(F.col("ref")))
-    near = spotted(refs, p, "id", "r", "phrase").join(p.withColumn("term", F.lower("phrase")), "term").groupBy("id").agg(F.collect_set("phrase").alias("ps"))
-    known = refs.join(near, "id", "left").select("id", F.filter(F.coalesce("ps", F.array().cast("array<string>")), lambda t: terms.occurs(t, F.col("r"))).alias("ps"), F.coalesce(F.array_distinct(F.transform(terms.key_terms(F.col("ref")), lambda x: x["term"])), F.array().cast("array<string>")).alias("ki"))
-    j = pairs.select("id", "engine", terms.comparable(F.col("hyp")).alias("h")).join(known, "id")
-    kept = lambda c: F.size(F.filter(c, lambda t: terms.occurs(terms.comparable(t), F.col("h"))))
-    j = j.select("id", "engine", F.size("ps").alias("ps_total"), kept("ps").alias("ps_hits"), F.size("ki").alias("ki_total"), kept("ki").alias("ki_hits"),
-                 F.array_sort(F.filter("ki", lambda t: ~terms.occurs(terms.comparable(t), F.col("h")))).alias("ki_misses"))
+    # What is used for every term comes out of a generator: a projection would be drawn into the lambda and worked out for each.
+    once = lambda c, name: F.explode(F.array(c)).alias(name)
+    r = refs.select("id", "ref", "hyps", once(terms.comparable(F.col("ref")), "r"))
+    r = keywords.noted(r, ["id"], "r", p, "phrase", "near").select("id", "ref", "hyps", "near", "r", once(F.upper("r"), "u"))
+    none = F.array().cast("array<string>")
+    spelt = lambda c: F.transform(c, lambda t: F.struct(t.alias("t"), terms.comparable(t).alias("c")))
+    r = r.select("id", "hyps", spelt(F.filter("near", lambda t: terms.occurs(t, F.col("r"), F.col("u")))).alias("ps"),
+                 spelt(F.coalesce(F.array_distinct(F.transform(terms.key_terms(F.col("ref")), lambda x: x["term"])), none)).alias("ki"))
+    heard = F.transform("hyps", lambda x: F.struct(x["engine"].alias("engine"), terms.comparable(x["hyp"]).alias("h")))
+    heard = F.transform(heard, lambda x: F.struct(x["engine"].alias("engine"), x["h"].alias("h"), F.upper(x["h"]).alias("u")))
+    j = r.select("id", "ps", "ki", F.explode(heard).alias("x")).select("id", "ps", "ki", "x.*")
+    kept = lambda c: F.size(F.filter(c, lambda t: terms.occurs(t["c"], F.col("h"), F.col("u"))))
+    missed = F.transform(F.filter("ki", lambda t: ~terms.occurs(t["c"], F.col("h"), F.col("u"))), lambda t: t["t"])
+    j = j.select("id", "engine", F.size("ps").alias("ps_total"), kept("ps").alias("ps_hits"), F.size("ki").alias("ki_total"), kept("ki").alias("ki_hits"), F.array_sort(missed).alias("ki_misses"))
     rate = lambda a, b: F.coalesce(F.round(F.try_divide(F.col(a), F.col(b)), 4), F.lit(0.0))
     j = j.withColumns({"ps_rate": rate("ps_hits", "ps_total"), "ki_rate": rate("ki_hits", "ki_total")})
     return j.withColumn("difference", F.round(F.col("ps_rate") - F.col("ki_rate"), 4))
