@@ -58,14 +58,19 @@ def byte_count_chunks(frames: DataFrame, target: int) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, chunk = state.get if state.exists else (0, 0)
-        out = []
-        for n in pd.concat(list(batches)).sort_values("seq")["n_bytes"]:
+        # Most channels have few frames in a batch and end no chunk: what a table costs is only paid where one is needed.
+        out, parts = [], list(batches)
+        rows = parts[0] if len(parts) == 1 else pd.concat(parts)
+        if not rows["seq"].is_monotonic_increasing:
+            rows = rows.sort_values("seq")
+        for n in rows["n_bytes"].tolist():
             held += int(n)
             if held >= target:
                 out.append((key[0], chunk, held))
                 held, chunk = 0, chunk + 1
         state.update((held, chunk))
-        yield pd.DataFrame(out, columns=["channel", "chunk", "n_bytes"])
+        if out:
+            yield pd.DataFrame(out, columns=["channel", "chunk", "n_bytes"])
 
     kind = frames.schema["channel"].dataType.simpleString()
     return frames.groupBy("channel").applyInPandasWithState(
