@@ -7,8 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from utterlake.operators import postings, search
+from utterlake.plans import mining
 from utterlake.plans import queries as q
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_three_batches_equal_a_rebuild(spark, tmp_path):
     r = random.Random(4)
@@ -102,3 +105,14 @@ def test_two_columns_are_summed_at_once(spark, most):
     worth = {g: -1.0 - i for i, g in enumerate(grams)}
     got = {r.id: tuple(r[1:]) for r in q.sums(d, ["id"], ["x", "y"], spark.createDataFrame(list(worth.items()), "g4 string, lp double"), most).collect()}
     assert got == {r.id: tuple(v for t in r[1:] for v in (sum(worth[g] for g in of(t)), len(t) + 1)) for r in d.collect()}
+
+
+def test_a_row_for_each_text_however_many_grams_there_are(spark, monkeypatch):
+    d = spark.createDataFrame([("alpha", "abc", "abd"), ("alpha", "abc", "abd"), ("alpha", "", "c"), ("beta", "x 𝒳", "x")], "engine string, x string, y string")
+    grams = sorted({p[i : i + 4] for r in d.collect() for p in (f"^^^{r.x}$", f"^^^{r.y}$") for i in range(len(p) - 3)})
+    logs = spark.createDataFrame([(g, -0.1 * i) for i, g in enumerate(grams)], "g4 string, lp double")
+    rows = [sorted(tuple(r) for r in q.sums(d, ["engine"], ["x", "y"], logs, most).collect()) for most in (1000, 7)]
+    assert len(rows[0]) == 4 and rows[0] == rows[1]
+    want, sums = sorted(tuple(r) for r in mining.ppl_compare(spark, SF).collect()), q.sums
+    monkeypatch.setattr(q, "sums", lambda *a: sums(*a, 10_000))
+    assert sorted(tuple(r) for r in mining.ppl_compare(spark, SF).collect()) == want
